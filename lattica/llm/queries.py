@@ -21,6 +21,21 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.quality import judge_quality
+
+    judged = judge_quality(documents(spark, sf_dir, "doc_id", "text"), keep=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.wavelet import encode_documents, read_shards, write_shards
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        encoded = stage(encode_documents(documents(spark, sf_dir, "doc_id", "text"), f.read(), end_id=2))
+    return read_shards(write_shards(encoded)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.wordpiece import pieces_of, token_counts
 
