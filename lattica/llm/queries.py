@@ -28,6 +28,20 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.bytebpe import ByteBPE, load_ranks
+
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    bpe = ByteBPE(spark, load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    coded = docs.select("doc_id", bpe.encode(F.col("text"), bpe.dictionary(docs)).alias("ids"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.as_bytes(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
 def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.wavelet import encode_documents, read_shards, write_shards
 
@@ -36,6 +50,15 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(encoded)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.langid import identify, learn
+
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    found = identify(docs, *learn(docs.where(~held_out)))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.wordpiece import pieces_of, token_counts
 
