@@ -15,7 +15,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import stage
+from lattica.llm.common import let, stage
 
 #: Words in the dictionary at most, and bytes of such a word at most: what is sent to every task stays below 20 MB.
 DICTIONARY_WORDS = 200_000
@@ -58,23 +58,23 @@ class ByteBPE:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), 0)
 
-    def _rank(self, piece: Column) -> Column:
-        return F.try_element_at(F.get(self.ranks, (F.crc32(piece) % RANK_BINS).cast("int")), piece)
-
-    def _ranks(self, pieces: Column) -> Column:
-        return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda b, i: self._rank(F.concat(F.get(pieces, i), b)))
-
     def fold(self, word: Column) -> Column:
         """A word's ids."""
+        return let(self.ranks, lambda ranks: self._fold(word, ranks))
+
+    def _fold(self, word: Column, ranks: Column) -> Column:
         latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a character for each byte
 
-        def let(value: Column, body) -> Column:
-            return F.get(F.transform(F.array(value), body), 0)
+        def rank(piece: Column) -> Column:
+            return F.try_element_at(F.get(ranks, (F.crc32(piece) % RANK_BINS).cast("int")), piece)
+
+        def pair_ranks(pieces: Column) -> Column:
+            return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda b, i: rank(F.concat(F.get(pieces, i), b)))
 
         def step(state: Column, merge) -> Column:
             """state: pieces, and the ranks of their neighbouring pairs (null: no piece); stays as it is when no pair is left."""
             new = merge(state["p"], state["r"], F.array_min(state["r"]))
-            return F.when(F.array_min(state["r"]).isNull(), state).otherwise(let(new, lambda p: F.struct(p.alias("p"), self._ranks(p).alias("r"))))
+            return F.when(F.array_min(state["r"]).isNull(), state).otherwise(let(new, lambda p: F.struct(p.alias("p"), pair_ranks(p).alias("r"))))
 
         def leftmost(p: Column, r: Column, low: Column) -> Column:
             return let(
@@ -95,8 +95,8 @@ class ByteBPE:
             return let(hits, lambda h: let(starts(h), merged))
 
         def run(merge) -> Column:
-            first = let(F.split(latin, ""), lambda p: F.struct(p.alias("p"), self._ranks(p).alias("r")))
-            return F.aggregate(F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2))), first, lambda s, _: step(s, merge), lambda s: F.transform(s["p"], self._rank))
+            first = let(F.split(latin, ""), lambda p: F.struct(p.alias("p"), pair_ranks(p).alias("r")))
+            return F.aggregate(F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2))), first, lambda s, _: step(s, merge), lambda s: F.transform(s["p"], rank))
 
         return F.when(F.octet_length(word) <= SHORT, run(leftmost)).otherwise(run(everywhere))
 
@@ -129,11 +129,13 @@ class ByteBPE:
     def encode(self, text: Column, dictionary: Column) -> Column:
         """A text's ids (array<int>); null and empty texts have none."""
 
-        def of(word: Column) -> Column:
-            known = F.get(dictionary, (F.crc32(word) % WORD_BINS).cast("int"))
-            return F.coalesce(F.try_element_at(known, word), self.fold(word))
+        def all_of(words: Column, known: Column, ranks: Column) -> Column:
+            def of(word: Column) -> Column:
+                return F.coalesce(F.try_element_at(F.get(known, (F.crc32(word) % WORD_BINS).cast("int")), word), self._fold(word, ranks))
+
+            return F.flatten(F.transform(words, of))
 
-        return F.flatten(F.transform(self.words(text), of))
+        return let(dictionary, lambda known: let(self.ranks, lambda ranks: all_of(self.words(text), known, ranks)))
 
     def decode(self, ids: Column) -> Column:
         """The bytes that ids stand for."""

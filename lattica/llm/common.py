@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +67,8 @@ def words(text: Column) -> Column:
 def unit_hash(*cols: Column, seed: int) -> Column:
     """Uniform in (0, 1), the same on every run: the top 53 bits of a 64-bit hash."""
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") + 0.5) / float(1 << 53)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once a row; a literal in it is sent to the tasks once."""
+    return F.get(F.transform(F.array(value), body), 0)

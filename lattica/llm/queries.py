@@ -46,8 +46,8 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.wavelet import encode_documents, read_shards, write_shards
 
     with open(public_tokenizers.path("word_bpe_49k.json")) as f:
-        encoded = stage(encode_documents(documents(spark, sf_dir, "doc_id", "text"), f.read(), end_id=2))
-    return read_shards(write_shards(encoded)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+        encoded, kind = encode_documents(documents(spark, sf_dir, "doc_id", "text"), f.read(), end_id=2)
+    return read_shards(write_shards(stage(encoded), kind)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")
 
 
+def op9_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.embeddings import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.wordpiece import pieces_of, token_counts
 
