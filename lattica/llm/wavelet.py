@@ -29,6 +29,8 @@ MAGIC = b"WVM1"
 #: Tokens after which a task closes a shard. A document is never split, so one longer text makes a longer shard.
 SHARD_TOKENS = 2_000_000
 WORD = 64
+#: Ids handled at once when a plane is built or undone; a multiple of 64.
+CHUNK = 1 << 16
 
 
 class WaveletMatrix:
@@ -41,19 +43,21 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        ids = np.ascontiguousarray(ids, np.uint32)
+        ids = np.ascontiguousarray(ids, np.uint16 if ids.dtype.itemsize <= 2 else np.uint32)
         n, width = len(ids), max(1, int(ids.max()).bit_length() if len(ids) else 1)
         planes, zeros = np.zeros((width, -(-n // WORD)), np.uint64), []
         for p in range(width):
-            bits = (ids >> np.uint32(width - 1 - p)) & np.uint32(1)
-            packed = np.zeros(planes.shape[1] * 8, np.uint8)
-            small = np.packbits(bits.astype(np.uint8), bitorder="little")
-            packed[: len(small)] = small
-            planes[p] = packed.view("<u8")
-            one = bits.astype(bool)
-            low = ids[~one]
-            zeros.append(len(low))
-            ids = np.concatenate([low, ids[one]])
+            bit, low, high = ids.dtype.type(1 << (width - 1 - p)), [], []
+            small = planes[p].view(np.uint8)
+            for at in range(0, n, CHUNK):  # pieces that stay in the processor's cache
+                part = ids[at : at + CHUNK]
+                one = (part & bit).astype(bool)
+                packed = np.packbits(one, bitorder="little")
+                small[at // 8 : at // 8 + len(packed)] = packed
+                low.append(part[~one])
+                high.append(part[one])
+            zeros.append(sum(map(len, low)))
+            ids = np.concatenate([*low, *high]) if n else ids
         return cls(n, planes, zeros)
 
     def _ones(self, plane: int, at: np.ndarray) -> np.ndarray:
@@ -74,12 +78,17 @@ class WaveletMatrix:
     def decode(self) -> np.ndarray:
         """All ids in order: undoes the planes' sorting from the last to the first, a scan each."""
         width = len(self.planes)
-        ids = np.zeros(self.n, np.uint32)
+        ids = np.zeros(self.n, np.uint16 if width <= 16 else np.uint32)
         for p in range(width - 1, -1, -1):
-            one = np.unpackbits(self.planes[p].view(np.uint8), bitorder="little")[: self.n].astype(bool)
-            back = np.empty_like(ids)
-            back[~one] = ids[: self.zeros[p]]
-            back[one] = ids[self.zeros[p] :] | np.uint32(1 << (width - 1 - p))
+            bits, back = self.planes[p].view(np.uint8), np.empty_like(ids)
+            zero, at_one, bit = 0, self.zeros[p], ids.dtype.type(1 << (width - 1 - p))
+            for at in range(0, self.n, CHUNK):
+                part = back[at : at + CHUNK]
+                one = np.unpackbits(bits[at // 8 : (at + CHUNK) // 8], bitorder="little")[: len(part)].astype(bool)
+                ones = np.count_nonzero(one)
+                part[one] = ids[at_one : at_one + ones] | bit
+                part[~one] = ids[zero : zero + len(part) - ones]
+                zero, at_one = zero + len(part) - ones, at_one + ones
             ids = back
         return ids
 
@@ -141,63 +150,110 @@ def read_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return docs, lengths, WaveletMatrix(h["n"], planes, h["zeros"])
 
 
-#: Ids of words seen, by tokenizer: reused worker processes keep them from task to task.
-_KNOWN: dict[str, dict[str, bytes]] = {}
-#: Words remembered before starting afresh; bounds memory, not results.
-MEMO = 400_000
+#: Ids of words, and of the pieces that words share, by tokenizer: reused worker processes keep them from task to task.
+_KNOWN: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+#: Entries of either kind before starting afresh; bounds memory, not results.
+MEMO = 600_000
 
 
 def word_encoder(tokenizer_json: str) -> Callable[[list[str | None]], list[bytes]]:
-    """Encodes texts to little-endian unsigned 32-bit ids with the tokenizers library, each word once while remembered.
+    """Encodes texts to little-endian unsigned ids (16 bits if the vocabulary has so few, else 32) with the tokenizers library.
 
-    Only for tokenizers that drop white space and never look across it. Python's str.split() also splits at
-    0x1C-0x1F, which the library doesn't; texts with those go to the library whole.
+    Only for tokenizers that lower-case, drop white space, never look across it and split letters from marks. Each
+    white-space separated word is encoded once while it is remembered; of words in plain Latin letters with marks
+    behind, letters and marks are encoded by themselves. Python's str.split() also splits at 0x1C-0x1F, which
+    the library doesn't; texts with those go to the library whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_str(tokenizer_json)
     tok.encode_special_tokens = True  # their strings in a text are ordinary text
-    known = _KNOWN.setdefault(hashlib.sha256(tokenizer_json.encode()).hexdigest(), {})
+    kind = id_type(tok.get_vocab_size())
+    known, parts = _KNOWN.setdefault(hashlib.sha256(tokenizer_json.encode()).hexdigest(), ({}, {}))
+
+    bpe, as_marks = tok.model, _byte_marks()
+
+    def letters(word: str) -> bytes:
+        """Ids of lower-case letters, straight from the model: nothing is left for the normaliser and the splitter to do."""
+        return np.array([t.id for t in bpe.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(as_marks))], kind).tobytes()
 
     def ids_of(batch: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(batch, add_special_tokens=False)]
+        return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(batch, add_special_tokens=False)]
 
-    def encode(texts: list[str | None]) -> list[bytes]:
-        split = [None if t and any(c in t for c in "\x1c\x1d\x1e\x1f") else (t or "").split() for t in texts]
+    def learn(words: set[str]) -> None:
         if len(known) > MEMO:
+            keep = {w: known[w] for w in words & known.keys()}
             known.clear()
-        new = list(set().union(*(ws for ws in split if ws)) - known.keys())
-        known.update(zip(new, ids_of(new), strict=True))
+            known.update(keep)
+        if len(parts) > MEMO:
+            parts.clear()
+        rest = []
+        for w in words - known.keys():
+            if w.isascii() or max(w) < "\u0250":
+                low = w.lower()
+                core = low.rstrip(".,;:!?")
+                ids = parts.get(core)
+                if ids is None and core.isalpha():
+                    ids = parts[core] = letters(core)
+                if ids is not None:
+                    marks = low[len(core) :]
+                    if marks:
+                        tail = parts.get(marks)
+                        if tail is None:
+                            tail = parts[marks] = ids_of([marks])[0]
+                        ids += tail
+                    known[w] = ids
+                    continue
+            rest.append(w)
+        known.update(zip(rest, ids_of(rest), strict=True))
+
+    def encode(texts: list[str | None]) -> list[bytes]:
+        split = [None if t and any(c in t for c in "\x1c\x1d\x1e\x1f") else (t or "").split() for t in texts]
+        learn(set().union(*(ws for ws in split if ws)))
         return [ids_of([t])[0] if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, split, strict=True)]
 
     return encode
 
 
-def encode_documents(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) with ids as little-endian unsigned 32-bit integers, the end id last; null and empty texts are the end id alone."""
+def _byte_marks() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+def id_type(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def encode_documents(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """(doc_id, ids) and the ids' numpy type; the end id is last; null and empty texts are the end id alone."""
+    from tokenizers import Tokenizer
+
     model = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    kind = id_type(Tokenizer.from_str(tokenizer_json).get_vocab_size())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_encoder(model.value), np.array([end_id], np.uint32).tobytes()
+        encode, end = word_encoder(model.value), np.array([end_id], kind).tobytes()
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 ids = [x + end for x in encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids binary"), kind
 
 
-def write_shards(encoded: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(doc_id, ids) -> the staged table (part int, seq int, n_docs long, n_tokens long, file binary), shards in ascending doc_id order.
+def write_shards(encoded: DataFrame, kind: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(doc_id, ids of numpy type kind) -> the staged table (part int, seq int, n_docs long, n_tokens long, file binary), shards in ascending doc_id order.
 
     Rows are range-partitioned by doc_id (null first) and sorted inside; a task writes its range as one or more
     shards of about shard_tokens. Equal doc_ids stay together, ordered by their ids. Each shard's file is one
     value, so it is committed, retried and read like any other Spark output, in any store.
     """
+    width = np.dtype(kind).itemsize
     total = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    parts = max(1, round(total / 4 / shard_tokens))
+    parts = max(1, round(total / width / shard_tokens))
     least = -(1 << 63)  # stands for a null doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,14 +263,14 @@ def write_shards(encoded: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFr
         held: list[bytes] = []
 
         def shard() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.frombuffer(b"".join(held), kind)
             file = write_shard(np.array(docs, np.int64), np.array(lengths), ids)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([file], pa.binary())], names=["part", "seq", "n_docs", "n_tokens", "file"])
 
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 docs.append(least if doc is None else doc)
-                lengths.append(len(ids) // 4)
+                lengths.append(len(ids) // width)
                 held.append(ids)
                 open_tokens += lengths[-1]
                 if open_tokens >= shard_tokens:
