@@ -50,6 +50,12 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(stage(encoded), kind)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.licenses import scan
+
+    return scan(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.langid import identify, learn
 
@@ -59,6 +65,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.jaccard import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir, "doc_id", "text"), per_cent=75, width=5)
+
+
 def op9_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.embeddings import near_duplicates
 
