@@ -47,7 +47,7 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("word_bpe_49k.json")) as f:
         encoded, kind = encode_documents(documents(spark, sf_dir, "doc_id", "text"), f.read(), end_id=2)
-    return read_shards(write_shards(stage(encoded), kind)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_shards(write_shards(stage(encoded), kind), with_ids=False)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.substrings import remove_repeats
+
+    cut = remove_repeats(documents(spark, sf_dir, "doc_id", "text"), length=400)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.langid import identify, learn
 

@@ -14,6 +14,7 @@ import hashlib
 import json
 import os
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -137,11 +138,12 @@ def write_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> by
     return MAGIC + struct.pack("<I", len(header)) + header + zstandard.ZstdCompressor(level=1).compress(body)
 
 
-def read_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
+def read_shard(data: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
+    data = memoryview(data)
     if data[:4] != MAGIC:
         raise ValueError("not a wavelet-matrix shard")
     (size,) = struct.unpack_from("<I", data, 4)
-    h = json.loads(data[8 : 8 + size])
+    h = json.loads(bytes(data[8 : 8 + size]))
     body = zstandard.ZstdDecompressor().decompress(data[8 + size :])
     docs = np.frombuffer(body, "<i8", h["docs"])
     lengths = np.frombuffer(body, "<u4", h["docs"], 8 * h["docs"])
@@ -153,7 +155,7 @@ def read_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
 #: Ids of words, and of the pieces that words share, by tokenizer: reused worker processes keep them from task to task.
 _KNOWN: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 #: Entries of either kind before starting afresh; bounds memory, not results.
-MEMO = 600_000
+MEMO = 1_200_000
 
 
 def word_encoder(tokenizer_json: str) -> Callable[[list[str | None]], list[bytes]]:
@@ -257,34 +259,38 @@ def write_shards(encoded: DataFrame, kind: str, shard_tokens: int = SHARD_TOKENS
     least = -(1 << 63)  # stands for a null doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, open_tokens = TaskContext.get().partitionId(), 0, 0
-        docs: list[int] = []
-        lengths: list[int] = []
-        held: list[bytes] = []
+        part, seq, size = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def shard() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), kind)
-            file = write_shard(np.array(docs, np.int64), np.array(lengths), ids)
+            docs, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            file = write_shard(docs, lengths, ids)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([file], pa.binary())], names=["part", "seq", "n_docs", "n_tokens", "file"])
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                docs.append(least if doc is None else doc)
-                lengths.append(len(ids) // width)
-                held.append(ids)
-                open_tokens += lengths[-1]
-                if open_tokens >= shard_tokens:
+            docs = batch.column(0).fill_null(least).to_numpy()
+            _, where, data = batch.column(1).buffers()
+            ends = np.frombuffer(where, np.int32)[batch.column(1).offset :][: len(docs) + 1].astype(np.int64) // width
+            ids = np.frombuffer(data, kind)
+            at = 0
+            while at < len(docs):  # as many documents as fill the open shard, one at least
+                upto = min(max(int(np.searchsorted(ends, ends[at] + shard_tokens - size)), at + 1), len(docs))
+                held.append((docs[at:upto], np.diff(ends[at : upto + 1]), ids[ends[at] : ends[upto]].copy()))
+                size += int(ends[upto] - ends[at])
+                at = upto
+                if size >= shard_tokens:
                     yield shard()
-                    docs, lengths, held, open_tokens, seq = [], [], [], 0, seq + 1
-        if docs:
+                    held, size, seq = [], 0, seq + 1
+        if held:
             yield shard()
 
     ordered = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
     return stage(ordered.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, file binary"))
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """The documents of shard files: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit)."""
+def read_shards(shards: DataFrame, with_ids: bool = True) -> DataFrame:
+    """The documents of shard files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as little-endian
+    unsigned 32-bit integers), and with_ids those ids as `ids`."""
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     starts = stage(shards.select("part", "seq", "n_tokens").withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).drop("n_tokens"), files=1)
     least = -(1 << 63)
@@ -292,18 +298,20 @@ def read_shards(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, file in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs, lengths, m = read_shard(file.as_buffer().to_pybytes())
+                docs, lengths, m = read_shard(file.as_buffer())
                 ids, ends = m.decode().astype("<u4"), np.cumsum(lengths, dtype=np.int64)
                 for a in range(0, len(docs), 1000):
                     b = min(a + 1000, len(docs))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(docs[a:b], mask=docs[a:b] == least),
-                            pa.array(base + ends[a:b] - lengths[a:b], pa.int64()),
-                            pa.array(lengths[a:b].astype(np.int64)),
-                            pa.array([ids[e - n : e].tobytes() for e, n in zip(ends[a:b], lengths[a:b], strict=True)], pa.binary()),
-                        ],
-                        names=["doc_id", "start", "n_tokens", "ids"],
-                    )
-
-    return shards.join(starts, ["part", "seq"]).select("base", "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+                    each = [ids[e - n : e] for e, n in zip(ends[a:b].tolist(), lengths[a:b].tolist(), strict=True)]
+                    columns = [
+                        pa.array(docs[a:b], mask=docs[a:b] == least),
+                        pa.array(base + ends[a:b] - lengths[a:b], pa.int64()),
+                        pa.array(lengths[a:b].astype(np.int64)),
+                        pa.array([zlib.crc32(x) for x in each], pa.int64()),
+                    ]
+                    if with_ids:
+                        columns.append(pa.array([x.tobytes() for x in each], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    return shards.join(starts, ["part", "seq"]).select("base", "file").mapInArrow(run, schema)
