@@ -28,7 +28,7 @@ GRAM = 100
 #: Anchors of a group that one task sorts; larger groups are dealt over the cluster by their strings' hashes.
 GROUP = 200
 #: Bytes hashed at once; a power of two of 22 bits at most, as a place is kept in the low bits of a hash.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(99))
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
@@ -243,11 +243,12 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
                 for i, (before, after) in enumerate(zip(x.column(3).to_pylist(), x.column(4).to_pylist(), strict=True)):
                     h = gram_hashes(np.frombuffer(before[::-1] + after, np.uint8), length).view(np.int64)
                     lo = place[i] - len(before) + np.arange(len(h))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key[i])), pa.array(h), pa.array(np.full(len(h), cls[i])), pa.array(lo.astype(np.int64))], names=["key", "h", "class", "lo"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key[i])), pa.array(h), pa.array(np.full(len(h), cls[i])), pa.array(lo.astype(np.int64)), pa.array((place[i] - lo).astype(np.int32))], names=["key", "h", "class", "lo", "o"])
 
-    big = around.where(F.col("size") > GROUP).select("key", "class", "place", "before", "after").mapInArrow(strings, "key long, h long, class long, lo long")
-    again = big.groupBy("key", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "h")
-    runs = big.join(again, ["key", "h"]).select("class", "lo", (F.col("lo") + length).alias("hi"))
+    big = around.where(F.col("size") > GROUP).select("key", "class", "place", "before", "after").mapInArrow(strings, "key long, h long, class long, lo long, o int")
+    # o, the anchor's place in the string: a string that holds two anchors of one key is met twice, but not at one o
+    again = big.groupBy("key", "o", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "o", "h")
+    runs = big.join(again, ["key", "o", "h"]).select("class", "lo", (F.col("lo") + length).alias("hi"))
 
     covered = pieces.union(runs).groupBy("class").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("s"))
     start = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
