@@ -1,11 +1,11 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures, then exact sorted-array intersection.
 
 Two sets of Jaccard similarity t or more share a member among the first n - ceil(t n) + 1 of each in any fixed order
-of all members. Rows that hold the same such member are a tile; within a tile, bands of sizes that differ by
-a factor of 1/t or less are compared. The order puts members that many rows hold last, so passages that many texts share make no
-large tiles. First every row of a band is compared with the band's leader; what that links is one component, and
-only tiles whose rows are in several components are compared pair by pair, in blocks. A pair's bitmaps bound its overlap from
-above: each bit that only one side has set is a member that the other side lacks. What remains is intersected exactly.
+of all members. The rows that hold the same such member are a tile, and its first row by size leads it. The order puts
+members that many rows hold last, so passages that many texts share make no large tiles. First every row is compared with
+its leaders; what that links is one component. Rows that share a leader but not a component are then compared with
+each other, in blocks, if their sizes are within a factor of 1/t. A pair's bitmaps bound its overlap from above: each bit
+that only one side has set is a member that the other side lacks. What remains is intersected exactly.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import drop_staged, stage
+from lattica.llm.common import drop_staged, release, stage
 from lattica.llm.graph import connected_components
 from lattica.llm.shingles import Bloom, mix, shingle_sets
 
@@ -26,9 +26,9 @@ from lattica.llm.shingles import Bloom, mix, shingle_sets
 #: beyond that the count rises. They are sent to the tasks as a Bloom filter of at most 4 MB, on which all rows agree.
 COMMON_ROWS = 48
 COMMON_MEMBERS = 1_000_000
-#: Bits of a signature.
-SIGNATURE = 1024
-#: Rows of a block when a tile is compared pair by pair.
+#: Bits of a signature: a power of two, about twice the members, within these.
+SIGNATURE = (1024, 1 << 17)
+#: Rows of a block when the rows of a leader are compared pair by pair.
 BLOCK = 256
 
 
@@ -37,8 +37,9 @@ def _first(n: np.ndarray | int, per_cent: int):
 
 
 def _bitmap(members: np.ndarray) -> bytes:
-    bits = np.zeros(SIGNATURE, bool)
-    bits[mix(members ^ np.uint64(0x5DEECE66D)) & np.uint64(SIGNATURE - 1)] = True
+    size = min(max(SIGNATURE[0], 1 << math.ceil(math.log2(2 * len(members)))), SIGNATURE[1])
+    bits = np.zeros(size, bool)
+    bits[mix(members ^ np.uint64(0x5DEECE66D)) & np.uint64(size - 1)] = True
     return np.packbits(bits).tobytes()
 
 
@@ -53,8 +54,8 @@ def _sets(docs: DataFrame, width: int, per_cent: int, id_col: str, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
                 sets = shingle_sets(part.column(1), width)
                 n = np.array([len(s) for s in sets], np.int64)
                 if last is not None:
@@ -83,150 +84,156 @@ def _common(rows: DataFrame) -> Bloom | None:
     return Bloom(members, 1 << min(25, max(10, math.ceil(math.log2(24 * len(members))))))
 
 
-def _tiles(rows: DataFrame, per_cent: int) -> DataFrame:
-    """(m, class, n, leader, alone): the rows of tiles with two or more classes; leader: the first class of the row's band.
+def _stars(rows: DataFrame) -> DataFrame:
+    """(leader, class, n), distinct: for each row the leaders of its tiles, itself excepted.
 
-    A stream over rows sorted by member and size. Singles go by; of a tile in progress only its first row and its band's leader are held.
+    A stream over rows sorted by member and size. Of a tile in progress only the leader is held, however many rows it has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log = math.log(100 / per_cent)
-        held: tuple[np.ndarray, ...] | None = None  # rows of the tile in progress at a batch's end
-        sent = 0  # how many of held have been sent already
-
-        def tiles(m: np.ndarray, c: np.ndarray, n: np.ndarray, skip: int) -> pa.RecordBatch:
-            new = np.concatenate([[True], (m[1:] != m[:-1]) | (c[1:] != c[:-1])])  # copies of one class lie side by side
-            kept = np.flatnonzero(new)
-            skip = int(new[:skip].sum())
-            m, c, n = m[kept], c[kept], n[kept]
-            opens = np.concatenate([[True], m[1:] != m[:-1]])
-            band = np.floor(np.log(n) / log).astype(np.int64)
-            leads = opens | np.concatenate([[True], band[1:] != band[:-1]])
-            leader = c[np.flatnonzero(leads)[np.cumsum(leads) - 1]]
-            several = ~opens
-            several[:-1] |= ~opens[1:]
-            several[:skip] = False
-            return pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (m, c, n, leader)], names=["m", "class", "n", "leader"])
-
+        held: tuple[int, int] | None = None  # member and leader of the tile in progress
         for batch in batches:
             m, c, n = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
             if not len(m):
                 continue
-            if held is not None:
-                m, c, n = (np.concatenate([h, x]) for h, x in zip(held, (m, c, n), strict=True))
-            tail = int(np.searchsorted(m, m[-1]))  # the last tile may go on
-            if len(m) - tail > 64:  # send it as far as it is known, keep its leader's row
-                yield tiles(m, c, n, sent)
-                lead = tail + int(np.flatnonzero(np.floor(np.log(n[tail:]) / log) == math.floor(math.log(n[-1]) / log))[0])
-                held, sent = tuple(x[[lead, len(m) - 1]] if lead < len(m) - 1 else x[[lead]] for x in (m, c, n)), 2
-                sent = len(held[0])
-            else:
-                if tail:
-                    yield tiles(m[:tail], c[:tail], n[:tail], sent)
-                    sent = 0
-                held = (m[tail:], c[tail:], n[tail:])
-        if held is not None:
-            yield tiles(*held, sent)
+            opens = np.concatenate([[held is None or held[0] != m[0]], m[1:] != m[:-1]])
+            at = np.cumsum(opens) - 1 + (not opens[0])
+            leads = c[opens] if opens[0] else np.concatenate([[held[1]], c[opens]])
+            leader = leads[at]
+            held = (int(m[-1]), int(leader[-1]))
+            ok = leader != c
+            part = pa.table([pa.array(x[ok]) for x in (leader, c, n)], names=["leader", "class", "n"])
+            yield from part.group_by(["leader", "class", "n"]).aggregate([]).to_batches()
 
     entries = rows.select(F.explode("first").alias("m"), "class", "n")
-    return entries.repartition("m").sortWithinPartitions("m", "n", "class").mapInArrow(run, "m long, class long, n long, leader long")
+    return entries.repartition("m").sortWithinPartitions("m", "n", "class").mapInArrow(run, "leader long, class long, n long").distinct()
 
 
 def _compatible(na: np.ndarray, nb: np.ndarray, per_cent: int) -> np.ndarray:
     return (100 * na >= per_cent * nb) & (100 * nb >= per_cent * na)
 
 
-def _may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, per_cent: int) -> np.ndarray:
-    """a, b: signatures (rows, words). Whether the bound on the overlap leaves the threshold within reach."""
-    only_a = np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64)
-    only_b = np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64)
-    most = np.minimum(na - only_a, nb - only_b)
-    return (100 + per_cent) * most >= per_cent * (na + nb)
+def _may_link(a: list[np.ndarray], b: list[np.ndarray], na: np.ndarray, nb: np.ndarray, per_cent: int) -> np.ndarray:
+    """a, b: signatures as words, the longer of a pair folded to the shorter. Whether the bound on the overlap leaves the threshold within reach."""
+    out = np.zeros(len(na), bool)
+    width = np.minimum([len(x) for x in a], [len(x) for x in b]) if len(na) else np.zeros(0, int)
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        for part in np.array_split(at, -(-len(at) * int(w) // 4_000_000)):
+            x, y = np.stack([_fold(a[k], w) for k in part]), np.stack([_fold(b[k], w) for k in part])
+            only_a = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+            only_b = np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+            most = np.minimum(na[part] - only_a, nb[part] - only_b)
+            out[part] = (100 + per_cent) * most >= per_cent * (na[part] + nb[part])
+    return out
+
+
+def _fold(signature: np.ndarray, words: int) -> np.ndarray:
+    while len(signature) > words:
+        half = len(signature) // 2
+        signature = signature[:half] | signature[half:]
+    return signature
+
 
+def _words(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64)
 
+def _links(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
+    """Exact, on sorted distinct members."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # merges two sorted runs
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= per_cent * (len(a) + len(b) - shared)
 
-def _verify(pairs: DataFrame, sets: DataFrame, per_cent: int, bounded: bool = False) -> DataFrame:
-    """Of the pairs (a, b) of classes, those that link."""
+
+def _verify(stars: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Of the pairs (class, leader), those that link, as (a, b)."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             na, nb = x.column(2).to_numpy(), x.column(3).to_numpy()
-            ok = _compatible(na, nb, per_cent)
-            if len(x):
-                ok &= _may_link(_signatures(x.column(4)), _signatures(x.column(5)), na, nb, per_cent)
-            yield x.select([0, 1]).filter(pa.array(ok))
+            ok = np.flatnonzero(_compatible(na, nb, per_cent))
+            near = _may_link(_words(x.column(4).take(pa.array(ok))), _words(x.column(5).take(pa.array(ok))), na[ok], nb[ok], per_cent)
+            yield x.select([0, 1]).take(pa.array(ok[near]))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            ok = []
-            for s, t in zip(x.column(2), x.column(3), strict=True):
-                s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
-                both = np.concatenate([s, t])
-                both.sort(kind="stable")  # merges two sorted runs
-                inter = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * inter >= per_cent * (len(s) + len(t) - inter))
+            ok = [_links(s, t, per_cent) for s, t in zip(_words(x.column(2)), _words(x.column(3)), strict=True)]
             yield x.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     left = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"), F.col("members").alias("ma"))
     right = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"), F.col("members").alias("mb"))
-    if not bounded:
-        pairs = pairs.join(left.drop("ma"), "a").join(right.drop("mb"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bound, "a long, b long")
-    return pairs.join(left.select("a", "ma"), "a").join(right.select("b", "mb"), "b").select("a", "b", "ma", "mb").mapInArrow(exact, "a long, b long")
+    pairs = stars.select(F.col("class").alias("a"), F.col("leader").alias("b"))
+    near = pairs.join(left.drop("ma"), "a").join(right.drop("mb"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bound, "a long, b long")
+    return near.join(left.select("a", "ma"), "a").join(right.select("b", "mb"), "b").select("a", "b", "ma", "mb").mapInArrow(exact, "a long, b long")
 
 
-def _block_pairs(tiles: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (a, b) of classes of one tile and different components that the sizes and signatures allow."""
-    sizes = tiles.groupBy("m").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("m", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    open_rows = tiles.join(sizes, "m").withColumn("block", F.pmod(F.xxhash64("class", "m"), F.col("blocks")).cast("int"))
+def _grouped(stars: DataFrame) -> DataFrame:
+    """stars (leader, class, n, comp) of leaders with several components, dealt over pairs of blocks: with i, j and the row's own block."""
+    sizes = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("leader", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    placed = stars.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("class", "leader"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    placed = open_rows.select("m", "class", "n", "comp", "block", F.explode(pair).alias("p")).select("m", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "class", "n", "comp")
-    signed = placed.join(sets.select("class", "signature"), "class").select("m", "i", "j", "block", "class", "n", "comp", "signature")
+    return placed.select("leader", "class", "n", "comp", "block", F.explode(pair).alias("p")).select("leader", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "class", "n", "comp")
+
+
+def _compare(groups: DataFrame, per_cent: int, exact: bool) -> DataFrame:
+    """groups: _grouped() with signature (and with members if exact), all pairs of a block pair. -> (a, b): links if exact, else pairs that may link."""
+
+    def compare(x: pa.RecordBatch) -> list[tuple[int, int]]:
+        i, j, block, c, n, comp = (x.column(k).to_numpy() for k in range(1, 7))
+        left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+        a, b = (y.ravel() for y in np.meshgrid(left, right, indexing="ij"))
+        ok = (comp[a] != comp[b]) & _compatible(n[a], n[b], per_cent)
+        if i[0] == j[0]:
+            ok &= a < b
+        a, b = a[ok], b[ok]
+        if not len(a):
+            return []
+        s = _words(x.column(7))
+        ok = _may_link([s[k] for k in a], [s[k] for k in b], n[a], n[b], per_cent)
+        a, b = a[ok], b[ok]
+        if not exact:
+            return list(zip(c[a].tolist(), c[b].tolist(), strict=True))
+        members, up, out = _words(x.column(8)), {}, []
+
+        def root(k: int) -> int:
+            while (p := up.get(k, k)) != k:
+                k = p
+            return k
+
+        for p, q in zip(a.tolist(), b.tolist(), strict=True):
+            u, v = root(int(comp[p])), root(int(comp[q]))
+            if u != v and _links(members[p], members[q], per_cent):  # one link between two components is enough
+                up[max(u, v)] = min(u, v)
+                out.append((int(c[p]), int(c[q])))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
-        def compare(x: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-            i, j, block, c, n, comp = (x.column(k).to_numpy() for k in range(1, 7))
-            left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
-            a, b = (y.ravel() for y in np.meshgrid(left, right, indexing="ij"))
-            ok = (comp[a] != comp[b]) & _compatible(n[a], n[b], per_cent)
-            if i[0] == j[0]:
-                ok &= a < b
-            a, b = a[ok], b[ok]
-            if len(a):
-                s = _signatures(x.column(7))
-                ok = _may_link(s[a], s[b], n[a], n[b], per_cent)
-                a, b = a[ok], b[ok]
-            return c[a], c[b]
-
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            x = t.combine_chunks().to_batches()
-            if not x:
-                return
-            x = x[0]
-            m, i, j = (x.column(k).to_numpy() for k in range(3))
-            cuts = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
-            found = [compare(x.slice(p, q - p)) for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if q - p > 1]
-            if found:
-                a, b = (np.concatenate(y) for y in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            for x in t.combine_chunks().to_batches():
+                m, i, j = (x.column(k).to_numpy() for k in range(3))
+                cuts = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
+                found = dict.fromkeys(p for u, v in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if v - u > 1 for p in compare(x.slice(u, v - u)))
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
+            if not len(batch):
+                continue
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([rest, t]) if rest is not None else t
-            if not len(t):
-                continue
             m, i, j = (t.column(k).to_numpy() for k in range(3))
-            tail = int(np.flatnonzero((m != m[-1]) | (i != i[-1]) | (j != j[-1]))[-1]) + 1 if (m[0], i[0], j[0]) != (m[-1], i[-1], j[-1]) else 0
+            other = np.flatnonzero((m != m[-1]) | (i != i[-1]) | (j != j[-1]))  # the last group may go on
+            tail = int(other[-1]) + 1 if len(other) else 0
             yield from pairs(t.slice(0, tail))
             rest = t.slice(tail)
         if rest is not None:
             yield from pairs(rest)
 
-    return signed.repartition("m", "i", "j").sortWithinPartitions("m", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    columns = ["leader", "i", "j", "block", "class", "n", "comp", "signature", *["members"] * exact]
+    return groups.select(*columns).repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, per_cent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,18 +250,24 @@ def jaccard_components(docs: DataFrame, per_cent: int = 75, width: int = 5, id_c
         again = stage(_sets(docs, width, per_cent, id_col, text_col, common))
         drop_staged(rows)
         rows = again
-    tiles = stage(_tiles(rows.where("n > 0").select("class", "n", "first").dropDuplicates(["class"]), per_cent))
+    release(docs.sparkSession)
+    stars = stage(_stars(rows.where("n > 0").select("class", "n", "first").dropDuplicates(["class"])))
     slim = stage(rows.drop("first"))
     drop_staged(rows)
+    release(docs.sparkSession)
 
-    wanted = stage(slim.join(tiles.select("class").distinct(), "class").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
+    met = stars.select("class").union(stars.select("leader")).distinct()
+    wanted = stage(slim.join(met, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
     sets = stage(_members(docs, wanted.select("doc_id").distinct(), width, id_col, text_col).join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
 
-    stars = tiles.where(F.col("class") != F.col("leader")).select(F.col("class").alias("a"), F.col("leader").alias("b")).distinct()
     links = stage(_verify(stars, sets, per_cent))
     components = stage(connected_components(links))
-    grouped = tiles.join(components.withColumnRenamed("id", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class")).select("m", "class", "n", "comp")
-    more = stage(_verify(_block_pairs(stage(grouped), sets, per_cent), sets, per_cent, bounded=True))
+    release(docs.sparkSession)
+    groups = _grouped(stars.join(components.withColumnRenamed("id", "class"), "class", "left").select("leader", "class", "n", F.coalesce("component", "class").alias("comp")))
+    groups = stage(groups)
+    close = stage(_compare(groups.join(sets.select("class", "signature"), "class"), per_cent, exact=False))
+    close = close.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    more = stage(_compare(groups.join(close, "class", "left_semi").join(sets.select("class", "signature", "members"), "class"), per_cent, exact=True))
     if not more.isEmpty():
         # links between components of the first round
         up = components.select(F.col("id"), "component")
@@ -274,8 +287,8 @@ def jaccard_components(docs: DataFrame, per_cent: int = 75, width: int = 5, id_c
 def _members(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                sets = [s for s in shingle_sets(batch.column(0).slice(at, 500), width) if len(s)]
+            for at in range(0, len(batch), 200):
+                sets = [s for s in shingle_sets(batch.column(0).slice(at, 200), width) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                     names=["class", "n", "signature", "members"],

@@ -32,23 +32,40 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+#: Bytes hashed at once, about: bounds what a task holds beside the texts and 8 bytes a word.
+CHUNK = 1 << 19
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs of anything but ASCII white space, A-Z as a-z), and the first word of each row (one more than rows)."""
+    at, hashes, starts = 0, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    while at < len(raw):
+        end = at + CHUNK
+        while end < len(raw) and not (gaps := np.flatnonzero(_SPACE[raw[end : end + CHUNK]])).size:
+            end += CHUNK
+        end = min(end + int(gaps[0]), len(raw)) if end < len(raw) else len(raw)  # chunks end between words
+        h, w = _chunk_hashes(raw[at:end], offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end)] - at)
+        hashes.append(h)
+        starts.append(w + at)
+        at = end
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def _chunk_hashes(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of some bytes; edges: where rows begin, which ends a word too."""
     ink = ~_SPACE[raw]
     if not ink.any():
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     opens = ink.copy()
     opens[1:] &= ~ink[:-1]
-    edges = offsets[:-1][offsets[:-1] < len(raw)]
-    opens[edges] = ink[edges]  # rows do not run into each other
+    opens[edges] = ink[edges]
     starts = np.flatnonzero(opens)
     letters = raw[ink]
     first = np.cumsum(ink, dtype=np.int64)[starts] - 1  # where each word begins among its letters
     lengths = np.diff(np.append(first, len(letters)))
     place = np.arange(len(letters)) - np.repeat(first, lengths)
     power = np.multiply.accumulate(np.full(int(lengths.max()), _STEP, np.uint64))
-    hashes = mix(np.add.reduceat(_BYTE[letters] * power[place], first))
-    return hashes, np.searchsorted(starts, offsets)
+    return mix(np.add.reduceat(_BYTE[letters] * power[place], first)), starts
 
 
 def shingle_sets(column: pa.Array, width: int = 5) -> list[np.ndarray]:

@@ -17,16 +17,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StringType
 
-from lattica.llm.common import drop_staged, stage
+from lattica.llm.common import drop_staged, release, stage
 from lattica.llm.shingles import mix, utf8
 from lattica.llm.suffixes import common, deep_shallow_sort
 
 #: Bytes that members of a group share at least. Longer grams meet less often by chance, shorter ones make fewer anchors.
 GRAM = 100
 #: Anchors of a group that one task sorts; larger groups are dealt over the cluster by their strings' hashes.
-GROUP = 200
+GROUP = 3_000
 #: Bytes hashed at once; a power of two of 22 bits at most, as a place is kept in the low bits of a hash.
 PIECE = 1 << 20
 
@@ -183,6 +183,7 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stage(found.join(sizes, "key"))
     drop_staged(found)
+    release(docs.sparkSession)
 
     # the bytes around shared anchors, from one row of each text
     places = shared.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("place", "key", "size"))).alias("places"))
@@ -203,8 +204,9 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["key", "size", "class", "place", "before", "after"])
 
     around = long.join(at, ["class", "doc_id"]).select("class", "text", "places")
-    # repeated rows of one doc_id and text give equal contexts
-    around = stage(around.mapInArrow(cut, "key long, size long, class long, place int, before binary, after binary").dropDuplicates(["class", "place"]))
+    around = stage(around.mapInArrow(cut, "key long, size long, class long, place int, before binary, after binary"))
+    drop_staged(shared)
+    release(docs.sparkSession)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -212,6 +214,11 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
         def groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
             for x in t.combine_chunks().to_batches():
                 key, cls, place = (x.column(k).to_numpy() for k in range(3))
+                new = np.ones(len(x), bool)  # repeated rows of one doc_id and text give equal contexts
+                new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (place[1:] != place[:-1])
+                if not new.all():
+                    x = x.filter(pa.array(new))
+                    key, cls, place = (x.column(k).to_numpy() for k in range(3))
                 before, after = x.column(3).to_pylist(), x.column(4).to_pylist()
                 cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])).tolist()
                 hits = [(i + a, got) for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for i, got in enumerate(repeats(list(zip(before[a:b], after[a:b], strict=True)), length)) if got]
@@ -233,7 +240,7 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
             yield from groups(rest)
 
     small = around.where(F.col("size") <= GROUP).select("key", "class", "place", "before", "after")
-    pieces = small.repartition("key").sortWithinPartitions("key").mapInArrow(settle, "class long, lo long, hi long")
+    pieces = small.repartition("key").sortWithinPartitions("key", "class", "place").mapInArrow(settle, "class long, lo long, hi long")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +252,8 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
                     lo = place[i] - len(before) + np.arange(len(h))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key[i])), pa.array(h), pa.array(np.full(len(h), cls[i])), pa.array(lo.astype(np.int64)), pa.array((place[i] - lo).astype(np.int32))], names=["key", "h", "class", "lo", "o"])
 
-    big = around.where(F.col("size") > GROUP).select("key", "class", "place", "before", "after").mapInArrow(strings, "key long, h long, class long, lo long, o int")
+    large = around.where(F.col("size") > GROUP).select("key", "class", "place", "before", "after")
+    big = large.dropDuplicates(["key", "class", "place"]).mapInArrow(strings, "key long, h long, class long, lo long, o int")
     # o, the anchor's place in the string: a string that holds two anchors of one key is met twice, but not at one o
     again = big.groupBy("key", "o", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "o", "h")
     runs = big.join(again, ["key", "o", "h"]).select("class", "lo", (F.col("lo") + length).alias("hi"))
@@ -258,6 +266,8 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
         lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["hi"] >= x["lo"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["lo"].alias("lo"), F.greatest(F.get(acc, F.size(acc) - 1)["hi"], x["hi"]).alias("hi"))))).otherwise(F.concat(acc, F.array(x))),
     )
     covered = stage(covered.select("class", joined.alias("spans")))
+    drop_staged(around)
+    release(docs.sparkSession)
     per_class = classes.join(covered, "class", "left").select("class", "n_bytes", F.when(F.col("copies") > 1, F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))).otherwise(F.col("spans")).alias("spans"))
     return slim.distinct().join(per_class.where("spans is not null"), ["class", "n_bytes"])
 
@@ -276,6 +286,12 @@ def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([cut(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
 
+@F.pandas_udf(StringType())
+def readable(kept: pd.Series) -> pd.Series:
+    """Bytes as text, without what is left of characters that were cut in two."""
+    return kept.map(lambda b: b.decode("utf-8", "ignore"))
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with kept (binary: the remaining bytes in order), n_bytes, n_removed, n_spans (long).
 
