@@ -1,4 +1,474 @@
 """Every registered query and its DuckDB twin."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lattica.functions import geo, timeaxis
+from lattica.operators import align, grid, spectral, stats, verify
+from lattica.plans import views as v
+from lattica.spec import Region
+from lattica.streaming.verification import windowed
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def put(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLE[key] = sql
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.pair_models(v.grid_pair(spark, sf), "an", {"fc": "fc", "pr": "pr"}, ["t", "y", "x", "lat"])
+
+
+# verification: a query per metric, and all of them in one aggregation
+
+_THR = 40000.0
+_E = "1e-6::DOUBLE"
+_METRIC_SQL = {
+    "rmse": "sqrt(avg((a - b) * (a - b)))",
+    "mae": "avg(abs(a - b))",
+    "bias": "avg(a - b)",
+    "mape": f"avg(abs((a - b) / (a + {_E})) * 100)",
+    "stderr": "stddev_pop(a - b)",
+    "r2": f"1 - sum((a - b) * (a - b)) / (var_pop(a) * count(a) + {_E})",
+    "fss": f"1 - avg(power(CASE WHEN a > {_THR} THEN 1e0 ELSE 0e0 END - CASE WHEN b > {_THR} THEN 1e0 ELSE 0e0 END, 2)) / (avg(CASE WHEN a > {_THR} THEN 1e0 ELSE 0e0 END + CASE WHEN b > {_THR} THEN 1e0 ELSE 0e0 END) + {_E})",
+    "sal_s": f"(stddev_pop(b) - stddev_pop(a)) / (stddev_pop(a) + {_E})",
+    "sal_a": f"(avg(b) - avg(a)) / (avg(a) + {_E})",
+    "sal_l": "sum(b * abs(b)) / sum(abs(b)) - sum(a * abs(a)) / sum(abs(a))",
+}
+
+
+def _cell_query(names: list[str], key: str) -> None:
+    sql = f"WITH {v.PAIR}, {v.PAIRS} SELECT model, y, x, " + ", ".join(f"round({_METRIC_SQL[n]}, 4) {n}" for n in names) + " FROM pairs GROUP BY 1, 2, 3"
+    query(sql, key)(lambda spark, sf: rounded(verify.cell_metrics(pairs(spark, sf), ["model", "y", "x"], names, _THR), *names))
+
+
+for _n in ("rmse", "mae", "bias", "mape", "stderr", "r2", "fss"):
+    _cell_query([_n], f"{_n}_cell")
+_cell_query(["sal_s", "sal_a", "sal_l"], "sal_cell")
+_cell_query(verify.METRICS, "all_metrics_cell")
+
+_CELLS = f"{v.PAIR}, {v.PAIRS}, cells AS (SELECT model, y, x, lat, " + ", ".join(f"{_METRIC_SQL[n]} {n}" for n in verify.METRICS) + " FROM pairs GROUP BY 1, 2, 3, 4)"
+_W = "cos(radians(lat))"
+
+
+def _means(names: list[str]) -> str:
+    return ", ".join(f"round(sum({n} * {_W}) / sum({_W}), 4) {n}" for n in names)
+
+
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.cell_metrics(pairs(spark, sf), ["model", "y", "x", "lat"], None, _THR)
+
+
+@query(f"WITH {_CELLS} SELECT model, {_means(verify.METRICS)} FROM cells GROUP BY 1")
+def geo_mean_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    means = _cells(spark, sf).groupBy("model").agg(*[verify.geo_mean(F.col(n), F.col("lat")).alias(n) for n in verify.METRICS])
+    return rounded(means, *verify.METRICS)
+
+
+_G = ["rmse", "mae", "bias"]
+
+
+@query(f"WITH {_CELLS} SELECT model, y, x, CAST(grouping(y) AS INT) all_y, CAST(grouping(x) AS INT) all_x, {_means(_G)} FROM cells GROUP BY GROUPING SETS ((model), (model, y), (model, x))")
+def metric_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(verify.area_means(_cells(spark, sf), _G, [[], ["y"], ["x"]], ["model"]).select("model", "y", "x", "all_y", "all_x", *_G), *_G)
+
+
+@query(
+    f"WITH {_CELLS}, m AS (SELECT model, " + ", ".join(f"sum({n} * {_W}) / sum({_W}) {n}" for n in _G) + " FROM cells GROUP BY 1), l AS (UNPIVOT m ON rmse, mae, bias INTO NAME metric VALUE value), "
+    "w AS (SELECT metric, max(CASE WHEN model = 'fc' THEN value END) v1, max(CASE WHEN model = 'pr' THEN value END) v2 FROM l GROUP BY 1) "
+    "SELECT metric, round(v1, 4) v1, round(v2, 4) v2, round(v2 - v1, 4) diff, round(abs(v2) - abs(v1), 4) abs_diff, round((abs(v2) - abs(v1)) / (abs(v1) + 1e-10::DOUBLE) * 100, 4) pct FROM w"
+)
+def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    means = _cells(spark, sf).groupBy("model").agg(*[verify.geo_mean(F.col(n), F.col("lat")).alias(n) for n in _G])
+    return rounded(verify.compare(means, _G, "fc", "pr"), "v1", "v2", "diff", "abs_diff", "pct")
+
+
+@query(
+    f"WITH {v.PAIR}, {v.PAIRS}, k AS (SELECT model, var_samp(a) w FROM pairs GROUP BY 1) SELECT model, round(avg((b - a) * (b - a) / (w + {_E})) + 0.1::DOUBLE * avg(exp(-abs(a - 0.5::DOUBLE * b) / 5e4::DOUBLE) * (0.5::DOUBLE * b) * (0.5::DOUBLE * b)), 2) loss FROM pairs JOIN k USING (model) GROUP BY 1"
+)
+def hetero_loss(spark: SparkSession, sf: str) -> DataFrame:
+    given = pairs(spark, sf).select("model", F.col("a").alias("y"), F.col("b").alias("p"), (0.5 * F.col("b")).alias("x"))
+    return rounded(verify.weighted_loss(given, ["model"], 0.1, 5e4), "loss", digits=2)
+
+
+# statistics
+
+_LONG = f"WITH {v.PAIR}, {v.LONG}"
+_STATS = "st AS (SELECT variable, avg(value) mean, sqrt(var_pop(value) + 1e-6::DOUBLE) std FROM long GROUP BY 1)"
+
+
+@query(f"{_LONG}, {_STATS} SELECT variable, round(mean, 4) mean, round(std, 4) std FROM st")
+def channel_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.channel_stats(v.long(spark, sf)), "mean", "std")
+
+
+@query(f"{_LONG}, {_STATS} SELECT t, y, x, variable, round((value - mean) / (std + 1e-6::DOUBLE), 4) \"value\" FROM long JOIN st USING (variable)")
+def normalize(spark: SparkSession, sf: str) -> DataFrame:
+    rows = v.long(spark, sf)
+    return rounded(stats.normalise(rows, stats.channel_stats(rows)).select("t", "y", "x", "variable", "value"), "value")
+
+
+@query(f"{_LONG}, {_STATS} SELECT t, y, x, variable, round((value - mean) / (std + 1e-6::DOUBLE) * std + mean, 2) \"value\" FROM long JOIN st USING (variable)")
+def denormalize(spark: SparkSession, sf: str) -> DataFrame:
+    rows = v.long(spark, sf)
+    fitted = stats.channel_stats(rows)
+    return rounded(stats.denormalise(stats.normalise(rows, fitted), fitted).select("t", "y", "x", "variable", "value"), "value", digits=2)
+
+
+@query(f"{_LONG} SELECT variable, count(value) n, round(avg(value), 4) mean, round(stddev_pop(value), 4) std, round(min(value), 4) min, round(max(value), 4) max FROM long GROUP BY 1")
+def profile(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.profile(v.long(spark, sf)), "mean", "std", "min", "max")
+
+
+_Q = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+
+
+@query(f"{_LONG} SELECT variable, q, round(quantile_cont(value, q), 4) \"value\" FROM long, (SELECT unnest({_Q}::DOUBLE[]) q) GROUP BY 1, 2".replace("quantile_cont(value, q)", "CASE q " + " ".join(f"WHEN {q}::DOUBLE THEN quantile_cont(value, {q}::DOUBLE)" for q in _Q) + " END"))
+def quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.quantiles(v.long(spark, sf), "variable", "value", _Q), "value")
+
+
+@query(f"{_LONG} SELECT variable, CAST(CASE WHEN value <= 20000 THEN 0 WHEN value <= 40000 THEN 1 WHEN value <= 60000 THEN 2 ELSE 3 END AS INT) regime, count(*) n, round(avg(value), 4) mean, round(stddev_pop(value), 4) std FROM long GROUP BY 1, 2")
+def regimes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = v.long(spark, sf).withColumn("regime", stats.regime(F.col("value"), [20000.0, 40000.0, 60000.0]).cast("int"))
+    return rounded(rows.groupBy("variable", "regime").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")), "mean", "std")
+
+
+@query(f"WITH {v.PAIR} SELECT y, x, round(avg(an), 4) an, round(avg(fc), 4) fc FROM grid_pair GROUP BY 1, 2")
+def time_mean(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(v.grid_pair(spark, sf).groupBy("y", "x").agg(F.avg("an").alias("an"), F.avg("fc").alias("fc")), "an", "fc")
+
+
+@query(f"WITH {v.MEMBER} SELECT y, x, round(avg(an), 4) an FROM grid_member GROUP BY 1, 2")
+def average_members(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(v.grid_member(spark, sf).groupBy("y", "x").agg(F.avg("an").alias("an")), "an")
+
+
+_SEASON = "CASE WHEN month(t) IN (12, 1, 2) THEN 'DJF' WHEN month(t) <= 5 THEN 'MAM' WHEN month(t) <= 8 THEN 'JJA' ELSE 'SON' END"
+
+
+@query(f"WITH {v.PAIR} SELECT {_SEASON} season, y, x, round(avg(an), 4) an FROM grid_pair GROUP BY 1, 2, 3")
+def season_mean(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(v.grid_pair(spark, sf).groupBy(stats.season(F.col("t")).alias("season"), "y", "x").agg(F.avg("an").alias("an")), "an")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY md5('42|' || o_orderkey), o_orderkey) <= floor((SELECT count(*) FROM orders) * 0.9::DOUBLE) train FROM orders")
+def exact_split(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.split_exact(v.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 0.9, 42)
+
+
+_FIT = f"{v.PAIR}, {v.PAIRS}, fit AS (SELECT model, y, x, CASE WHEN var_pop(b) = 0 THEN 1 ELSE regr_slope(a, b) END slope, CASE WHEN var_pop(b) = 0 THEN avg(a - b) ELSE regr_intercept(a, b) END intercept FROM pairs WHERE t < TIMESTAMP '2000-01-01' GROUP BY 1, 2, 3)"
+
+
+def _train(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    p, cut = pairs(spark, sf), F.expr("timestamp_ntz'2000-01-01 00:00:00'")
+    return p.where(F.col("t") < cut), p.where(F.col("t") >= cut)
+
+
+@query(f"WITH {_FIT} SELECT model, y, x, round(slope, 4) slope, round(intercept, 3) intercept FROM fit")
+def linear_correction(spark: SparkSession, sf: str) -> DataFrame:
+    fit = stats.fit_linear(_train(spark, sf)[0], ["model", "y", "x"])
+    return rounded(rounded(fit, "slope"), "intercept", digits=3)
+
+
+@query(f"WITH {_FIT}, p AS (SELECT model, a, slope * b + intercept p FROM pairs JOIN fit USING (model, y, x) WHERE t >= TIMESTAMP '2000-01-01') SELECT model, round(avg(p), 3) mean, round(stddev_samp(p), 3) std, round(sqrt(avg((a - p) * (a - p))), 3) rmse FROM p GROUP BY 1")
+def verify_correction(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = _train(spark, sf)
+    p = stats.apply_linear(test, stats.fit_linear(train, ["model", "y", "x"]), ["model", "y", "x"])
+    d = F.col("a") - F.col("p")
+    return rounded(p.groupBy("model").agg(F.avg("p").alias("mean"), F.stddev_samp("p").alias("std"), F.sqrt(F.avg(d * d)).alias("rmse")), "mean", "std", "rmse", digits=3)
+
+
+# time and alignment
+
+_START, _END = datetime(2024, 1, 1), datetime(2024, 1, 31)
+_SPINE12 = "spine AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31 12:00:00', INTERVAL 12 HOUR)) t)"
+
+
+def _spine12(spark: SparkSession) -> DataFrame:
+    return timeaxis.spine(spark, _START, _END, "12h")
+
+
+@query(f"WITH {_SPINE12} SELECT t FROM spine")
+def date_spine(spark: SparkSession, sf: str) -> DataFrame:
+    return _spine12(spark)
+
+
+@query("SELECT unnest(generate_series(TIMESTAMP '1995-02-01', TIMESTAMP '2001-12-31', INTERVAL 1 MONTH)) t")
+def month_spine(spark: SparkSession, sf: str) -> DataFrame:
+    return timeaxis.spine(spark, datetime(1995, 1, 15), datetime(2001, 12, 31), "MS")
+
+
+@query(f"WITH {v.SERIES}, {_SPINE12} SELECT t FROM spine ANTI JOIN series USING (t)")
+def missed_dates(spark: SparkSession, sf: str) -> DataFrame:
+    return align.missing(_spine12(spark), v.series(spark, sf))
+
+
+_GONE = "gone AS (SELECT DISTINCT t FROM grid_pair WHERE an > 60000 AND y = 0)"
+
+
+def _gone(spark: SparkSession, sf: str, y: int = 0) -> DataFrame:
+    return v.grid_pair(spark, sf).where((F.col("an") > 60000) & (F.col("y") == y)).select("t").distinct()
+
+
+@query(f"WITH {v.PAIR}, {_GONE} SELECT t, y, x, round(an, 4) an FROM grid_pair ANTI JOIN gone USING (t)")
+def drop_missed(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(align.without(v.grid_pair(spark, sf), _gone(spark, sf)).select("t", "y", "x", "an"), "an")
+
+
+@query(f"WITH {v.PAIR} SELECT DISTINCT t FROM grid_pair WHERE an > 60000 AND y IN (0, 1)")
+def missed_union(spark: SparkSession, sf: str) -> DataFrame:
+    return align.missing_anywhere([_gone(spark, sf, 0), _gone(spark, sf, 1)])
+
+
+@query("SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) t FROM orders")
+def month_snap(spark: SparkSession, sf: str) -> DataFrame:
+    return v.table(spark, sf, "orders").select("o_orderkey", v.month(F.col("o_orderdate")).alias("t"))
+
+
+_LEAD = "lead AS (SELECT t, y, x, realization, CAST(24 * realization AS DOUBLE) lead, an FROM grid_member)"
+
+
+@query(f"WITH {v.MEMBER}, {_LEAD}, b AS (SELECT t, y, x, min((abs(lead - 60), lead)) k FROM (SELECT t, y, x, lead FROM lead) GROUP BY 1, 2, 3) SELECT t, y, x, l.lead, round(an, 4) an FROM lead l JOIN b USING (t, y, x) WHERE l.lead = b.k[2]".replace("min((abs(lead - 60), lead)) k", "min(abs(lead - 60) * 1000 + lead) k").replace("b.k[2]", "(b.k % 1000)"))
+def nearest_lead(spark: SparkSession, sf: str) -> DataFrame:
+    led = v.grid_member(spark, sf).withColumn("lead", F.col("realization") * 24.0)
+    return rounded(align.nearest_lead(led, 60.0, ["t", "y", "x"]).select("t", "y", "x", "lead", "an"), "an")
+
+
+_FILES = "files AS (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) t, ts mtime, CAST(event_id AS VARCHAR) path FROM events)"
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    return v.table(spark, sf, "events").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t"), F.col("ts").alias("mtime"), F.col("event_id").cast("string").alias("path"))
+
+
+@query(f"WITH {_FILES}, r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY mtime DESC, path) k FROM files) SELECT t, path, CAST(k AS INT) \"rank\" FROM r WHERE k <= 3")
+def newest_k(spark: SparkSession, sf: str) -> DataFrame:
+    return align.newest(_files(spark, sf), 3).select("t", "path", "rank")
+
+
+@query(
+    f"WITH {_FILES}, s AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31 06:00:00', INTERVAL 6 HOUR)) t), c AS (SELECT s.t, path, CASE WHEN f.t = s.t THEN 0 WHEN f.t < s.t THEN 1 ELSE 2 END kind FROM s JOIN files f ON f.t IN (s.t, s.t - INTERVAL 1 HOUR, s.t + INTERVAL 1 HOUR)) "
+    "SELECT t, CAST(kind AS INT) kind, path FROM c WHERE kind = (SELECT min(kind) FROM c d WHERE d.t = c.t)"
+)
+def tolerance_match(spark: SparkSession, sf: str) -> DataFrame:
+    return align.tolerant(timeaxis.spine(spark, _START, _END, "6h"), _files(spark, sf), 1, 1).select("t", "kind", "path")
+
+
+@query(
+    f"WITH {v.MEMBER}, n AS (SELECT t, count(DISTINCT realization) n FROM grid_member GROUP BY 1), r AS (SELECT *, dense_rank() OVER (PARTITION BY t ORDER BY realization) - 1 k FROM grid_member) SELECT t, y, x, CAST(k AS INT) realization, round(an, 4) an FROM r WHERE k < (SELECT min(n) FROM n)"
+)
+def ensemble_align(spark: SparkSession, sf: str) -> DataFrame:
+    members = v.grid_member(spark, sf).withColumn("has_value", F.col("an").isNotNull())
+    return rounded(align.equal_members(members).select("t", "y", "x", "realization", "an"), "an")
+
+
+@query(f"WITH {v.MEMBER} SELECT t, y, x, count(DISTINCT realization) members, bool_or(an IS NOT NULL) any_valid FROM grid_member GROUP BY 1, 2, 3")
+def member_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return v.grid_member(spark, sf).groupBy("t", "y", "x").agg(F.countDistinct("realization").alias("members"), F.bool_or(F.col("an").isNotNull()).alias("any_valid"))
+
+
+@query(f"WITH {v.PAIR}, {v.MEMBER} SELECT t, y, x, realization, round(m.fc - p.an, 4) error FROM grid_member m JOIN grid_pair p USING (t, y, x)")
+def broadcast_members(spark: SparkSession, sf: str) -> DataFrame:
+    truth = v.grid_pair(spark, sf).select("t", "y", "x", "an")
+    members = v.grid_member(spark, sf).select("t", "y", "x", "realization", "fc")
+    return members.join(truth, ["t", "y", "x"]).select("t", "y", "x", "realization", F.round(F.col("fc") - F.col("an"), 4).alias("error"))
+
+
+@query(f"WITH {v.PAIR} SELECT t, y, x, round(coalesce(l.an, r.an), 4) an FROM (SELECT t, y, x, an FROM grid_pair WHERE y < 5) l FULL JOIN (SELECT t, y, x, an FROM grid_pair WHERE y > 3) r USING (t, y, x)")
+def source_sum(spark: SparkSession, sf: str) -> DataFrame:
+    g = v.grid_pair(spark, sf).select("t", "y", "x", "an")
+    return rounded(align.merge(g.where("y < 5"), g.where("y > 3"), ["t", "y", "x"], 1e-6), "an")
+
+
+@query(f"WITH {v.PAIR} SELECT t, y, x, round(an, 4) an, NULL::DOUBLE fc FROM grid_pair WHERE t < TIMESTAMP '1998-01-01' UNION ALL SELECT t, y, x, NULL, round(fc, 4) FROM grid_pair WHERE t >= TIMESTAMP '1998-01-01'")
+def concat_time(spark: SparkSession, sf: str) -> DataFrame:
+    g, cut = v.grid_pair(spark, sf), F.expr("timestamp_ntz'1998-01-01 00:00:00'")
+    parts = g.where(F.col("t") < cut).select("t", "y", "x", "an").unionByName(g.where(F.col("t") >= cut).select("t", "y", "x", "fc"), allowMissingColumns=True)
+    return rounded(parts, "an", "fc")
+
+
+@query(f"{_LONG} SELECT t, y, x, variable, round(value, 4) \"value\" FROM long")
+def stack_variables(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(v.long(spark, sf).drop("lat"), "value")
+
+
+@query(f"WITH {v.MEMBER} SELECT t, y, x, (dense_rank() OVER (ORDER BY t) - 1) * 7 + realization sample_id, round(an, 4) an FROM grid_member")
+def flatten_samples(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    members = v.grid_member(spark, sf)
+    order = members.select("t").distinct().withColumn("k", F.dense_rank().over(Window.orderBy("t")) - 1)  # a row per date
+    return members.join(order, "t").select("t", "y", "x", (F.col("k") * 7 + F.col("realization")).cast("long").alias("sample_id"), F.round("an", 4).alias("an"))
+
+
+@query(f"WITH {v.PAIR}, k AS (SELECT avg(an) > 0.5::DOUBLE * avg(fc) yes FROM grid_pair) SELECT t, y, x, round(CASE WHEN yes THEN an / 2 ELSE an END, 4) an FROM grid_pair, k")
+def unit_fix(spark: SparkSession, sf: str) -> DataFrame:
+    g = v.grid_pair(spark, sf)
+    means = g.agg((F.avg("an") > 0.5 * F.avg("fc")).alias("_yes"))
+    return g.crossJoin(F.broadcast(means)).select("t", "y", "x", F.round(F.when(F.col("_yes"), F.col("an") / 2).otherwise(F.col("an")), 4).alias("an"))
+
+
+# regions and grids
+
+_BOX = Region("box", (-121.0, -106.0), (43.0, 35.0))
+_OVER_CUT = Region("cut", (170.0, -150.0), (45.0, 33.0))
+
+
+@query(f"WITH {v.PAIR} SELECT t, y, x, round(an, 4) an FROM grid_pair WHERE lat BETWEEN 35 AND 43 AND lon BETWEEN -121 AND -106")
+def region_subset(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(grid.subset(v.grid_pair(spark, sf), _BOX).select("t", "y", "x", "an"), "an")
+
+
+_WRAP = "w AS (SELECT t, y, x, lat, CAST((160 + 10 * x + 180) % 360 - 180 AS DOUBLE) lon, an FROM grid_pair)"
+
+
+@query(f"WITH {v.PAIR}, {_WRAP} SELECT t, y, x, lon, round(an, 4) an FROM w WHERE lat BETWEEN 33 AND 45 AND (lon >= 170 OR lon <= -150)")
+def region_subset_wrap(spark: SparkSession, sf: str) -> DataFrame:
+    wrapped = v.grid_pair(spark, sf).withColumn("lon", geo.wrap(160.0 + 10.0 * F.col("x"), 0.0))
+    return rounded(grid.subset(wrapped, _OVER_CUT).select("t", "y", "x", "lon", "an"), "an")
+
+
+@query(f"WITH {v.CURV}, h AS (SELECT *, lon >= -121 AND lon < -106 AND lat >= 35 AND lat < 43 hit FROM grid_curv) SELECT y, x, CASE WHEN hit THEN v END v FROM h WHERE y IN (SELECT y FROM h WHERE hit) AND x IN (SELECT x FROM h WHERE hit)")
+def region_subset_curvilinear(spark: SparkSession, sf: str) -> DataFrame:
+    return grid.subset_curvilinear(v.grid_curv(spark), _BOX, ["v"]).select("y", "x", "v")
+
+
+@query(f"WITH {v.PAIR}, a AS (SELECT lat - lag(lat) OVER (ORDER BY lat) d FROM (SELECT DISTINCT lat FROM grid_pair)), b AS (SELECT lon - lag(lon) OVER (ORDER BY lon) d FROM (SELECT DISTINCT lon FROM grid_pair)) SELECT (SELECT round(avg(abs(d)), 6) FROM a) dlat, (SELECT round(avg(abs(d)), 6) FROM b) dlon")
+def grid_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(grid.resolution(v.grid_pair(spark, sf)), "dlat", "dlon", digits=6)
+
+
+@query(f"WITH {v.CURV}, d AS (SELECT abs(lat - lag(lat) OVER (PARTITION BY x ORDER BY y)) a, abs(lon - lag(lon) OVER (PARTITION BY y ORDER BY x)) b FROM grid_curv) SELECT round(median(a), 6) dlat, round(median(b), 6) dlon FROM d")
+def curvilinear_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(grid.curvilinear_resolution(v.grid_curv(spark)), "dlat", "dlon", digits=6)
+
+
+def _axis_sql(name: str, n: int, first: float, step: float, start: float, by: float, count: int, clamp: bool) -> str:
+    at = f"({start}::DOUBLE + {by}::DOUBLE * k - {first}::DOUBLE) / {step}::DOUBLE"
+    at = f"greatest(0e0, least({n - 1}e0, {at}))" if clamp else at
+    return (
+        f"{name} AS (SELECT CAST(k AS INT) k, i, CASE WHEN i = lo THEN 1 - (pos - lo) ELSE pos - lo END w FROM (SELECT k, pos, CAST(least(floor(pos + 1e-9::DOUBLE), {n - 2}) AS INT) lo FROM (SELECT k, {at} pos FROM range({count}) r(k)) WHERE pos BETWEEN -1e-9::DOUBLE AND {n - 1} + 1e-9::DOUBLE) z, LATERAL (SELECT unnest([lo, lo + 1]) i))"
+    )
+
+
+_LAT_TO, _LON_TO = [46.0 - 1.5 * k for k in range(12)], [-131.0 + 2.0 * k for k in range(20)]
+
+
+def _regrid_sql(clamp: bool) -> str:
+    axes = _axis_sql("wy", 8, 45, -2, 46, -1.5, 12, clamp) + ", " + _axis_sql("wx", 12, -130, 3, -131, 2, 20, clamp)
+    return f"WITH {v.SPINE}, {axes}, r AS (SELECT t, wy.k y, wx.k x, sum(an * wy.w * wx.w) v, sum(CASE WHEN an IS NOT NULL THEN wy.w * wx.w END) n FROM grid_spine g JOIN wy ON g.y = wy.i JOIN wx ON g.x = wx.i GROUP BY 1, 2, 3) SELECT t, y, x, round(CASE WHEN n > 1 - 1e-9::DOUBLE THEN v END, 3) an FROM r"
+
+
+def _regrid(spark: SparkSession, sf: str, fill: str) -> DataFrame:
+    return rounded(grid.regrid(v.grid_spine(spark, sf), (8, 45.0, -2.0), (12, -130.0, 3.0), _LAT_TO, _LON_TO, ["t"], ["an"], fill), "an", digits=3)
+
+
+query(_regrid_sql(False), "regrid_bilinear")(lambda spark, sf: _regrid(spark, sf, "null"))
+query(_regrid_sql(True), "regrid_border")(lambda spark, sf: _regrid(spark, sf, "border"))
+
+
+@query(
+    f"WITH {v.SPINE}, g AS (SELECT *, last_value(an IGNORE NULLS) OVER b v0, last_value(CASE WHEN an IS NOT NULL THEN x END IGNORE NULLS) OVER b i0, first_value(an IGNORE NULLS) OVER f v1, first_value(CASE WHEN an IS NOT NULL THEN x END IGNORE NULLS) OVER f i1 FROM grid_spine WINDOW b AS (PARTITION BY t, y ORDER BY x ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY t, y ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) "
+    "SELECT t, y, x, round(coalesce(an, v0 + (v1 - v0) * (x - i0) / nullif(i1 - i0, 0)), 3) an FROM g"
+)
+def gap_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(grid.fill_gaps(v.grid_spine(spark, sf).select("t", "y", "x", "an"), "an", "x", ["t", "y"]), "an", digits=3)
+
+
+_MIRROR = "CASE WHEN (({c} + k.k) % 16 + 16) % 16 < 8 THEN (({c} + k.k) % 16 + 16) % 16 ELSE 15 - (({c} + k.k) % 16 + 16) % 16 END"
+_KERNEL = "k AS (SELECT k, exp(-0.5::DOUBLE * k * k / (1.5::DOUBLE * 1.5::DOUBLE)) / sum(exp(-0.5::DOUBLE * k * k / (1.5::DOUBLE * 1.5::DOUBLE))) OVER () w FROM range(-6, 7) r(k))"
+
+
+@query(
+    f"WITH {v.FIELD8}, {_KERNEL}, a AS (SELECT f.vec_id, f.y, f.x, sum(g.v * k.w) v FROM field8 f CROSS JOIN k JOIN field8 g ON g.vec_id = f.vec_id AND g.x = f.x AND g.y = {_MIRROR.format(c='f.y')} GROUP BY 1, 2, 3), "
+    f"b AS (SELECT f.vec_id, f.y, f.x, sum(g.v * k.w) v FROM a f CROSS JOIN k JOIN a g ON g.vec_id = f.vec_id AND g.y = f.y AND g.x = {_MIRROR.format(c='f.x')} GROUP BY 1, 2, 3) SELECT vec_id, y, x, round(v, 6) v FROM b"
+)
+def gaussian_smooth(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(grid.smooth(v.field8(spark, sf), "v", 1.5, {"y": 8, "x": 8}, ["vec_id"]), "v", digits=6)
+
+
+@query(f"WITH {v.FIELD8} SELECT vec_id, CAST(y - 2 AS INT) y, CAST(x - 1 AS INT) x, round(v, 6) v FROM field8 WHERE y BETWEEN 2 AND 5 AND x BETWEEN 1 AND 6")
+def crop_centre(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(grid.crop_centre(v.field8(spark, sf), 8, 8, 4, 6), "v", digits=6)
+
+
+@query(f"WITH {v.FIELD8} SELECT vec_id, CAST(ty AS INT) y, CAST(tx AS INT) x, round(v, 6) v FROM field8 JOIN range(10) a(ty) ON y = least(ty, 7) JOIN range(6) b(tx) ON x = least(tx, 7)")
+def crop_pad(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(grid.match_size(v.field8(spark, sf), 8, 8, 10, 6).select("vec_id", "y", "x", "v"), "v", digits=6)
+
+
+# spectra
+
+_DFT = (
+    f"{v.FIELD8}, ab AS (SELECT vec_id, y, x, v a, v * (1 + 0.1::DOUBLE * x) b FROM field8), c AS (SELECT vec_id, ky, kx, "
+    + ", ".join(f"sum({s} * {f}(-2 * pi() * (ky * y + kx * x) / 8)) {p}_{s}" for s in "ab" for p, f in (("re", "cos"), ("im", "sin")))
+    + " FROM ab CROSS JOIN range(8) i(ky) CROSS JOIN range(5) j(kx) GROUP BY 1, 2, 3), m AS (SELECT ky, kx, avg(re_a * re_a + im_a * im_a) pa, avg(re_b * re_b + im_b * im_b) pb, avg(re_a * re_b + im_a * im_b) re, avg(im_a * re_b - re_a * im_b) im FROM c GROUP BY 1, 2)"
+)
+
+
+def _spectrum(spark: SparkSession, sf: str) -> DataFrame:
+    ab = v.field8(spark, sf).select("vec_id", "y", "x", F.col("v").alias("a"), (F.col("v") * (1 + 0.1 * F.col("x"))).alias("b"))
+    return spectral.power(spectral.rfft2(ab, 8, 8, ["vec_id"], ["a", "b"]), "a", "b")
+
+
+@query(f"WITH {_DFT} SELECT CAST(ky AS INT) ky, CAST(kx AS INT) kx, round(pa, 6) power_a, round(pb, 6) power_b, round(pb / (pa + {_E}), 4) ratio FROM m")
+def fft_power(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(rounded(_spectrum(spark, sf).drop("coherence"), "power_a", "power_b", digits=6), "ratio")
+
+
+@query(f"WITH {_DFT} SELECT CAST(ky AS INT) ky, CAST(kx AS INT) kx, round(least(1, greatest(0, sqrt(re * re + im * im) / (sqrt(pa) * sqrt(pb) + {_E}))), 5) coherence FROM m")
+def coherence(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_spectrum(spark, sf).select("ky", "kx", "coherence"), "coherence", digits=5)
+
+
+@query()
+def radial_spectrum(spark: SparkSession, sf: str) -> DataFrame:
+    """Time-mean radial spectra; tests hold the kernel against closed forms."""
+    g = v.grid_spine(spark, sf).withColumn("lat", 45.0 - 2.0 * F.col("y"))
+    return spectral.radial_spectrum(g, "an", 3.0, 2.0, n_bins=10)
+
+
+@query()
+def psd_welch_1d(spark: SparkSession, sf: str) -> DataFrame:
+    return spectral.welch_rows(v.grid_spine(spark, sf).fillna(0.0), "an", ["t", "y"]).groupBy("k").agg(F.avg("freq").alias("freq"), F.avg("density").alias("density"))
+
+
+@query(f"WITH {_DFT} SELECT CAST(ky AS INT) ky, CAST(kx AS INT) kx, round(pa / coalesce(nullif(sum(pa) OVER (PARTITION BY ky), 0), 1), 6) power_a FROM m")
+def row_normalised_psd(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(spectral.row_share(_spectrum(spark, sf).select("ky", "kx", "power_a"), "power_a", ["ky"]), "power_a", digits=6)
+
+
+@query(f"WITH {_DFT} SELECT CAST(ky AS INT) ky, CAST(kx AS INT) kx, round(ln(pa), 5) log_power, round(pa / max(pa) OVER (), 6) share FROM m")
+def log_power(spark: SparkSession, sf: str) -> DataFrame:
+    p = _spectrum(spark, sf)
+    top = p.agg(F.max("power_a").alias("_top"))
+    return p.crossJoin(F.broadcast(top)).select("ky", "kx", F.round(F.ln("power_a"), 5).alias("log_power"), F.round(F.col("power_a") / F.col("_top"), 6).alias("share"))
+
+
+# windows of a stream, here over a table
+
+@query(
+    f"SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) + CASE WHEN hour(ts) >= 12 THEN INTERVAL 12 HOUR ELSE INTERVAL 0 HOUR END \"start\", event_type variable, count(*) n, round(avg(value * {v.UNIT}::DOUBLE - 1.5::DOUBLE), 4) bias, round(avg(abs(value * {v.UNIT}::DOUBLE - 1.5::DOUBLE)), 4) mae, round(sqrt(avg((value * {v.UNIT}::DOUBLE - 1.5::DOUBLE) * (value * {v.UNIT}::DOUBLE - 1.5::DOUBLE))), 4) rmse FROM events GROUP BY 1, 2"
+)
+def windowed_verification(spark: SparkSession, sf: str) -> DataFrame:
+    e = v.table(spark, sf, "events").select(F.col("ts").alias("t"), F.col("event_type").alias("variable"), (F.col("value") * v.UNIT).alias("a"), F.lit(1.5).alias("b"))
+    return rounded(windowed(e), "bias", "mae", "rmse")
