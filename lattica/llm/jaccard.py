@@ -2,10 +2,11 @@
 
 Two sets of Jaccard similarity t or more share a member among the first n - ceil(t n) + 1 of each in any fixed order
 of all members. The rows that hold the same such member are a tile, and its first row by size leads it. The order puts
-members that many rows hold last, so passages that many texts share make no large tiles. First every row is compared with
-its leaders; what that links is one component. Rows that share a leader but not a component are then compared with
-each other, in blocks, if their sizes are within a factor of 1/t. A pair's bitmaps bound its overlap from above: each bit
-that only one side has set is a member that the other side lacks. What remains is intersected exactly.
+members that many rows hold last, so passages that many texts share make no large tiles. Rows that share a leader are
+compared in blocks if their sizes are within a factor of 1/t. A pair's bitmaps bound its overlap from above: each bit
+that only one side has set is a member that the other side lacks. For rows that this leaves a partner, sets are fetched and
+intersected exactly: first with their leaders, and what that links is one component; then with rows of one leader that
+are in other components.
 """
 
 from __future__ import annotations
@@ -48,11 +49,13 @@ def _class(members: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, width: int, per_cent: int, id_col: str, text_col: str, common: Bloom | None) -> DataFrame:
-    """(doc_id, class, n, first): equal sets have equal classes (null if empty); first: the members that place a row in tiles."""
+    """(doc_id, class, n, first, signature): equal sets have equal classes (null if empty); first: the members that place a row in tiles.
+
+    A task gives first and signature once for each class that it meets, so copies are few in what is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = shared.value
+        last, met = shared.value, set()
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
@@ -61,14 +64,15 @@ def _sets(docs: DataFrame, width: int, per_cent: int, id_col: str, text_col: str
                 if last is not None:
                     flags = np.split(last.has(np.concatenate(sets)), np.cumsum(n)[:-1])
                     sets = [np.concatenate([s[~f], s[f]]) if f.any() else s for s, f in zip(sets, flags, strict=True)]
-                heads = [s[: _first(len(s), per_cent)] if len(s) else s for s in sets]
+                classes = [_class(s) if len(s) else None for s in sets]
+                new = [c is not None and c not in met and not met.add(c) for c in classes]
+                heads = [s[: _first(len(s), per_cent)] if ok else s[:0] for s, ok in zip(sets, new, strict=True)]
                 where = pa.array(np.cumsum([0, *map(len, heads)]), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([_class(s) if len(s) else None for s in sets], pa.int64()), pa.array(n), pa.ListArray.from_arrays(where, pa.array(np.concatenate(heads).view(np.int64)))],
-                    names=["doc_id", "class", "n", "first"],
-                )
+                first = pa.ListArray.from_arrays(where, pa.array(np.concatenate(heads).view(np.int64)))
+                signatures = pa.array([_bitmap(s) if ok else None for s, ok in zip(sets, new, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(classes, pa.int64()), pa.array(n), first, signatures], names=["doc_id", "class", "n", "first", "signature"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, class long, n long, first array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, class long, n long, first array<long>, signature binary")
 
 
 def _common(rows: DataFrame) -> Bloom | None:
@@ -147,30 +151,20 @@ def _links(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
     return 100 * shared >= per_cent * (len(a) + len(b) - shared)
 
 
-def _verify(stars: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Of the pairs (class, leader), those that link, as (a, b)."""
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            na, nb = x.column(2).to_numpy(), x.column(3).to_numpy()
-            ok = np.flatnonzero(_compatible(na, nb, per_cent))
-            near = _may_link(_words(x.column(4).take(pa.array(ok))), _words(x.column(5).take(pa.array(ok))), na[ok], nb[ok], per_cent)
-            yield x.select([0, 1]).take(pa.array(ok[near]))
+def _verify(pairs: DataFrame, members: DataFrame, per_cent: int) -> DataFrame:
+    """Of the pairs (a, b), those that link."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             ok = [_links(s, t, per_cent) for s, t in zip(_words(x.column(2)), _words(x.column(3)), strict=True)]
             yield x.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    left = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"), F.col("members").alias("ma"))
-    right = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"), F.col("members").alias("mb"))
-    pairs = stars.select(F.col("class").alias("a"), F.col("leader").alias("b"))
-    near = pairs.join(left.drop("ma"), "a").join(right.drop("mb"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bound, "a long, b long")
-    return near.join(left.select("a", "ma"), "a").join(right.select("b", "mb"), "b").select("a", "b", "ma", "mb").mapInArrow(exact, "a long, b long")
+    left, right = (members.select(F.col("class").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(exact, "a long, b long")
 
 
 def _grouped(stars: DataFrame) -> DataFrame:
-    """stars (leader, class, n, comp) of leaders with several components, dealt over pairs of blocks: with i, j and the row's own block."""
+    """(leader, class, n, comp) of leaders with several components, dealt over pairs of blocks: with i, j and the row's own block."""
     sizes = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("leader", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     placed = stars.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("class", "leader"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
@@ -178,7 +172,8 @@ def _grouped(stars: DataFrame) -> DataFrame:
 
 
 def _compare(groups: DataFrame, per_cent: int, exact: bool) -> DataFrame:
-    """groups: _grouped() with signature (and with members if exact), all pairs of a block pair. -> (a, b): links if exact, else pairs that may link."""
+    """groups: _grouped() with signature (and with members if exact). All pairs of a block pair are looked at; (a, b): those that link
+    if exact, else for each row that may link with any one such pair."""
 
     def compare(x: pa.RecordBatch) -> list[tuple[int, int]]:
         i, j, block, c, n, comp = (x.column(k).to_numpy() for k in range(1, 7))
@@ -194,7 +189,8 @@ def _compare(groups: DataFrame, per_cent: int, exact: bool) -> DataFrame:
         ok = _may_link([s[k] for k in a], [s[k] for k in b], n[a], n[b], per_cent)
         a, b = a[ok], b[ok]
         if not exact:
-            return list(zip(c[a].tolist(), c[b].tolist(), strict=True))
+            one = np.concatenate([np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1]])
+            return list(zip(c[a[one]].tolist(), c[b[one]].tolist(), strict=True))
         members, up, out = _words(x.column(8)), {}, []
 
         def root(k: int) -> int:
@@ -251,23 +247,30 @@ def jaccard_components(docs: DataFrame, per_cent: int = 75, width: int = 5, id_c
         drop_staged(rows)
         rows = again
     release(docs.sparkSession)
-    stars = stage(_stars(rows.where("n > 0").select("class", "n", "first").dropDuplicates(["class"])))
-    slim = stage(rows.drop("first"))
+    signed = stage(rows.where("signature is not null").select("class", "n", "signature").dropDuplicates(["class"]))
+    stars = stage(_stars(rows.where("signature is not null").select("class", "n", "first")))
+    slim = stage(rows.select("doc_id", "class", "n"))
     drop_staged(rows)
     release(docs.sparkSession)
 
-    met = stars.select("class").union(stars.select("leader")).distinct()
-    wanted = stage(slim.join(met, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
-    sets = stage(_members(docs, wanted.select("doc_id").distinct(), width, id_col, text_col).join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
+    # rows that share a leader, the leader among them: which may link with any other, by sizes and signatures
+    every = stars.select("leader", "class").union(stars.select("leader", F.col("leader").alias("class")).distinct())
+    signatures = every.join(signed, "class").withColumn("comp", F.col("class"))
+    close = _compare(_grouped(signatures.select("leader", "class", "n", "comp")).join(signed.select("class", "signature"), "class"), per_cent, exact=False)
+    close = stage(close.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    wanted = stage(slim.join(close, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
+    members = _members(docs, wanted.select("doc_id").distinct(), width, id_col, text_col)
+    members = stage(members.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
+    release(docs.sparkSession)
 
-    links = stage(_verify(stars, sets, per_cent))
+    near = stars.join(close, "class", "left_semi").join(close.withColumnRenamed("class", "leader"), "leader", "left_semi")
+    sizes = signed.select(F.col("class").alias("leader"), F.col("n").alias("leader_n"))
+    fit = near.join(sizes, "leader").where((100 * F.col("n") >= per_cent * F.col("leader_n")) & (100 * F.col("leader_n") >= per_cent * F.col("n")))
+    links = stage(_verify(fit.select(F.col("class").alias("a"), F.col("leader").alias("b")), members, per_cent))
     components = stage(connected_components(links))
+    grouped = stars.join(close, "class", "left_semi").join(components.withColumnRenamed("id", "class"), "class", "left").select("leader", "class", "n", F.coalesce("component", "class").alias("comp"))
+    more = stage(_compare(_grouped(grouped).join(signed.select("class", "signature"), "class").join(members, "class"), per_cent, exact=True))
     release(docs.sparkSession)
-    groups = _grouped(stars.join(components.withColumnRenamed("id", "class"), "class", "left").select("leader", "class", "n", F.coalesce("component", "class").alias("comp")))
-    groups = stage(groups)
-    close = stage(_compare(groups.join(sets.select("class", "signature"), "class"), per_cent, exact=False))
-    close = close.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    more = stage(_compare(groups.join(close, "class", "left_semi").join(sets.select("class", "signature", "members"), "class"), per_cent, exact=True))
     if not more.isEmpty():
         # links between components of the first round
         up = components.select(F.col("id"), "component")
@@ -285,14 +288,13 @@ def jaccard_components(docs: DataFrame, per_cent: int = 75, width: int = 5, id_c
 
 
 def _members(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(class, members) of the rows with the given ids; members: the sorted hashes, 8 bytes each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 200):
                 sets = [s for s in shingle_sets(batch.column(0).slice(at, 200), width) if len(s)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["class", "n", "signature", "members"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "members"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-    return texts.select("text").mapInArrow(run, "class long, n long, signature binary, members binary")
+    return texts.select("text").mapInArrow(run, "class long, members binary")
