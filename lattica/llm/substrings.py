@@ -10,6 +10,7 @@ whole are one text to all of this.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from lattica.llm.suffixes import common, deep_shallow_sort
 
 #: Bytes that members of a group share at least. Longer grams meet less often by chance, shorter ones make fewer anchors.
 GRAM = 100
-#: Anchors of a group that one task sorts; larger groups are dealt over the cluster by their strings' hashes.
+#: Members of a group that one task sorts; larger groups are dealt over the cluster by their strings' hashes.
 GROUP = 3_000
 #: Bytes hashed at once; a power of two of 22 bits at most, as a place is kept in the low bits of a hash.
 PIECE = 1 << 20
@@ -107,18 +108,23 @@ def _anchors(raw: np.ndarray, edges: np.ndarray, length: int) -> tuple[np.ndarra
     return at, h[at].view(np.int64)
 
 
-def repeats(contexts: list[tuple[bytes, bytes]], length: int) -> list[list[tuple[int, int]]]:
-    """For each anchor, given what precedes it (reversed) and what follows, the stretches (bytes before, bytes after) that strings found
-    at another anchor of the group cover."""
+def repeats(contexts: list[tuple[bytes, bytes]], counts: list[int], length: int) -> list[tuple[int, int]]:
+    """For each member, given what precedes it (reversed), what follows and at how many places, how far (bytes before, bytes after)
+    the strings around the anchor that are found at another place reach; (0, 0) if there are none. All of them hold the anchor, so
+    together they are one stretch. Members are distinct."""
     m = len(contexts)
-    out: list[list[tuple[int, int]]] = [[] for _ in range(m)]
+    out = [(len(a), len(b)) if n > 1 and len(a) + len(b) >= length else (0, 0) for (a, b), n in zip(contexts, counts, strict=True)]
+
+    def reach(i: int, left: int, right: int) -> None:
+        out[i] = (max(out[i][0], left), max(out[i][1], right))
+
     if m <= 3:
         for i in range(m):
             for j in range(i):
                 left, right = common(contexts[i][0], contexts[j][0]), common(contexts[i][1], contexts[j][1])
                 if left + right >= length:
-                    out[i].append((left, right))
-                    out[j].append((left, right))
+                    reach(i, left, right)
+                    reach(j, left, right)
         return out
     most = []
     near: list[set[int]] = [set() for _ in range(m)]
@@ -136,30 +142,29 @@ def repeats(contexts: list[tuple[bytes, bytes]], length: int) -> list[list[tuple
     open_ = []
     for i in range(m):
         left, right = most[0][i], most[1][i]
-        if left + right < length:
+        if left + right < length or out[i][1]:
             continue
         done = any(common(contexts[i][0], contexts[j][0]) == left and common(contexts[i][1], contexts[j][1]) == right for j in near[i])
         if done:
-            out[i].append((left, right))
+            reach(i, left, right)
         else:
             open_.append(i)
     if not open_:
         return out
     # strings with `o` bytes before the anchor, for every o that both bounds allow
-    asked = sorted({o for i in open_ for o in range(length - most[1][i], most[0][i] + 1)})
-    found: dict[tuple[int, bytes], list[int]] = {}
-    for i in range(m):
-        before, after = contexts[i][0][::-1], contexts[i][1]
-        whole, at = before + after, len(before)
-        for o in asked:
-            if length - most[1][i] <= o <= most[0][i]:
-                found.setdefault((o, whole[at - o : at - o + length]), []).append(i)
     wanted = set(open_)
-    for (o, _), members in found.items():
-        if len(members) > 1:
-            for i in members:
-                if i in wanted:
-                    out[i].append((o, length - o))
+    whole = [a[::-1] + b for a, b in contexts]
+    for o in sorted({o for i in open_ for o in range(length - most[1][i], most[0][i] + 1)}):
+        found: dict[bytes, list[int]] = {}
+        for i in range(m):
+            if length - most[1][i] <= o <= most[0][i]:
+                at = len(contexts[i][0]) - o
+                found.setdefault(whole[i][at : at + length], []).append(i)
+        for members in found.values():
+            if len(members) > 1:
+                for i in members:
+                    if i in wanted:
+                        reach(i, o, length - o)
     return out
 
 
@@ -186,7 +191,7 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     release(docs.sparkSession)
 
     # the bytes around shared anchors, from one row of each text
-    places = shared.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("place", "key", "size"))).alias("places"))
+    places = shared.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("place", "key"))).alias("places"))
     one = classes.groupBy("class").agg(F.min("least").alias("doc_id"))
     at = places.join(one, "class")
 
@@ -196,36 +201,38 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
                 part = batch.slice(k, 200)
                 out: tuple[list, ...] = ([], [], [], [], [], [])
                 for cls, text, marks in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    raw = text.encode()
+                    raw, seen = text.encode(), set()
                     for p in marks:
                         place = p["place"]
-                        for col, x in zip(out, (p["key"], p["size"], cls, place, raw[max(0, place - back) : place][::-1], raw[place : place + length]), strict=True):
+                        before, after = raw[max(0, place - back) : place][::-1], raw[place : place + length]
+                        digest = hashlib.blake2b(len(before).to_bytes(4, "little") + before + after, digest_size=16).digest()
+                        new = (p["key"], digest) not in seen  # the bytes once a text
+                        seen.add((p["key"], digest))
+                        for col, x in zip(out, (p["key"], digest, cls, place, before if new else None, after if new else None), strict=True):
                             col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["key", "size", "class", "place", "before", "after"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["key", "digest", "class", "place", "before", "after"])
 
     around = long.join(at, ["class", "doc_id"]).select("class", "text", "places")
-    around = stage(around.mapInArrow(cut, "key long, size long, class long, place int, before binary, after binary"))
+    around = stage(around.mapInArrow(cut, "key long, digest binary, class long, place int, before binary, after binary"))
     drop_staged(shared)
     release(docs.sparkSession)
+    marks = around.select("key", "digest", "class", "place").dropDuplicates()  # of repeated rows of one doc_id and text
+    counts = marks.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("count"))
+    members = around.where("before is not null").select("key", "digest", "before", "after").dropDuplicates(["key", "digest"])
+    sizes = counts.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("count").alias("places")).where("places > 1").drop("places")
+    members = stage(members.join(counts, ["key", "digest"]).join(sizes, "key").select("key", "size", "digest", "count", "before", "after"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
             for x in t.combine_chunks().to_batches():
-                key, cls, place = (x.column(k).to_numpy() for k in range(3))
-                new = np.ones(len(x), bool)  # repeated rows of one doc_id and text give equal contexts
-                new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (place[1:] != place[:-1])
-                if not new.all():
-                    x = x.filter(pa.array(new))
-                    key, cls, place = (x.column(k).to_numpy() for k in range(3))
-                before, after = x.column(3).to_pylist(), x.column(4).to_pylist()
+                key = x.column(0).to_numpy()
+                count, before, after = (x.column(k).to_pylist() for k in (2, 3, 4))
                 cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])).tolist()
-                hits = [(i + a, got) for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for i, got in enumerate(repeats(list(zip(before[a:b], after[a:b], strict=True)), length)) if got]
-                who = [i for i, got in hits for _ in got]
-                lo = [int(place[i]) - left for i, got in hits for left, _ in got]
-                hi = [int(place[i]) + right for i, got in hits for _, right in got]
-                yield pa.RecordBatch.from_arrays([pa.array(cls[who], pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["class", "lo", "hi"])
+                hits = [(a + i, got) for a, b in zip(cuts, cuts[1:], strict=False) for i, got in enumerate(repeats(list(zip(before[a:b], after[a:b], strict=True)), count[a:b], length)) if got[1]]
+                who = pa.array([i for i, _ in hits], pa.int64())
+                yield pa.RecordBatch.from_arrays([x.column(0).take(who), x.column(1).take(who), *(pa.array([got[side] for _, got in hits], pa.int64()) for side in (0, 1))], names=["key", "digest", "left", "right"])
 
         for batch in batches:
             if not len(batch):
@@ -239,26 +246,24 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
         if rest is not None:
             yield from groups(rest)
 
-    small = around.where(F.col("size") <= GROUP).select("key", "class", "place", "before", "after")
-    pieces = small.repartition("key").sortWithinPartitions("key", "class", "place").mapInArrow(settle, "class long, lo long, hi long")
+    small = members.where(F.col("size") <= GROUP).select("key", "digest", "count", "before", "after")
+    pieces = small.repartition("key").sortWithinPartitions("key").mapInArrow(settle, "key long, digest binary, left long, right long")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                x = batch.slice(k, 500)
-                key, cls, place = (x.column(i).to_numpy() for i in range(3))
-                for i, (before, after) in enumerate(zip(x.column(3).to_pylist(), x.column(4).to_pylist(), strict=True)):
-                    h = gram_hashes(np.frombuffer(before[::-1] + after, np.uint8), length).view(np.int64)
-                    lo = place[i] - len(before) + np.arange(len(h))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key[i])), pa.array(h), pa.array(np.full(len(h), cls[i])), pa.array(lo.astype(np.int64)), pa.array((place[i] - lo).astype(np.int32))], names=["key", "h", "class", "lo", "o"])
-
-    large = around.where(F.col("size") > GROUP).select("key", "class", "place", "before", "after")
-    big = large.dropDuplicates(["key", "class", "place"]).mapInArrow(strings, "key long, h long, class long, lo long, o int")
-    # o, the anchor's place in the string: a string that holds two anchors of one key is met twice, but not at one o
-    again = big.groupBy("key", "o", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "o", "h")
-    runs = big.join(again, ["key", "o", "h"]).select("class", "lo", (F.col("lo") + length).alias("hi"))
-
-    covered = pieces.union(runs).groupBy("class").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("s"))
+            for i in range(len(batch)):
+                key, digest, count, before, after = (batch.column(k)[i].as_py() for k in range(5))
+                h = gram_hashes(np.frombuffer(before[::-1] + after, np.uint8), length).view(np.int64)
+                o = len(before) - np.arange(len(h))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(h), pa.int64()), pa.array([digest] * len(h), pa.binary()), pa.array([count] * len(h), pa.int64()), pa.array(o.astype(np.int64)), pa.array(h)], names=["key", "digest", "count", "o", "h"])
+
+    # o: the anchor's place in the string; a string that holds two anchors of one key is met twice, but not at one o
+    big = members.where(F.col("size") > GROUP).select("key", "digest", "count", "before", "after").mapInArrow(strings, "key long, digest binary, count long, o long, h long")
+    again = big.groupBy("key", "o", "h").agg(F.sum("count").alias("n")).where("n > 1").select("key", "o", "h")
+    runs = big.join(again, ["key", "o", "h"]).groupBy("key", "digest").agg(F.max("o").alias("left"), F.max(length - F.col("o")).alias("right"))
+
+    found = marks.join(pieces.union(runs), ["key", "digest"]).select("class", (F.col("place") - F.col("left")).alias("lo"), (F.col("place") + F.col("right")).alias("hi"))
+    covered = found.groupBy("class").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("s"))
     start = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
     joined = F.aggregate(
         "s",
@@ -267,6 +272,7 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     )
     covered = stage(covered.select("class", joined.alias("spans")))
     drop_staged(around)
+    drop_staged(members)
     release(docs.sparkSession)
     per_class = classes.join(covered, "class", "left").select("class", "n_bytes", F.when(F.col("copies") > 1, F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))).otherwise(F.col("spans")).alias("spans"))
     return slim.distinct().join(per_class.where("spans is not null"), ["class", "n_bytes"])
