@@ -53,7 +53,8 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.licenses import scan
 
-    return scan(documents(spark, sf_dir, "doc_id", "text"))
+    found = scan(documents(spark, sf_dir, "doc_id", "text"))
+    return found.withColumns({"dice": F.round("dice", 9), "licenses": F.array_join("licenses", ",")})
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,5 +95,47 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+_COMPONENTS = "reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a), comp AS (SELECT a id, min(b) component_id FROM reach GROUP BY 1)"
+
+_OP8 = f"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ') || '|'] ELSE [] END s FROM texts),
+nodes AS (SELECT doc_id id, len(s) n FROM sets),
+items AS (SELECT doc_id id, unnest(s) x FROM sets),
+met AS (SELECT p.id a, q.id b, count(*) k FROM items p JOIN items q ON p.x = q.x AND p.id <> q.id GROUP BY 1, 2),
+edges AS (SELECT a, b FROM met JOIN nodes p ON p.id = a JOIN nodes q ON q.id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
+{_COMPONENTS}
+SELECT nodes.id doc_id, n n_shingles, component_id FROM nodes JOIN comp USING (id)
+"""
+
+_OP9 = f"""
+WITH RECURSIVE nodes AS (SELECT vec_id id, embedding::DOUBLE[] v FROM embeddings),
+good AS (SELECT id, v, sqrt(list_dot_product(v, v)) size FROM nodes WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+edges AS (SELECT p.id a, q.id b FROM good p JOIN good q ON p.id <> q.id AND len(p.v) = len(q.v) WHERE list_dot_product(p.v, q.v) / (p.size * q.size) >= 0.9::DOUBLE),
+{_COMPONENTS}
+SELECT id vec_id, coalesce(k, 0) n_links, component_id, component_id = id kept FROM comp LEFT JOIN (SELECT a id, count(*) k FROM edges GROUP BY 1) USING (id)
+"""
+
+
+def _op5() -> str:
+    from lattica.llm.licenses import TEMPLATES, template_bigrams
+
+    bags = sorted((lic, template_bigrams(t)) for lic, texts in TEMPLATES.items() for t in texts)
+    rows = ", ".join(f"({k}, '{lic}', [{', '.join(chr(39) + b + chr(39) for b in bag)}])" for k, (lic, bag) in enumerate(bags))
+    return f"""
+WITH bags(k, license, bag) AS (VALUES {rows}),
+texts AS (SELECT doc_id, coalesce(text, '') t FROM documents),
+segs AS (SELECT DISTINCT doc_id, unnest(list_concat(list_concat(string_split(t, chr(10)), CASE WHEN regexp_matches(t, '\\n[\\x20\\x09-\\x0D]*\\n') THEN regexp_split_to_array(t, '\\n[\\x20\\x09-\\x0D]*\\n') ELSE [] END), [t])) seg FROM texts),
+cut AS (SELECT doc_id, seg, regexp_extract_all(lower(seg), '[\\p{{L}}\\p{{N}}]+') w FROM segs),
+fit AS (SELECT doc_id, seg, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] p FROM cut WHERE len(w) BETWEEN 2 AND 200),
+mine AS (SELECT doc_id, seg, list_transform(p, lambda x, i: x || ' ' || len(list_filter(p[:i - 1], lambda y: y = x))) bag FROM fit),
+scored AS (SELECT doc_id, seg, max({{'dice': 2e0 * len(list_intersect(mine.bag, bags.bag)) / (len(mine.bag) + len(bags.bag)), 'k': -k, 'license': license}}) best FROM mine, bags WHERE len(mine.bag) BETWEEN 0.6 * len(bags.bag) AND 1.6 * len(bags.bag) GROUP BY 1, 2),
+hits AS (SELECT doc_id, best FROM scored WHERE best.dice >= 0.8),
+per AS (SELECT doc_id, max(best) top, list_sort(list_distinct(list(best.license))) licenses, count(*) n FROM hits GROUP BY 1)
+SELECT doc_id, top.license license, round(coalesce(top.dice, 0), 9) dice, array_to_string(coalesce(licenses, []), ',') licenses, coalesce(n, 0) n_segments FROM texts LEFT JOIN per USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of the queries that SQL can express: op8 and op9 by comparing all pairs, op5 by all templates of a segment's size."""
+    return {"op5_license_scan": _op5(), "op8_jaccard_join": _OP8, "op9_embedding_duplicates": _OP9}
