@@ -13,8 +13,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import string
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -153,11 +155,21 @@ def read_shard(data: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray, Wavelet
 
 
 #: Ids of words, and of the pieces that words share, by tokenizer: reused worker processes keep them from task to task.
-_KNOWN: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+_KNOWN: dict[str, tuple[_Words, dict[str, bytes]]] = {}
 #: Entries of either kind before starting afresh; bounds memory, not results.
 MEMO = 1_200_000
 
 
+class _Words(dict):
+    """Word -> ids, worked out when first asked for."""
+
+    of: Callable[[str], bytes]
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.of(word)
+        return ids
+
+
 def word_encoder(tokenizer_json: str) -> Callable[[list[str | None]], list[bytes]]:
     """Encodes texts to little-endian unsigned ids (16 bits if the vocabulary has so few, else 32) with the tokenizers library.
 
@@ -172,48 +184,41 @@ def word_encoder(tokenizer_json: str) -> Callable[[list[str | None]], list[bytes
     tok = Tokenizer.from_str(tokenizer_json)
     tok.encode_special_tokens = True  # their strings in a text are ordinary text
     kind = id_type(tok.get_vocab_size())
-    known, parts = _KNOWN.setdefault(hashlib.sha256(tokenizer_json.encode()).hexdigest(), ({}, {}))
-
-    bpe, as_marks = tok.model, _byte_marks()
+    known, parts = _KNOWN.setdefault(hashlib.sha256(tokenizer_json.encode()).hexdigest(), (_Words(), {}))
+    bpe, as_marks, code = tok.model, _byte_marks(), "H" if kind == "<u2" else "I"
 
     def letters(word: str) -> bytes:
         """Ids of lower-case letters, straight from the model: nothing is left for the normaliser and the splitter to do."""
-        return np.array([t.id for t in bpe.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(as_marks))], kind).tobytes()
-
-    def ids_of(batch: list[str]) -> list[bytes]:
-        return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(batch, add_special_tokens=False)]
+        return array(code, [t.id for t in bpe.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(as_marks))]).tobytes()
+
+    def ids_of(text: str) -> bytes:
+        return array(code, tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def of(word: str) -> bytes:
+        if word.isascii() or max(word) < "\u0250":
+            low = word.lower()
+            core = low.rstrip(string.punctuation)
+            ids = parts.get(core)
+            if ids is None and core.isalpha():
+                ids = parts[core] = letters(core)
+            if ids is not None:
+                marks = low[len(core) :]
+                if not marks:
+                    return ids
+                if (tail := parts.get(marks)) is None:
+                    tail = parts[marks] = ids_of(marks)
+                return ids + tail
+        return ids_of(word)
+
+    known.of = of
 
-    def learn(words: set[str]) -> None:
+    def encode(texts: list[str | None]) -> list[bytes]:
         if len(known) > MEMO:
-            keep = {w: known[w] for w in words & known.keys()}
             known.clear()
-            known.update(keep)
         if len(parts) > MEMO:
             parts.clear()
-        rest = []
-        for w in words - known.keys():
-            if w.isascii() or max(w) < "\u0250":
-                low = w.lower()
-                core = low.rstrip(".,;:!?")
-                ids = parts.get(core)
-                if ids is None and core.isalpha():
-                    ids = parts[core] = letters(core)
-                if ids is not None:
-                    marks = low[len(core) :]
-                    if marks:
-                        tail = parts.get(marks)
-                        if tail is None:
-                            tail = parts[marks] = ids_of([marks])[0]
-                        ids += tail
-                    known[w] = ids
-                    continue
-            rest.append(w)
-        known.update(zip(rest, ids_of(rest), strict=True))
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        split = [None if t and any(c in t for c in "\x1c\x1d\x1e\x1f") else (t or "").split() for t in texts]
-        learn(set().union(*(ws for ws in split if ws)))
-        return [ids_of([t])[0] if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, split, strict=True)]
+        find = known.__getitem__
+        return [ids_of(t) if t and any(c in t for c in "\x1c\x1d\x1e\x1f") else b"".join(map(find, (t or "").split())) for t in texts]
 
     return encode
 
