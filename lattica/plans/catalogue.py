@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import geo, timeaxis
-from lattica.operators import align, grid, spectral, stats, verify
+from lattica.operators import align, curvilinear, grid, spectral, stats, verify
 from lattica.plans import views as v
 from lattica.spec import Region
 from lattica.streaming.verification import windowed
@@ -464,6 +464,48 @@ def log_power(spark: SparkSession, sf: str) -> DataFrame:
     return p.crossJoin(F.broadcast(top)).select("ky", "kx", F.round(F.ln("power_a"), 5).alias("log_power"), F.round(F.col("power_a") / F.col("_top"), 6).alias("share"))
 
 
+@query(f"WITH {_DFT}, q AS (SELECT ln(pa) v FROM m WHERE pa > 0) SELECT round(min(v), 5) lo, round(max(v), 5) hi, round(CASE WHEN min(v) < 0 AND max(v) > 0 THEN 0 ELSE (min(v) + max(v)) / 2 END, 5) centre FROM q")
+def psd_range(spark: SparkSession, sf: str) -> DataFrame:
+    lo, hi = F.min(F.ln("power_a")), F.max(F.ln("power_a"))
+    centre = F.when((lo < 0) & (hi > 0), 0.0).otherwise((lo + hi) / 2)
+    return rounded(_spectrum(spark, sf).where("power_a > 0").agg(lo.alias("lo"), hi.alias("hi"), centre.alias("centre")), "lo", "hi", "centre", digits=5)
+
+
+@query()
+def psd_cube(spark: SparkSession, sf: str) -> DataFrame:
+    """Spectra along both axes of seasonal means and errors, for several window sizes: one plan for all of them."""
+    g = v.grid_pair(spark, sf).withColumn("season", stats.season(F.col("t")))
+    maps = g.groupBy("season", "y", "x").agg(F.avg("fc").alias("mean"), F.var_pop("fc").alias("variance"), F.sqrt(F.avg((F.col("fc") - F.col("an")) * (F.col("fc") - F.col("an")))).alias("rmse"))
+    long = maps.unpivot(["season", "y", "x"], ["mean", "variance", "rmse"], "metric", "value")
+    parts = [spectral.welch_rows(long, "value", ["season", "metric", line], along, size=n, overlap=n // 2, nfft=16).groupBy("season", "metric", "k").agg(F.avg("freq").alias("freq"), F.avg("density").alias("density")).withColumns({"size": F.lit(n), "along": F.lit(along)}) for n in (4, 8) for line, along in (("y", "x"), ("x", "y"))]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(f"WITH {v.PAIR}, {v.PAIRS} SELECT model, round(avg(abs(a - b)), 4) mae, round(sqrt(avg((a - b) * (a - b))), 4) rmse FROM pairs GROUP BY 1")
+def pooled_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(verify.cell_metrics(pairs(spark, sf), ["model"], ["mae", "rmse"]), "mae", "rmse")
+
+
+@query(
+    f"WITH {v.CURV}, d AS (SELECT 'lon' axis, abs(lon - lag(lon) OVER (ORDER BY x)) d FROM grid_curv WHERE y = 4 UNION ALL SELECT 'lat', abs(lat - lag(lat) OVER (ORDER BY y)) FROM grid_curv WHERE x = 6) SELECT axis, count(d) n, round(avg(d), 6) mean, round(stddev_pop(d), 6) std FROM d GROUP BY 1"
+)
+def spacing_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(curvilinear.spacing(v.grid_curv(spark)).drop("cv"), "mean", "std", digits=6)
+
+
+@query()
+def regrid_curvilinear(spark: SparkSession, sf: str) -> DataFrame:
+    """All months of the grid as if it were curvilinear; tests hold the weights against affine fields."""
+    cells = v.grid_curv(spark)
+    weights = curvilinear.triangle_weights(cells, [44.0 - k for k in range(12)], [-128.0 + 2.0 * k for k in range(15)])
+    return curvilinear.apply_weights(v.grid_pair(spark, sf).select("t", "y", "x", "an"), weights, ["t"], ["an"])
+
+
+@query(f"WITH {v.SERIES} SELECT variable, max_by(t, value) best, min_by(t, value) worst FROM series GROUP BY 1")
+def extreme_times(spark: SparkSession, sf: str) -> DataFrame:
+    return v.series(spark, sf).groupBy("variable").agg(F.max_by("t", "value").alias("best"), F.min_by("t", "value").alias("worst"))
+
+
 # windows of a stream, here over a table
 
 @query(

@@ -239,3 +239,37 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     q.awaitTermination(120)
     got = {(r["start"], r["variable"]): r["n"] for r in spark.table("verified").collect()}
     assert got == {(r["start"], r["variable"]): r["n"] for r in windowed(e).collect()}
+
+
+def test_triangles_are_exact_for_affine_fields(spark):
+    from lattica.operators import curvilinear
+
+    cells = views.grid_curv(spark).withColumn("v", 2 * F.col("lat") - F.col("lon"))
+    lat, lon = [44.0 - k for k in range(12)], [-128.0 + 2.0 * k for k in range(15)]
+    weights = curvilinear.triangle_weights(cells.select("y", "x", "lat", "lon"), lat, lon)
+    assert all(abs(r["s"] - 1) < 1e-9 for r in weights.groupBy("ty", "tx").agg(F.sum("w").alias("s")).collect())
+    got = curvilinear.apply_weights(cells.select("y", "x", "v", F.lit(0).alias("t")), weights, ["t"], ["v"]).collect()
+    assert len(got) > 100 and all(abs(r["v"] - (2 * lat[r["y"]] - lon[r["x"]])) < 1e-6 for r in got)
+
+
+def test_grid_kinds(spark, sf):
+    from lattica.operators import curvilinear
+
+    curv, rect = views.grid_curv(spark), views.grid_pair(spark, sf).select("y", "x", "lat", "lon").distinct()
+    assert not curvilinear.is_rectilinear(curv) and curvilinear.is_rectilinear(rect)
+    assert not curvilinear.is_regular(curv) and curvilinear.is_regular(curv, points=8)
+    assert np.allclose(curvilinear.grid_resolution(rect), (2.0, 3.0))
+    assert curvilinear.target_axes((-130, -129), (45, 44), 0.5) == ([45, 44.5, 44], [-130, -129.5, -129])
+
+
+def test_experiment(spark, sf):
+    from lattica.plans import experiment
+
+    p = views.grid_pair(spark, sf)
+    cut = F.expr("timestamp_ntz'1999-01-01 00:00:00'")
+    both = experiment.pair(p.select("t", "y", "x", "fc"), p.select("t", "y", "x", "an"), "fc", "an", [p.where("y = 0 and x = 0 and an > 60000")])
+    out, scores = experiment.run(both.where(F.col("t") < cut), both.where(F.col("t") >= cut), ["y", "x"], ["rmse"])
+    assert scores.count() == 2 * 96 and experiment.loss("rmse", out) > 0
+    assert experiment.combinations({"a": [1, 2], "b": {"c": [3, 4], "d": 5}})[3] == {"a": 2, "b": {"c": 4, "d": 5}}
+    with pytest.raises(KeyError):
+        experiment.rename(p, {"nothing": "x"})
