@@ -34,7 +34,7 @@ def _letter_table() -> np.ndarray:
 
 def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts in lower case with 0 for what is no letter, and where each text begins in them."""
-    each = [f"\n\n{t.lower()}\n\n" for t in texts]
+    each = [f"\n\n\n\n{t.lower()}\n" for t in texts]  # no n-gram reaches into another text
     codes = np.frombuffer("".join(each).encode("utf-32-le", "surrogatepass"), np.uint32)
     table = _letter_table()
     letter = table[np.minimum(codes, len(table) - 1)] | (codes >= len(table))
@@ -93,22 +93,41 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return langs, np.log(by_order / by_order.sum(axis=1, keepdims=True)).reshape(counts.shape).astype(np.float32)
 
 
+#: Code points scored at once: bounds what a task holds beside texts and words.
+CHUNK = 1 << 20
+
+
+def _word_scores(codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihoods (words, languages) and where each word begins; in chunks that end between words."""
+    scores, places, at = [np.zeros((0, table.shape[1]))], [np.zeros(0, np.int64)], 0
+    while at < len(codes):
+        end = min(at + CHUNK, len(codes))
+        while end < len(codes) and not (gaps := np.flatnonzero(codes[end : end + CHUNK] == 0)).size:
+            end = min(end + CHUNK, len(codes))
+        end = end + int(gaps[0]) + 1 if end < len(codes) else end
+        start = max(0, at - max(ORDERS))
+        part = codes[start:end]
+        found = _places(part)
+        found = found[found >= at - start]
+        if len(found):
+            # a place that follows a non-place or a word's end opens a word
+            first = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1] + 1) | (part[found[:-1]] == 0)]))
+            score = sum(table[k * BINS + _grams(part, order)[found]] for k, order in enumerate(ORDERS))
+            scores.append(np.add.reduceat(score, first, axis=0).astype(np.float64) / len(ORDERS))  # the orders overlap, so their mean
+            places.append(found[first] + start)
+        at = end
+    return np.concatenate(scores), np.concatenate(places)
+
+
 def mixtures(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions (texts, languages), 0 outside the chosen set, and the number of words; without words, proportions are 0."""
     n_langs = table.shape[1]
     codes, begins = _letters(texts)
-    at = _places(codes)
     out, n_words = np.zeros((len(texts), n_langs)), np.zeros(len(texts), np.int64)
-    if not len(at):
+    ll, place = _word_scores(codes, table)
+    if not len(place):
         return out, n_words
-    # words: a place that follows a non-place or a word's end opens one
-    opens = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (codes[at[:-1]] == 0)])
-    first = np.flatnonzero(opens)
-    score = np.zeros((len(at), n_langs), np.float32)
-    for k, order in enumerate(ORDERS):
-        score += table[k * BINS + _grams(codes, order)[at]]
-    ll = np.add.reduceat(score, first, axis=0).astype(np.float64) / len(ORDERS)  # the orders overlap, so their mean
-    doc = np.searchsorted(begins, at[first], "right") - 1
+    doc = np.searchsorted(begins, place, "right") - 1
     docs, starts, n = np.unique(doc, return_index=True, return_counts=True)
     local = np.repeat(np.arange(len(docs)), n)
     n_words[docs] = n
