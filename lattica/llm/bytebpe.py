@@ -1,7 +1,7 @@
 """Byte-level BPE in Spark higher-order functions.
 
-A word's bytes become an array of ranks; a fold merges, as often as it can, the neighbouring pair whose joint rank
-is lowest, looked up in a literal map from pairs to ranks. Frequent words are encoded once and remembered in a dictionary
+A word's bytes become an array of ids; a fold merges, as often as it can, the neighbouring pair whose joint rank
+is lowest, looked up in a literal map from pairs to ranks (a piece's rank is its id). Frequent words are encoded once and remembered in a dictionary
 of bounded size; any other word is folded where it stands, so the dictionary's bound changes the cost only.
 Decoding looks up each id's bytes and concatenates them.
 """
@@ -10,20 +10,19 @@ from __future__ import annotations
 
 import base64
 import json
-import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import let, stage
 
-#: Words in the dictionary at most, and bytes of such a word at most: what is sent to every task stays below 20 MB.
-DICTIONARY_WORDS = 200_000
+#: Words in the dictionary at most, and bytes of such a word at most: what is sent to every task stays below 15 MB.
+DICTIONARY_WORDS = 150_000
 DICTIONARY_BYTES = 40
 #: Words of up to so many bytes are folded a merge at a time; in longer ones a step merges all places of the lowest pair.
 SHORT = 48
-#: Spark searches a map from end to end, so the literal maps are dealt over bins by CRC.
-RANK_BINS = 1 << 15
+#: Spark searches a map from end to end, so the words are dealt over bins by CRC.
 WORD_BINS = 1 << 16
 
 
@@ -36,20 +35,45 @@ def _literal(value: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)  # a constant: folded to a literal when planned
 
 
+#: Slots of the two halves of the pair map; a pair has one slot in either and sits in one of them. Primes.
+SLOTS = (250_007, 130_003)
+
+
+def pair_map(ranks: dict[bytes, int]) -> list[list[int | None]]:
+    """All pairs of pieces that make a piece, as first << 32 | second << 16 | joint rank, each at its number modulo the slots of a half."""
+    halves: list[list[int | None]] = [[None] * n for n in SLOTS]
+    for piece, rank in ranks.items():
+        for k in range(1, len(piece)):
+            a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
+            if a is None or b is None:
+                continue
+            entry, side = a << 32 | b << 16 | rank, 0
+            for _ in range(500):  # whoever sits there moves to its slot in the other half
+                at = (entry >> 16) % SLOTS[side]
+                entry, halves[side][at] = halves[side][at], entry
+                if entry is None:
+                    break
+                side = 1 - side
+            else:
+                raise ValueError("the pair map is too small for this vocabulary")
+    return halves
+
+
 class ByteBPE:
-    """ranks: piece -> rank, with every single byte; a piece's rank is its id, and ids run from 0. pattern: what matches is encoded by itself.
+    """ranks: piece -> rank, with every single byte; a piece's rank is its id; fewer than 65,536. pattern: what matches is encoded by itself.
 
     The pattern is read by Java with Unicode classes on, whose letters and numbers are those of the JVM's Unicode version.
     """
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
+        if max(ranks.values()) >= 1 << 16:
+            raise ValueError("ids have to be below 65,536")
         self.pattern = "(?U)" + pattern
         self.spark = spark
-        bins: list[dict[str, int]] = [{} for _ in range(RANK_BINS)]
-        for piece, rank in ranks.items():
-            key = piece.decode("latin-1")  # a character for each byte
-            bins[zlib.crc32(key.encode()) % RANK_BINS][key] = rank
-        self.ranks = _literal(bins, "array<map<string,int>>")
+        self.maps = F.struct(
+            *[_literal(half, "array<bigint>").alias(f"half{k}") for k, half in enumerate(pair_map(ranks))],
+            _literal([ranks[bytes([b])] for b in range(256)], "array<int>").alias("bytes"),
+        )
         by_id = {i: b for b, i in ranks.items()}
         top = max(by_id) + 1
         self.piece_hex = _literal([by_id.get(i, b"").hex() for i in range(top)], "array<string>")
@@ -60,43 +84,48 @@ class ByteBPE:
 
     def fold(self, word: Column) -> Column:
         """A word's ids."""
-        return let(self.ranks, lambda ranks: self._fold(word, ranks))
+        return let(self.maps, lambda maps: self._fold(word, maps))
 
-    def _fold(self, word: Column, ranks: Column) -> Column:
+    def _fold(self, word: Column, maps: Column) -> Column:
         latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a character for each byte
 
-        def rank(piece: Column) -> Column:
-            return F.try_element_at(F.get(ranks, (F.crc32(piece) % RANK_BINS).cast("int")), piece)
+        def rank(a: Column, b: Column) -> Column:
+            key = a.cast("bigint") * 65_536 + b
+
+            def at(k: int) -> Column:
+                entry = F.get(maps[f"half{k}"], (key % SLOTS[k]).cast("int"))
+                return F.when(F.shiftright(entry, 16) == key, entry.bitwiseAND(65_535).cast("int"))
 
-        def pair_ranks(pieces: Column) -> Column:
-            return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda b, i: rank(F.concat(F.get(pieces, i), b)))
+            return F.coalesce(at(0), at(1))
 
-        def step(state: Column, merge) -> Column:
-            """state: pieces, and the ranks of their neighbouring pairs (null: no piece); stays as it is when no pair is left."""
-            new = merge(state["p"], state["r"], F.array_min(state["r"]))
-            return F.when(F.array_min(state["r"]).isNull(), state).otherwise(let(new, lambda p: F.struct(p.alias("p"), pair_ranks(p).alias("r"))))
+        def pair_ranks(ids: Column) -> Column:
+            return F.transform(F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0))), lambda b, i: rank(F.get(ids, i), b))
 
-        def leftmost(p: Column, r: Column, low: Column) -> Column:
-            return let(
-                F.array_position(r, low).cast("int"),
-                lambda at: F.concat(F.slice(p, F.lit(1), at - 1), F.array(F.concat(F.get(p, at - 1), F.get(p, at))), F.slice(p, at + 2, F.size(p))),
-            )
+        def step(ids: Column, merge: Callable[[Column, Column], Column]) -> Column:
+            """ids with the lowest pair merged; as they are when no pair makes a piece."""
+            return let(pair_ranks(ids), lambda r: F.when(F.array_min(r).isNull(), ids).otherwise(merge(ids, r)))
 
-        def everywhere(p: Column, r: Column, low: Column) -> Column:
-            hits = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: F.get(r, i) == low)
+        def leftmost(ids: Column, r: Column) -> Column:
+            at = F.array_position(r, F.array_min(r)).cast("int")
+            return F.concat(F.slice(ids, F.lit(1), at - 1), F.array(F.array_min(r)), F.slice(ids, at + 2, F.size(ids)))
 
+        def everywhere(ids: Column, r: Column) -> Column:
             def starts(hits: Column) -> Column:  # of hits side by side, which overlap, every second one counts
                 runs = F.transform(hits, lambda x, k: x - k)
                 return F.filter(hits, lambda x, k: (k + 1 - F.array_position(runs, x - k)) % 2 == 0)
 
-            def merged(at: Column) -> Column:
-                return F.filter(F.transform(p, lambda x, i: F.when(F.array_contains(at, i), F.concat(x, F.get(p, i + 1))).when(~F.array_contains(at, i - 1), x)), lambda x: x.isNotNull())
+            def merged(at: Column, low: Column) -> Column:
+                return F.filter(F.transform(ids, lambda x, i: F.when(F.array_contains(at, i), low).when(~F.array_contains(at, i - 1), x)), lambda x: x.isNotNull())
+
+            def with_low(low: Column) -> Column:
+                hits = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: F.get(r, i) == low)
+                return let(hits, lambda h: let(starts(h), lambda at: merged(at, low)))
 
-            return let(hits, lambda h: let(starts(h), merged))
+            return let(F.array_min(r), with_low)
 
-        def run(merge) -> Column:
-            first = let(F.split(latin, ""), lambda p: F.struct(p.alias("p"), pair_ranks(p).alias("r")))
-            return F.aggregate(F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2))), first, lambda s, _: step(s, merge), lambda s: F.transform(s["p"], rank))
+        def run(merge: Callable[[Column, Column], Column]) -> Column:
+            first = F.transform(F.split(latin, ""), lambda c: F.get(maps["bytes"], F.ascii(c)))
+            return F.aggregate(F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2))), first, lambda ids, _: step(ids, merge))
 
         return F.when(F.octet_length(word) <= SHORT, run(leftmost)).otherwise(run(everywhere))
 
@@ -119,23 +148,23 @@ class ByteBPE:
             if (total := total + row["count"]) > DICTIONARY_WORDS:
                 break
             level = row["level"]
-        head = counts.where(F.col("level") >= level).select("word", self.fold(F.col("word")).alias("ids"))
-        bins: list[dict[str, list[int]]] = [{} for _ in range(WORD_BINS)]
-        for row in head.toArrow().to_batches():
-            for word, ids in zip(row["word"].to_pylist(), row["ids"].to_pylist(), strict=True):
-                bins[zlib.crc32(word.encode()) % WORD_BINS][word] = ids
-        return _literal(bins, "array<map<string,array<int>>>")
+        head = counts.where(F.col("level") >= level).select((F.crc32("word") % WORD_BINS).cast("int").alias("bin"), "word", self.fold(F.col("word")).alias("ids"))
+        filled = head.groupBy("bin").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("word", "ids")))).alias("json")).toArrow()
+        bins = ["{}"] * WORD_BINS
+        for k, text in zip(filled["bin"].to_pylist(), filled["json"].to_pylist(), strict=True):
+            bins[k] = text
+        return F.from_json(F.lit(f"[{','.join(bins)}]"), "array<map<string,array<int>>>")
 
     def encode(self, text: Column, dictionary: Column) -> Column:
         """A text's ids (array<int>); null and empty texts have none."""
 
-        def all_of(words: Column, known: Column, ranks: Column) -> Column:
+        def all_of(words: Column, known: Column, maps: Column) -> Column:
             def of(word: Column) -> Column:
-                return F.coalesce(F.try_element_at(F.get(known, (F.crc32(word) % WORD_BINS).cast("int")), word), self._fold(word, ranks))
+                return F.coalesce(F.try_element_at(F.get(known, (F.crc32(word) % WORD_BINS).cast("int")), word), self._fold(word, maps))
 
             return F.flatten(F.transform(words, of))
 
-        return let(dictionary, lambda known: let(self.ranks, lambda ranks: all_of(self.words(text), known, ranks)))
+        return let(dictionary, lambda known: let(self.maps, lambda maps: all_of(self.words(text), known, maps)))
 
     def decode(self, ids: Column) -> Column:
         """The bytes that ids stand for."""
