@@ -24,14 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, files: int | None = None) -> DataFrame:
+def stage(df: DataFrame, files: int | None = None, compression: str = "zstd") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    files: coalesce to so many files; only for results known to be small (a row per source, per shard).
+    files: coalesce to so many files; only for results known to be small (a row per source, per shard). compression: "uncompressed"
+    for bytes that are dense already.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica/{uuid.uuid4().hex}"
-    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

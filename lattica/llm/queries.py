@@ -47,7 +47,7 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("word_bpe_49k.json")) as f:
         encoded, kind = encode_documents(documents(spark, sf_dir, "doc_id", "text"), f.read(), end_id=2)
-    return read_shards(write_shards(stage(encoded), kind), with_ids=False)
+    return read_shards(write_shards(stage(encoded, compression="uncompressed"), kind), with_ids=False)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

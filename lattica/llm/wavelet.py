@@ -157,7 +157,7 @@ def read_shard(data: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray, Wavelet
 #: Ids of words, and of the pieces that words share, by tokenizer: reused worker processes keep them from task to task.
 _KNOWN: dict[str, tuple[_Words, dict[str, bytes]]] = {}
 #: Entries of either kind before starting afresh; bounds memory, not results.
-MEMO = 1_200_000
+MEMO = 1_340_000
 
 
 class _Words(dict):
@@ -234,11 +234,12 @@ def id_type(vocabulary: int) -> str:
 
 
 def encode_documents(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
-    """(doc_id, ids) and the ids' numpy type; the end id is last; null and empty texts are the end id alone."""
+    """(doc_id, n, ids), n the number of ids, and the ids' numpy type; the end id is last; null and empty texts are the end id alone."""
     from tokenizers import Tokenizer
 
     model = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     kind = id_type(Tokenizer.from_str(tokenizer_json).get_vocab_size())
+    width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_encoder(model.value), np.array([end_id], kind).tobytes()
@@ -246,21 +247,22 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, end_id: int, id_col:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 ids = [x + end for x in encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                size = pa.array([len(x) // width for x in ids], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids binary"), kind
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n int, ids binary"), kind
 
 
 def write_shards(encoded: DataFrame, kind: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(doc_id, ids of numpy type kind) -> the staged table (part int, seq int, n_docs long, n_tokens long, file binary), shards in ascending doc_id order.
+    """(doc_id, n, ids of numpy type kind) -> the staged table (part int, seq int, n_docs long, n_tokens long, file binary), shards in ascending doc_id order.
 
     Rows are range-partitioned by doc_id (null first) and sorted inside; a task writes its range as one or more
     shards of about shard_tokens. Equal doc_ids stay together, ordered by their ids. Each shard's file is one
     value, so it is committed, retried and read like any other Spark output, in any store.
     """
     width = np.dtype(kind).itemsize
-    total = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    parts = max(1, round(total / width / shard_tokens))
+    total = encoded.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, round(total / shard_tokens))
     least = -(1 << 63)  # stands for a null doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +282,7 @@ def write_shards(encoded: DataFrame, kind: str, shard_tokens: int = SHARD_TOKENS
             at = 0
             while at < len(docs):  # as many documents as fill the open shard, one at least
                 upto = min(max(int(np.searchsorted(ends, ends[at] + shard_tokens - size)), at + 1), len(docs))
-                held.append((docs[at:upto], np.diff(ends[at : upto + 1]), ids[ends[at] : ends[upto]].copy()))
+                held.append((docs[at:upto], np.diff(ends[at : upto + 1]), ids[ends[at] : ends[upto]]))
                 size += int(ends[upto] - ends[at])
                 at = upto
                 if size >= shard_tokens:
@@ -289,8 +291,8 @@ def write_shards(encoded: DataFrame, kind: str, shard_tokens: int = SHARD_TOKENS
         if held:
             yield shard()
 
-    ordered = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-    return stage(ordered.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, file binary"))
+    ordered = encoded.select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    return stage(ordered.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, file binary"), compression="uncompressed")
 
 
 def read_shards(shards: DataFrame, with_ids: bool = True) -> DataFrame:
