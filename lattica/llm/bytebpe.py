@@ -15,10 +15,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import let, stage
+from lattica.llm.common import let, release, stage
 
-#: Words in the dictionary at most, and bytes of such a word at most: what is sent to every task stays below 15 MB.
-DICTIONARY_WORDS = 150_000
+#: Words in the dictionary at most, and bytes of such a word at most: what is sent to every task stays below 10 MB.
+DICTIONARY_WORDS = 100_000
 DICTIONARY_BYTES = 40
 #: Words of up to so many bytes are folded a merge at a time; in longer ones a step merges all places of the lowest pair.
 SHORT = 48
@@ -89,17 +89,16 @@ class ByteBPE:
     def _fold(self, word: Column, maps: Column) -> Column:
         latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a character for each byte
 
-        def rank(a: Column, b: Column) -> Column:
-            key = a.cast("bigint") * 65_536 + b
-
+        def rank(pair: Column) -> Column:
             def at(k: int) -> Column:
-                entry = F.get(maps[f"half{k}"], (key % SLOTS[k]).cast("int"))
-                return F.when(F.shiftright(entry, 16) == key, entry.bitwiseAND(65_535).cast("int"))
+                entry = F.get(maps[f"half{k}"], (pair % SLOTS[k]).cast("int"))
+                return F.when(F.shiftright(entry, 16) == pair, entry.bitwiseAND(65_535).cast("int"))
 
             return F.coalesce(at(0), at(1))
 
         def pair_ranks(ids: Column) -> Column:
-            return F.transform(F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0))), lambda b, i: rank(F.get(ids, i), b))
+            pairs = F.transform(F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0))), lambda b, i: F.get(ids, i).cast("bigint") * 65_536 + b)
+            return F.transform(pairs, rank)
 
         def step(ids: Column, merge: Callable[[Column, Column], Column]) -> Column:
             """ids with the lowest pair merged; as they are when no pair makes a piece."""
@@ -150,6 +149,7 @@ class ByteBPE:
             level = row["level"]
         head = counts.where(F.col("level") >= level).select((F.crc32("word") % WORD_BINS).cast("int").alias("bin"), "word", self.fold(F.col("word")).alias("ids"))
         filled = head.groupBy("bin").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("word", "ids")))).alias("json")).toArrow()
+        release(self.spark)  # the driver's memory: what follows plans with literals of some MB
         bins = ["{}"] * WORD_BINS
         for k, text in zip(filled["bin"].to_pylist(), filled["json"].to_pylist(), strict=True):
             bins[k] = text
