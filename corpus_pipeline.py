@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bytebpe import ByteBPE, load_ranks
-from lattica.llm.common import read_table, stage, word_count
+from lattica.llm.common import read_table, release, stage, word_count
 from lattica.llm.jaccard import jaccard_components
 from lattica.llm.mixing import pareto_mix
 from lattica.llm.quality import judge_quality
@@ -40,7 +40,10 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of strings of 400 bytes that start anywhere else too; characters cut in two go whole. n_chars follows."""
-    cut = remove_repeats(_rows(docs), length=400).select("row", F.when(F.col("n_removed") > 0, readable(F.col("kept"))).otherwise(F.col("row.text")).alias("left"))
+    rest = F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row")
+    cut = remove_repeats(docs.select(rest, "doc_id", "text"), length=400)
+    some = F.col("n_removed") > 0
+    cut = cut.select("row", F.when(some, readable(F.when(some, F.col("kept")))).otherwise(F.col("text")).alias("left"))
     new = {"text": F.col("left"), "n_chars": F.char_length("left").cast("long")}
     return cut.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
@@ -53,6 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens and the digest of what the ids decode to."""
+    release(spark)  # four stages have left their plans behind
     bpe = ByteBPE(spark, load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
     coded = docs.select("doc_id", "lang", "source", bpe.encode(F.col("text"), bpe.dictionary(docs)).alias("ids"))
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"))

@@ -294,8 +294,8 @@ def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def readable(kept: pd.Series) -> pd.Series:
-    """Bytes as text, without what is left of characters that were cut in two."""
-    return kept.map(lambda b: b.decode("utf-8", "ignore"))
+    """Bytes as text, without what is left of characters that were cut in two; null stays null."""
+    return kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,11 +306,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     Equal texts of `length` bytes or more all go. Every row comes back; input columns called like an output column are replaced.
     """
     gone = spans(docs, length, id_col, text_col).select(F.col("doc_id").alias("_x_id"), F.col("class").alias("_x_class"), F.col("spans").alias("_x_spans"))
-    named = docs.withColumn("_x_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn("_x_hash", F.xxhash64("_x_text"))
-    out = named.join(gone, F.col(id_col).eqNullSafe(F.col("_x_id")) & (F.col("_x_hash") == F.col("_x_class")), "left")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    out = docs.withColumn("_x_hash", F.xxhash64(text)).join(gone, F.col(id_col).eqNullSafe(F.col("_x_id")) & (F.col("_x_hash") == F.col("_x_class")), "left")
+    cut = F.col("_x_spans").isNotNull()
     new = {
-        "kept": _without(F.col("_x_text"), F.col("_x_spans")),
-        "n_bytes": F.octet_length("_x_text").cast("long"),
+        # only texts that lose bytes go through Python
+        "kept": F.when(cut, _without(F.when(cut, text), F.col("_x_spans"))).otherwise(F.encode(text, "UTF-8")),
+        "n_bytes": F.octet_length(text).cast("long"),
         "n_removed": F.coalesce(F.aggregate("_x_spans", F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"]), F.lit(0)),
         "n_spans": F.coalesce(F.size("_x_spans"), F.lit(0)).cast("long"),
     }
