@@ -70,6 +70,8 @@ class ByteBPE:
             raise ValueError("ids have to be below 65,536")
         self.pattern = "(?U)" + pattern
         self.spark = spark
+        # plans hold literals of some MB; without this the driver keeps them as text too, several times each
+        spark.conf.set("spark.sql.maxPlanStringLength", 100_000)
         self.maps = F.struct(
             *[_literal(half, "array<bigint>").alias(f"half{k}") for k, half in enumerate(pair_map(ranks))],
             _literal([ranks[bytes([b])] for b in range(256)], "array<int>").alias("bytes"),
