@@ -176,7 +176,7 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     back = length - GRAM
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("class", F.xxhash64("text"))
     slim = stage(texts.select("doc_id", "class", F.octet_length("text").cast("long").alias("n_bytes")).where(F.col("n_bytes") >= length))
-    classes = slim.groupBy("class", "n_bytes").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
+    classes = slim.groupBy("class", "n_bytes").agg(F.count(F.lit(1)).alias("copies"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,10 +190,8 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     drop_staged(found)
     release(docs.sparkSession)
 
-    # the bytes around shared anchors, from one row of each text
+    # the bytes around shared anchors, once a text: by class alone, as a row's id may be null
     places = shared.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("place", "key"))).alias("places"))
-    one = classes.groupBy("class").agg(F.min("least").alias("doc_id"))
-    at = places.join(one, "class")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,11 +210,11 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
                             col.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["key", "digest", "class", "place", "before", "after"])
 
-    around = long.join(at, ["class", "doc_id"]).select("class", "text", "places")
+    around = long.select("class", "text").dropDuplicates(["class"]).join(places, "class").select("class", "text", "places")
     around = stage(around.mapInArrow(cut, "key long, digest binary, class long, place int, before binary, after binary"))
     drop_staged(shared)
     release(docs.sparkSession)
-    marks = around.select("key", "digest", "class", "place").dropDuplicates()  # of repeated rows of one doc_id and text
+    marks = around.select("key", "digest", "class", "place")
     counts = marks.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("count"))
     members = around.where("before is not null").select("key", "digest", "before", "after").dropDuplicates(["key", "digest"])
     sizes = counts.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("count").alias("places")).where("places > 1").drop("places")
@@ -303,7 +301,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     A byte is removed if a string of `length` bytes covers it that starts at another place too, in this or any other row; strings are
     judged on the input. Strings never cross rows. Null texts count as empty; texts shorter than `length` stay whole.
-    Equal texts of `length` bytes or more all go. Every row comes back; input columns called like an output column are replaced.
+    Equal texts of `length` bytes or more all go. A row with a null id is a row like any other. Every row comes back; input columns called like an output column are replaced.
     """
     gone = spans(docs, length, id_col, text_col).select(F.col("doc_id").alias("_x_id"), F.col("class").alias("_x_class"), F.col("spans").alias("_x_spans"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -263,6 +263,21 @@ def test_op6_on_edited_copies(spark):
     assert [got[k] for k in range(len(texts))] == list(repeats_by_force(texts, 400))
 
 
+def test_op6_on_null_ids(spark):
+    from lattica.llm.substrings import remove_repeats
+
+    rng = random.Random(6)
+    one, two = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (700, 450))
+    own = ["".join(rng.choice("pqrstuvw ") for _ in range(500)) for _ in range(6)]
+    # a passage that two null ids share; one that a null id shares with an id; a copy of a null id's text; null ids that share nothing
+    docs = [(None, own[0] + one), (None, one + own[1]), (None, two + own[2]), (1, own[3] + two + "end"), (None, two + own[2]), (None, own[4]), (2, own[5])]
+    docs = [(i, t, k) for k, (i, t) in enumerate(docs)]
+    want = dict(enumerate(repeats_by_force([t for _, t, _ in docs], 400)))
+    assert want[0][1] >= 700 and want[3][1] >= 450 and want[5][1] == 0
+    got = remove_repeats(spark.createDataFrame(docs, "doc_id long, text string, k int").repartition(4)).collect()
+    assert {r["k"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got} == want
+
+
 def test_deep_shallow_sort():
     from lattica.llm.suffixes import deep_shallow_sort
 
