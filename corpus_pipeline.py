@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.bytebpe import ByteBPE, load_ranks
 from lattica.llm.common import read_table, release, stage, word_count
-from lattica.llm.jaccard import jaccard_components
+from lattica.llm.jaccard import without_copies
 from lattica.llm.mixing import pareto_mix
 from lattica.llm.quality import judge_quality
 from lattica.llm.substrings import readable, remove_repeats
@@ -32,10 +32,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id."""
-    found = jaccard_components(docs.select("doc_id", "text"), per_cent=75, width=5)
-    copies = stage(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates, the document with the smallest doc_id; of a group without any id, one row."""
+    return without_copies(docs, per_cent=75, width=5)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def _class(members: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, width: int, per_cent: int, id_col: str, text_col: str, common: Bloom | None) -> DataFrame:
-    """(doc_id, class, n, first, signature): equal sets have equal classes (null if empty); first: the members that place a row in tiles.
+    """(doc_id, key, class, n, first, signature): equal sets have equal classes (null if empty); first: the members that place a row in tiles.
 
     A task gives first and signature once for each class that it meets, so copies are few in what is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
@@ -70,9 +70,15 @@ def _sets(docs: DataFrame, width: int, per_cent: int, id_col: str, text_col: str
                 where = pa.array(np.cumsum([0, *map(len, heads)]), pa.int32())
                 first = pa.ListArray.from_arrays(where, pa.array(np.concatenate(heads).view(np.int64)))
                 signatures = pa.array([_bitmap(s) if ok else None for s, ok in zip(sets, new, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(classes, pa.int64()), pa.array(n), first, signatures], names=["doc_id", "class", "n", "first", "signature"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(classes, pa.int64()), pa.array(n), first, signatures], names=["doc_id", "key", "class", "n", "first", "signature"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, class long, n long, first array<long>, signature binary")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, key long, class long, n long, first array<long>, signature binary")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, key): the key is never null, and rows have one key if id (null or not) and text are equal."""
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("key"))
 
 
 def _common(rows: DataFrame) -> Bloom | None:
@@ -235,11 +241,36 @@ def _compare(groups: DataFrame, per_cent: int, exact: bool) -> DataFrame:
 def jaccard_components(docs: DataFrame, per_cent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id (long), n_shingles, component_id (smallest doc_id reachable over links, itself included).
 
+    A row with a null doc_id links like any other; component_id is null only where no row of a component has an id.
+
     Rows link when 100 * intersection >= per_cent * union of their sets of distinct shingles of `width` words (A-Z lower-cased; a text of
     fewer words is one shingle). Null, empty and blank texts have empty sets and link with nothing. Equal sets are one class: copies
     are compared once. Repeated doc_ids each come back. Whole texts, exact: no candidate is dropped but by a bound. Equality of shingles is
     equality of 64-bit hashes.
     """
+    return _components(docs, per_cent, width, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def without_copies(docs: DataFrame, per_cent: int = 75, width: int = 5) -> DataFrame:
+    """Of each component of jaccard_components the rows of its smallest doc_id; where none of its rows has an id, one row.
+
+    Rows with equal doc_id go or stay together. Rows with null doc_id and an empty set link with nothing and all stay.
+    """
+    found = stage(_components(docs.select("doc_id", "text"), per_cent, width, "doc_id", "text"))
+    copies = stage(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    named = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti").select(*docs.columns)
+    # of rows with null ids: all with empty sets; and of components without an id the row of least key, then of least content
+    nameless = found.where("doc_id is null and component_id is null")
+    one = nameless.where("component is not null").groupBy("component").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("one"))
+    stay = stage(one.union(nameless.where("component is null").select("key", F.lit(False)).distinct()))
+    row = F.struct(*[docs[c] for c in docs.columns])
+    rest = docs.where("doc_id is null").select(row.alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key")).join(stay, "key")
+    single = rest.where("one").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return named.union(single.select("row.*")).union(rest.where("not one").select("row.*"))
+
+
+def _components(docs: DataFrame, per_cent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """jaccard_components with key (see _keyed) and component: one of its classes, null for empty sets."""
     rows = stage(_sets(docs, width, per_cent, id_col, text_col, None))
     common = _common(rows)
     if common is not None:
@@ -249,7 +280,7 @@ def jaccard_components(docs: DataFrame, per_cent: int = 75, width: int = 5, id_c
     release(docs.sparkSession)
     signed = stage(rows.where("signature is not null").select("class", "n", "signature").dropDuplicates(["class"]))
     stars = stage(_stars(rows.where("signature is not null").select("class", "n", "first")))
-    slim = stage(rows.select("doc_id", "class", "n"))
+    slim = stage(rows.select("doc_id", "key", "class", "n"))
     drop_staged(rows)
     release(docs.sparkSession)
 
@@ -258,8 +289,8 @@ def jaccard_components(docs: DataFrame, per_cent: int = 75, width: int = 5, id_c
     signatures = every.join(signed, "class").withColumn("comp", F.col("class"))
     close = _compare(_grouped(signatures.select("leader", "class", "n", "comp")).join(signed.select("class", "signature"), "class"), per_cent, exact=False)
     close = stage(close.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-    wanted = stage(slim.join(close, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
-    members = _members(docs, wanted.select("doc_id").distinct(), width, id_col, text_col)
+    wanted = stage(slim.join(close, "class").groupBy("class").agg(F.min("key").alias("key")))
+    members = _members(docs, wanted.select("key"), width, id_col, text_col)
     members = stage(members.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
     release(docs.sparkSession)
 
@@ -283,18 +314,20 @@ def jaccard_components(docs: DataFrame, per_cent: int = 75, width: int = 5, id_c
     of_class = slim.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(components.withColumnRenamed("id", "class"), "class", "left")
     of_class = of_class.withColumn("component", F.coalesce("component", "class"))
     least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of_class.select("class", "component").join(least, "component").select("class", "component_id")
-    return slim.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = of_class.select("class", "component").join(least, "component").select("class", "component", "component_id")
+    return slim.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "key", "component")
 
 
-def _members(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(class, members) of the rows with the given ids; members: the sorted hashes, 8 bytes each."""
+def _members(docs: DataFrame, keys: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(class, members) of the rows with the given keys, of rows with one key once a task; members: the sorted hashes, 8 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
+            batch = batch.filter(pa.array([k not in met and not met.add(k) for k in batch.column(1).to_pylist()], pa.bool_()))
             for at in range(0, len(batch), 200):
                 sets = [s for s in shingle_sets(batch.column(0).slice(at, 200), width) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "members"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-    return texts.select("text").mapInArrow(run, "class long, members binary")
+    texts = _keyed(docs, id_col, text_col).join(keys, "key", "left_semi")
+    return texts.select("text", "key").mapInArrow(run, "class long, members binary")

@@ -372,6 +372,32 @@ def test_op8_on_edited_copies(spark, common, block, monkeypatch):
     assert got == components_by_force(docs)
 
 
+def test_op8_on_null_ids(spark):
+    from lattica.llm import jaccard
+
+    rng = random.Random(9)
+    base = [[f"{c}{rng.randrange(10**6)}" for _ in range(100)] for c in "abcde"]
+
+    def text(k, *changed):
+        return " ".join("changed" if i in changed else w for i, w in enumerate(base[k]))
+
+    # 1 and 2 are linked through a null id's text only; null ids that are near or exact copies of one another; of an id; alone; empty
+    docs = [(1, text(0, *range(8))), (None, text(0)), (2, text(0, *range(92, 100)))]
+    docs += [(None, text(1)), (None, text(1, 0)), (None, text(1)), (None, text(2, 50)), (3, text(2)), (None, text(3)), (None, ""), (None, None), (4, text(4))]
+    force = components_by_force([(k, t) for k, (_, t) in enumerate(docs)])
+    least = {}
+    for k, (i, _) in enumerate(docs):
+        least[force[k][1]] = min((x for x in (i, least.get(force[k][1])) if x is not None), default=None)
+    assert force[0][1] == force[2][1] and force[3][1] == force[4][1]
+    table = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(docs)], "doc_id long, text string, key int").repartition(4)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(table).collect())
+    assert got == Counter((i, force[k][0], least[force[k][1]]) for k, (i, _) in enumerate(docs))
+
+    kept = jaccard.without_copies(table).collect()
+    assert sorted(force[r["key"]][1] for r in kept) == sorted(set(c for _, c in force.values()))
+    assert {r["key"] for r in kept if r["doc_id"] is not None} == {0, 7, 11} and {8, 9, 10} <= {r["key"] for r in kept}
+
+
 def test_op9(spark, tmp_path):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(12, 16))
