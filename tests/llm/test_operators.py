@@ -222,6 +222,38 @@ def test_op5(spark, folder):
     assert got == want
 
 
+def test_op5_finds_notices_inside_other_words(spark):
+    from lattica.llm.licenses import TEMPLATES, scan, template_bigrams
+
+    apache = TEMPLATES["Apache-2.0"][1]
+    one, url, two = apache.partition("http://www.apache.org/licenses/LICENSE-2.0")
+    layout = f"{one.strip()}\n\n    {url}\n\n{two.strip()}"
+    wrapped = "\n".join("# " + x if x else "#" for x in layout.replace("; ", ";\n").replace(", software", ",\nsoftware").split("\n"))
+    docs = {
+        1: "Some title\n\nWords before.\n\n" + layout + "\n\nWords after.",
+        2: "Copyright (c) 2020 Jane Doe. Licensed under the MIT License.",
+        3: wrapped + "\nimport os\nprint(os.name, 'of the')\n" * 9,
+        4: "We say: released under the MIT License. And data, this work is licensed under CC BY 4.0, as is " + "more of the text " * 50,
+        5: "Released under the MIT License.\nAlso this is released under the MIT License here, and nothing else of the kind is.",
+        6: "The license of the software is under the table. This work is under copyright; the rest of the program may use the file.",
+        7: "the code (licensed under the MIT) licensed under the licensed under the MIT License " * 2,
+    }
+    got = {r["doc_id"]: r for r in scan(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert [got[k]["license"] for k in range(1, 7)] == ["Apache-2.0", "MIT", "Apache-2.0", got[4]["license"], "MIT", None]
+    assert got[1]["dice"] == got[2]["dice"] == got[3]["dice"] == 1 and got[4]["licenses"] == ["CC-BY-4.0", "MIT"] and got[5]["n_segments"] == 2
+    bags = [Counter(b.rsplit(" ", 1)[0] for b in template_bigrams(t)) for ts in TEMPLATES.values() for t in ts]
+    for k, text in docs.items():  # no stretch of words is better than what was found
+        w = re.findall(r"[^\W_]+", text.lower())
+        pairs, top = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)], 0.0
+        for bag in bags:
+            at = [i for i, p in enumerate(pairs) if p in bag]
+            for a in at:
+                for b in at:
+                    if a <= b < a + 1.5 * bag.total():
+                        top = max(top, 2 * (Counter(pairs[a : b + 1]) & bag).total() / (b + 1 - a + bag.total()))
+        assert abs(got[k]["dice"] - (top if top >= 0.8 else 0)) < 1e-12, k
+
+
 def repeats_by_force(texts, length):
     raws = [t.encode() for t in texts]
     seen = Counter(r[k : k + length] for r in raws for k in range(len(r) - length + 1))
