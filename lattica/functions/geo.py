@@ -33,9 +33,12 @@ def lon_between(lon: Column, west: float, east: float) -> Column:
     return lon.between(west, east) if west <= east else (lon >= west) | (lon <= east)
 
 
-def in_region(region: Region, lat: Column, lon: Column, grid_min: float = -180.0) -> Column:
-    west, east = (to_convention(b, grid_min) for b in region.lon)
-    return within(lat, region.lat) & lon_between(lon, west, east)
+def in_region(region: Region, lat: Column, lon: Column, grid_min: float | None = None) -> Column:
+    """Ends included. grid_min: the grid's least longitude, which tells its convention; None wraps the longitudes, for any grid."""
+    if abs(region.lon[1] - region.lon[0]) >= 360:
+        return within(lat, region.lat)
+    west, east = (to_convention(b, -180.0 if grid_min is None else grid_min) for b in region.lon)
+    return within(lat, region.lat) & lon_between(wrap(lon, 0.0) if grid_min is None else lon, west, east)
 
 
 def cos_lat(lat: Column) -> Column:

@@ -58,7 +58,8 @@ def triangle_weights(cells: DataFrame, lat_to: list[float], lon_to: list[float])
 
     Each quad of neighbouring cells is split along its falling diagonal. A triangle meets the targets inside its bounding box through
     index ranges of the regular target axes, so no triangle is compared with all targets. A target on an edge takes
-    the triangle with the lowest number. One table serves all times and variables: apply with `apply_weights`.
+    the triangle with the lowest number. A target in no triangle has one row without a weight, at the first cell, so it comes back as
+    null. One table serves all times and variables: apply with `apply_weights`.
     """
     step = {"lat": lat_to[1] - lat_to[0] if len(lat_to) > 1 else 1.0, "lon": lon_to[1] - lon_to[0] if len(lon_to) > 1 else 1.0}
     corner = cells.select("y", "x", F.struct("y", "x", "lat", "lon").alias("p"))
@@ -84,7 +85,12 @@ def triangle_weights(cells: DataFrame, lat_to: list[float], lon_to: list[float])
     inside = met.withColumns({"w1": w1, "w2": w2}).withColumn("w3", 1.0 - F.col("w1") - F.col("w2")).where(F.least("w1", "w2", "w3") >= -1e-9)
     one = inside.groupBy("ty", "tx").agg(F.min(F.struct("y", "x", "k", "p", "q", "r", "w1", "w2", "w3")).alias("s"))
     parts = F.explode(F.array(*[F.struct(F.col(f"s.{n}.y").alias("y"), F.col(f"s.{n}.x").alias("x"), F.col(f"s.w{k}").alias("w")) for k, n in enumerate("pqr", 1)]))
-    return one.select(F.col("ty").cast("int").alias("ty"), F.col("tx").cast("int").alias("tx"), parts.alias("c")).select("ty", "tx", "c.y", "c.x", "c.w")
+    found = one.select(F.col("ty").cast("int").alias("ty"), F.col("tx").cast("int").alias("tx"), parts.alias("c")).select("ty", "tx", "c.y", "c.x", "c.w")
+    spark = cells.sparkSession
+    targets = spark.range(len(lat_to) * len(lon_to)).select((F.col("id") / len(lon_to)).cast("int").alias("ty"), (F.col("id") % len(lon_to)).cast("int").alias("tx"))
+    first = cells.agg(F.min(F.struct("y", "x")).alias("c"))
+    outside = targets.join(one.select("ty", "tx"), ["ty", "tx"], "left_anti").select("ty", "tx", first.select("c.y").scalar().alias("y"), first.select("c.x").scalar().alias("x"), F.lit(None).cast("double").alias("w"))
+    return found.union(outside)
 
 
 def apply_weights(df: DataFrame, weights: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from lattica.functions.geo import in_region, lon_between, within
 from lattica.spec import Region
 
 
-def subset(df: DataFrame, region: Region, grid_min: float = -180.0) -> DataFrame:
+def subset(df: DataFrame, region: Region, grid_min: float | None = -180.0) -> DataFrame:
     return df.where(in_region(region, F.col("lat"), F.col("lon"), grid_min))
 
 
@@ -26,6 +26,19 @@ def subset_curvilinear(df: DataFrame, region: Region, values: list[str]) -> Data
     return kept.select(*[F.when(F.col("_hit"), F.col(c)).alias(c) if c in values else c for c in df.columns])
 
 
+def extremes(df: DataFrame) -> DataFrame:
+    """One row: the least and greatest longitude and latitude."""
+    return df.agg(*[f(c).alias(f"{c}_{n}") for c in ("lon", "lat") for n, f in (("min", F.min), ("max", F.max))])
+
+
+def cut_longitude(df: DataFrame, west: float, east: float) -> DataFrame:
+    """One row: where to cut the circle for a region from west to east, so that the region is in one piece: the first grid longitude at or
+    past west, and its index among the grid's; null where the region crosses no cut."""
+    axis = df.select("lon").distinct().withColumn("x", F.row_number().over(Window.orderBy("lon")) - 1)  # an axis, not cells
+    crossing = F.lit(west > east)
+    return axis.where(crossing & (F.col("lon") >= west)).agg(F.min("lon").alias("lon"), F.min("x").alias("x"))
+
+
 def resolution(df: DataFrame) -> DataFrame:
     """Mean spacing of the axes (dlat, dlon), from the distinct axis values. An axis is small beside the cells, so its window may be one task."""
     out = None

@@ -1,11 +1,12 @@
-"""Spectra of gridded fields: discrete Fourier transforms as joins and sums, radial Welch spectra as grouped NumPy kernels."""
+"""Spectra of gridded fields: transforms of batches of fields, radial and Welch spectra as grouped NumPy kernels."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +14,30 @@ KM_PER_DEGREE = 111.32
 
 
 def rfft2(df: DataFrame, height: int, width: int, keys: list[str], values: list[str]) -> DataFrame:
-    """Real 2-D transform of small fields: (keys, ky, kx, re_<v>, im_<v>). Every cell meets the literal twiddles of its place; each
-    coefficient is one sum, so partial aggregation takes most of the rows. For fields of thousands of cells use `radial_spectrum`'s way."""
-    twiddle = [(y, x, ky, kx, math.cos(a := -2 * math.pi * (ky * y / height + kx * x / width)), math.sin(a)) for y in range(height) for x in range(width) for ky in range(height) for kx in range(width // 2 + 1)]
-    table = df.sparkSession.createDataFrame(twiddle, "y int, x int, ky int, kx int, c double, s double")
-    sums = [F.sum(F.col(v) * F.col(t)).alias(f"{part}_{v}") for v in values for part, t in (("re", "c"), ("im", "s"))]
-    return df.join(table, ["y", "x"]).groupBy(*keys, "ky", "kx").agg(*sums)
+    """Real 2-D transform of fields: (keys, ky, kx, re_<v>, im_<v>). A field's cells meet in one row (cells, not times, bound it) and
+    whole batches of fields are transformed at once. Missing cells and nulls count as 0; cells outside the grid are left out."""
+    packed = df.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).groupBy(*keys).agg(F.collect_list(F.struct((F.col("y") * width + F.col("x")).cast("int").alias("at"), *[F.col(v).cast("double").alias(f"v{k}") for k, v in enumerate(values)])).alias("cells"))
+    wide = width // 2 + 1
+    names = [*keys, "ky", "kx", *[f"{part}_{v}" for v in values for part in ("re", "im")]]
+
+    def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            per = max(1, 500_000 // (height * width))  # fields at once
+            for part in (batch.slice(k, per) for k in range(0, len(batch), per)):
+                cells = part.column(len(keys))
+                row = np.repeat(np.arange(len(part)), cells.value_lengths().to_numpy())
+                flat = cells.flatten()
+                out = [part.column(k).take(pa.array(np.repeat(np.arange(len(part)), height * wide))) for k in range(len(keys))]
+                out += [pa.array(np.tile(x, len(part)).astype(np.int32)) for x in (np.repeat(np.arange(height), wide), np.tile(np.arange(wide), height))]
+                for k in range(len(values)):
+                    field = np.zeros((len(part), height * width))
+                    field[row, flat.field(0).to_numpy()] = np.nan_to_num(flat.field(k + 1).to_numpy(zero_copy_only=False))
+                    c = np.fft.rfft2(field.reshape(-1, height, width)).ravel()
+                    out += [pa.array(c.real.copy()), pa.array(c.imag.copy())]
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return packed.mapInArrow(transform, kinds + ", ky int, kx int, " + ", ".join(f"`{n}` double" for n in names[len(keys) + 2 :]))
 
 
 def power(coefficients: DataFrame, a: str, b: str, eps: float = 1e-6) -> DataFrame:
@@ -104,6 +123,27 @@ def welch_rows(df: DataFrame, value: str, keys: list[str], along: str = "x", **o
     return df.select(*keys, along, value).groupBy(*keys).applyInPandas(kernel, f"{kinds}, k long, freq double, density double")
 
 
+def psd_cube(maps: DataFrame, value: str, keys: list[str], sizes: list[int], nfft: int = 0) -> DataFrame:
+    """(keys, along, size, k, freq, density): mean density of the lines along x and along y, for every window size (half overlap, transforms
+    of the size, or nfft if that is more). keys: what a map is (variable, model, season). Each line is dealt out once for all sizes."""
+    both = [F.struct(F.lit(along).alias("along"), F.col(line).alias("line"), F.col(along).alias("at")) for along, line in (("x", "y"), ("y", "x"))]
+    lines = maps.select(*keys, value, F.explode(F.array(*both)).alias("p")).select(*keys, value, "p.*")
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, out = pdf.sort_values("at")[value].to_numpy(float), []
+        for n in sizes:
+            freq, density = welch(x, size=n, overlap=n // 2, nfft=max(nfft, n))
+            out.append(pd.DataFrame({"size": n, "k": np.arange(1, len(freq) + 1), "freq": freq, "density": density}))
+        out = pd.concat(out)
+        for k in [*keys, "along"]:
+            out[k] = pdf[k].iloc[0]
+        return out
+
+    kinds = ", ".join(f"`{k}` {maps.schema[k].dataType.simpleString()}" for k in keys)
+    per_line = lines.groupBy(*keys, "along", "line").applyInPandas(kernel, f"size int, k long, freq double, density double, {kinds}, along string")
+    return per_line.groupBy(*keys, "along", "size", "k").agg(F.avg("freq").alias("freq"), F.avg("density").alias("density"))
+
+
 def row_share(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """value as a share of its row's total; rows that sum to 0 stay as they are."""
     total = df.groupBy(*by).agg(F.sum(value).alias("_total"))

@@ -440,16 +440,34 @@ def coherence(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_spectrum(spark, sf).select("ky", "kx", "coherence"), "coherence", digits=5)
 
 
-@query()
+_KM = "111.32::DOUBLE"
+_RADIAL = (
+    f"{v.SPINE}, f AS (SELECT t, y, x, coalesce(an, 0) a FROM grid_spine), f0 AS (SELECT t, y, x, (a - avg(a) OVER (PARTITION BY t)) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * y / 8)) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * x / 12)) a FROM f), "
+    "c AS (SELECT t, i, j, power(sum(a * cos(2 * pi() * (i * y / 8 + j * x / 12))), 2) + power(sum(a * sin(2 * pi() * (i * y / 8 + j * x / 12))), 2) p FROM f0 CROSS JOIN range(8) a(i) CROSS JOIN range(7) b(j) GROUP BY 1, 2, 3), "
+    f"l AS (SELECT i, j, 1 / sqrt(power((CASE WHEN i < 4 THEN i ELSE i - 8 END) / (16 * {_KM}), 2) + power(j / (36 * {_KM}) / cos(radians(45 - 2 * i)), 2)) len FROM range(8) a(i), range(7) b(j) WHERE i + j > 0), "
+    "e AS (SELECT min(len) lo, max(len) hi FROM l WHERE i = 0), g AS (SELECT i, j, CASE WHEN len < lo OR len >= hi THEN NULL ELSE floor(ln(len / lo) / (ln(hi / lo) / 9)) END bin FROM l, e)"
+)
+
+
+@query(f"WITH {_RADIAL} SELECT CAST(k AS BIGINT) bin, round(lo * (power(hi / lo, k / 9) + power(hi / lo, (k + 1) / 9)) / 2, 6) wavelength_km, round(s / n, 0) power FROM range(9) r(k) CROSS JOIN e LEFT JOIN (SELECT bin, sum(p) s, count(*) n FROM c JOIN g USING (i, j) GROUP BY 1) h ON h.bin = k")
 def radial_spectrum(spark: SparkSession, sf: str) -> DataFrame:
-    """Time-mean radial spectra; tests hold the kernel against closed forms."""
+    """Time-mean radial spectra."""
     g = v.grid_spine(spark, sf).withColumn("lat", 45.0 - 2.0 * F.col("y"))
-    return spectral.radial_spectrum(g, "an", 3.0, 2.0, n_bins=10)
+    return rounded(rounded(spectral.radial_spectrum(g, "an", 3.0, 2.0, n_bins=10), "wavelength_km", digits=6), "power", digits=0)
+
+
+def _welch_sql(lines: str, starts: str, nfft: int, keys: str) -> str:
+    """d: densities of segments. lines: (keys, n: points of a line, pos, a). starts: (n, size, s). Only the last frequency is not doubled."""
+    return (
+        f"lines AS ({lines}), starts AS ({starts}), seg AS (SELECT {keys}, size, s, pos - s i, a - avg(a) OVER (PARTITION BY {keys}, size, s) a, 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (pos - s) / size) w FROM lines JOIN starts USING (n) WHERE pos BETWEEN s AND s + size - 1), "
+        f"d AS (SELECT {keys}, size, s, k, (power(sum(a * w * cos(2 * pi() * k * i / {nfft})), 2) + power(sum(a * w * sin(2 * pi() * k * i / {nfft})), 2)) / sum(w * w) * CASE WHEN k < {nfft // 2} THEN 2 ELSE 1 END d FROM seg CROSS JOIN range(1, {nfft // 2 + 1}) r(k) GROUP BY {keys}, size, s, k)"
+    )
 
 
-@query()
+@query(f"WITH {v.SPINE}, {_welch_sql('SELECT t, y, 12 n, x pos, coalesce(an, 0) a FROM grid_spine', 'SELECT 12 n, 12 size, 0 s', 100, 't, y')} SELECT CAST(k AS BIGINT) k, round(k / 100, 4) freq, round(avg(d), 0) density FROM d GROUP BY 1, 2")
 def psd_welch_1d(spark: SparkSession, sf: str) -> DataFrame:
-    return spectral.welch_rows(v.grid_spine(spark, sf).fillna(0.0), "an", ["t", "y"]).groupBy("k").agg(F.avg("freq").alias("freq"), F.avg("density").alias("density"))
+    rows = spectral.welch_rows(v.grid_spine(spark, sf).fillna(0.0), "an", ["t", "y"])
+    return rounded(rounded(rows.groupBy("k").agg(F.avg("freq").alias("freq"), F.avg("density").alias("density")), "freq"), "density", digits=0)
 
 
 @query(f"WITH {_DFT} SELECT CAST(ky AS INT) ky, CAST(kx AS INT) kx, round(pa / coalesce(nullif(sum(pa) OVER (PARTITION BY ky), 0), 1), 6) power_a FROM m")
@@ -471,14 +489,25 @@ def psd_range(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_spectrum(spark, sf).where("power_a > 0").agg(lo.alias("lo"), hi.alias("hi"), centre.alias("centre")), "lo", "hi", "centre", digits=5)
 
 
-@query()
+_SEASON = "CASE WHEN month(t) IN (12, 1, 2) THEN 'DJF' WHEN month(t) IN (3, 4, 5) THEN 'MAM' WHEN month(t) IN (6, 7, 8) THEN 'JJA' ELSE 'SON' END"
+_CUBE = (
+    f"{v.PAIR}, {v.PAIRS}, maps AS (SELECT {_SEASON} season, model, y, x, avg(b) mean, var_pop(b) variance, sqrt(avg((b - a) * (b - a))) rmse FROM pairs GROUP BY 1, 2, 3, 4), "
+    "cube AS (SELECT season, model, y, x, 'mean' metric, mean a FROM maps UNION ALL SELECT season, model, y, x, 'variance', variance FROM maps UNION ALL SELECT season, model, y, x, 'rmse', rmse FROM maps), "
+    + _welch_sql(
+        "SELECT season, model, metric, 'x' along, y line, 12 n, x pos, a FROM cube UNION ALL SELECT season, model, metric, 'y', x, 8, y, a FROM cube",
+        "SELECT n, size, s FROM (VALUES (8), (12)) a(n), (VALUES (4), (8)) b(size), range(12) r(s) WHERE s % (size // 2) = 0 AND s + size <= n", 16, "season, model, metric, along, line"
+    )
+)
+
+
+@query(f"WITH {_CUBE} SELECT season, model, metric, along, CAST(size AS INT) size, CAST(k AS BIGINT) k, round(k / 16, 4) freq, round(log10(avg(d)), 7) log_density FROM d GROUP BY 1, 2, 3, 4, 5, 6, 7")
 def psd_cube(spark: SparkSession, sf: str) -> DataFrame:
-    """Spectra along both axes of seasonal means and errors, for several window sizes: one plan for all of them."""
-    g = v.grid_pair(spark, sf).withColumn("season", stats.season(F.col("t")))
-    maps = g.groupBy("season", "y", "x").agg(F.avg("fc").alias("mean"), F.var_pop("fc").alias("variance"), F.sqrt(F.avg((F.col("fc") - F.col("an")) * (F.col("fc") - F.col("an")))).alias("rmse"))
-    long = maps.unpivot(["season", "y", "x"], ["mean", "variance", "rmse"], "metric", "value")
-    parts = [spectral.welch_rows(long, "value", ["season", "metric", line], along, size=n, overlap=n // 2, nfft=16).groupBy("season", "metric", "k").agg(F.avg("freq").alias("freq"), F.avg("density").alias("density")).withColumns({"size": F.lit(n), "along": F.lit(along)}) for n in (4, 8) for line, along in (("y", "x"), ("x", "y"))]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    """Spectra along both axes of seasonal means, variances and errors of both models, for several window sizes: one plan for all of them."""
+    error = F.col("b") - F.col("a")
+    maps = pairs(spark, sf).withColumn("season", stats.season(F.col("t"))).groupBy("season", "model", "y", "x").agg(F.avg("b").alias("mean"), F.var_pop("b").alias("variance"), F.sqrt(F.avg(error * error)).alias("rmse"))
+    long = maps.unpivot(["season", "model", "y", "x"], ["mean", "variance", "rmse"], "metric", "value")
+    cube = rounded(spectral.psd_cube(long, "value", ["season", "model", "metric"], [4, 8], nfft=16), "freq")
+    return cube.withColumn("log_density", F.round(F.log10("density"), 7)).drop("density")
 
 
 @query(f"WITH {v.PAIR}, {v.PAIRS} SELECT model, round(avg(abs(a - b)), 4) mae, round(sqrt(avg((a - b) * (a - b))), 4) rmse FROM pairs GROUP BY 1")
@@ -493,12 +522,34 @@ def spacing_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(curvilinear.spacing(v.grid_curv(spark)).drop("cv"), "mean", "std", digits=6)
 
 
-@query()
+def _area(p: str, q: str) -> tuple[str, str, str]:
+    """det, w1 * det and w2 * det of the triangle p, q, d around the target (la, lo)."""
+    return (
+        f"(({q}.lat - d.lat) * ({p}.lon - d.lon) + (d.lon - {q}.lon) * ({p}.lat - d.lat))",
+        f"(({q}.lat - d.lat) * (lo - d.lon) + (d.lon - {q}.lon) * (la - d.lat))",
+        f"((d.lat - {p}.lat) * (lo - d.lon) + ({p}.lon - d.lon) * (la - d.lat))",
+    )
+
+
+_QUADS = "FROM grid_curv a JOIN grid_curv {q} ON {on} JOIN grid_curv d ON d.y = a.y + 1 AND d.x = a.x + 1 CROSS JOIN targets"
+_HALVES = " UNION ALL ".join(
+    f"SELECT ty, tx, a.y, a.x, {k} k, {w1} / {det} w1, {w2} / {det} w2, 1 - {w1} / {det} - {w2} / {det} w3, {q}.y qy, {q}.x qx {_QUADS.format(q=q, on=on)}"
+    for k, q, on in ((0, "b", "b.y = a.y AND b.x = a.x + 1"), (1, "c", "c.y = a.y + 1 AND c.x = a.x"))
+    for det, w1, w2 in (_area("a", q),)
+)
+_REGRID = (
+    f"{v.PAIR}, {v.CURV}, targets AS (SELECT ty, tx, CAST(44 - ty AS DOUBLE) la, CAST(-128 + 2 * tx AS DOUBLE) lo FROM range(12) a(ty), range(15) b(tx)), tri AS ({_HALVES}), "
+    "one AS (SELECT * FROM tri WHERE least(w1, w2, w3) >= -1e-9::DOUBLE QUALIFY row_number() OVER (PARTITION BY ty, tx ORDER BY y, x, k) = 1), "
+    "weights AS (SELECT ty, tx, y, x, w1 w FROM one UNION ALL SELECT ty, tx, qy, qx, w2 FROM one UNION ALL SELECT ty, tx, y + 1, x + 1, w3 FROM one UNION ALL SELECT ty, tx, 0, 0, NULL FROM targets ANTI JOIN one USING (ty, tx))"
+)
+
+
+@query(f"WITH {_REGRID} SELECT t, CAST(ty AS INT) y, CAST(tx AS INT) x, round(CASE WHEN count(an) = count(w) THEN sum(an * w) END, 4) an FROM grid_pair JOIN weights USING (y, x) GROUP BY t, ty, tx")
 def regrid_curvilinear(spark: SparkSession, sf: str) -> DataFrame:
     """All months of the grid as if it were curvilinear; tests hold the weights against affine fields."""
     cells = v.grid_curv(spark)
     weights = curvilinear.triangle_weights(cells, [44.0 - k for k in range(12)], [-128.0 + 2.0 * k for k in range(15)])
-    return curvilinear.apply_weights(v.grid_pair(spark, sf).select("t", "y", "x", "an"), weights, ["t"], ["an"])
+    return rounded(curvilinear.apply_weights(v.grid_pair(spark, sf).select("t", "y", "x", "an"), weights, ["t"], ["an"]), "an")
 
 
 @query(f"WITH {v.SERIES} SELECT variable, max_by(t, value) best, min_by(t, value) worst FROM series GROUP BY 1")

@@ -9,10 +9,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.functions.geo import wrap
 from lattica.functions.timeaxis import spine
-from lattica.operators import align
+from lattica.operators import align, grid
 from lattica.registry import SOURCES
-from lattica.spec import DataSource
+from lattica.spec import DataSource, Leadtime, Selection
 
 KEYS = ["t", "realization", "level", "y", "x"]
 # Names under which archives publish the canonical columns.
@@ -43,9 +44,49 @@ def canonical(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)) for c in floats}) if floats else df
 
 
+#: Hours of a lead time's unit.
+HOURS = {"hour": 1, "hours": 1, "h": 1, "day": 24, "days": 24, "d": 24, "week": 168, "weeks": 168}
+
+
+def lead_hours(lead: Leadtime) -> int:
+    return lead.value * HOURS[lead.unit.lower()]
+
+
+def selected(df: DataFrame, selection: Selection, curvilinear: bool = False) -> DataFrame:
+    """Canonical rows within the selection: its period, region, and its variables' levels and lead times, where the rows have such columns.
+
+    Regions are met in the longitudes -180 to 180, whichever the grid uses, with both ends; on curvilinear grids in half-open boxes,
+    where rows and columns that a box touches stay and other cells are null. A variable with a level is null on the levels of
+    others. A lead time is not asked for where the rows have one lead only. `lead` is in hours.
+    """
+    p, variables = selection.period, [v for v in selection.variables if v.name in df.columns]
+    keep = [c for c in df.columns if c in KEYS or c in ("lat", "lon", "lead") or c in [v.name for v in variables]]
+    df = df.select(*keep)
+    if "t" in keep:
+        df = df.where(F.col("t").between(F.lit(p.start).cast("timestamp_ntz"), F.lit(p.end).cast("timestamp_ntz")))
+    levels = {v.name: float(v.levhpa if v.levhpa is not None else v.levm) for v in variables if v.levhpa is not None or v.levm is not None}
+    if "level" in keep and levels:
+        if len(levels) == len(variables):
+            df = df.where(F.col("level").isin(*sorted(set(levels.values()))))
+        df = df.withColumns({k: F.when(F.col("level") == at, F.col(k)) for k, at in levels.items()}) if len(set(levels.values())) > 1 or len(levels) < len(variables) else df
+    leads = sorted({lead_hours(v.leadtime) for v in variables if v.leadtime is not None})
+    if "lead" in keep and leads:
+        only = df.agg((F.min("lead") == F.max("lead")).alias("only")).scalar()
+        df = df.where(F.col("lead").isin(*leads) | only)
+    if "lat" in keep and "lon" in keep:
+        if curvilinear:
+            df = grid.subset_curvilinear(df.withColumn("lon", wrap(F.col("lon"), 0.0)), selection.region, [v.name for v in variables])
+        else:
+            df = grid.subset(df, selection.region, None)
+    return df
+
+
 class Source:
     """read() is what subclasses give; load() builds the plan once, subset to the selection, without running it."""
 
+    #: Whether lat and lon vary along both axes.
+    curvilinear = False
+
     def __init__(self, spark: SparkSession, source: DataSource):
         self.spark, self.source, self._loaded = spark, source, None
 
@@ -56,13 +97,12 @@ class Source:
         p = self.source.selection.period
         return spine(self.spark, p.start, p.end, p.freq)
 
+    def plan(self) -> DataFrame:
+        return selected(canonical(self.read()), self.source.selection, self.curvilinear)
+
     def load(self, persist: bool = False) -> DataFrame:
         if self._loaded is None:
-            p = self.source.selection.period
-            df = canonical(self.read())
-            names = [v.name for v in self.source.selection.variables]
-            keep = [c for c in df.columns if c in KEYS or c in ("lat", "lon", "lead") or c in names]
-            df = df.select(*keep).where(F.col("t").between(F.lit(p.start).cast("timestamp_ntz"), F.lit(p.end).cast("timestamp_ntz")))
+            df = self.plan()
             self._loaded = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
         return self._loaded
 
@@ -120,11 +160,16 @@ class SumSource(Source):
         super().__init__(parts[0].spark, reduce(lambda a, b: a + b, [p.source for p in parts]))
         self.parts = parts
 
-    def load(self, persist: bool = False) -> DataFrame:
+    def plan(self) -> DataFrame:
         frames = [p.load() for p in self.parts]
         keys = [k for k in [*KEYS, "lat", "lon"] if all(k in f.columns for f in frames)]
         return reduce(lambda a, b: align.merge(a, b, keys), frames)
 
+    def reload(self) -> DataFrame:
+        for p in self.parts:
+            p.reload()
+        return super().reload()
+
 
 def saved_or(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The store at path if there is one, else build it, write it and read it."""

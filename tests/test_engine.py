@@ -13,7 +13,7 @@ from lattica.functions import geo, timeaxis
 from lattica.operators import align, grid, spectral, stats, verify
 from lattica.plans import views
 from lattica.sources import base, files, providers, remote
-from lattica.spec import DataSource, Experiment, Region, Role, Selection, TimeRange, Variable
+from lattica.spec import DataSource, Experiment, Leadtime, Region, Role, Selection, TimeRange, Variable
 
 
 def fields(spark, f, h=4, w=5, times=1):
@@ -273,3 +273,46 @@ def test_experiment(spark, sf):
     assert experiment.combinations({"a": [1, 2], "b": {"c": [3, 4], "d": 5}})[3] == {"a": 2, "b": {"c": 4, "d": 5}}
     with pytest.raises(KeyError):
         experiment.rename(p, {"nothing": "x"})
+
+
+def _globe(spark, convention):
+    """Cells every 10 degrees on two levels, at two leads and three times; v tells the cell."""
+    rows = []
+    for day in (1, 2, 3):
+        for level in (500, 850):
+            for lead in (24, 48):
+                for y, lat in enumerate(range(60, 20, -10)):
+                    for x in range(36):
+                        lon = 10.0 * x if convention == 360 else 10.0 * x - 180
+                        rows.append((datetime(2024, 1, day), level, lead, y, x, float(lat), lon, float(level + lead), float(x)))
+    return spark.createDataFrame(rows, "time timestamp_ntz, isobaricInhPa int, step int, y int, x int, latitude double, longitude double, u double, w double")
+
+
+@pytest.mark.parametrize("convention", [180, 360])
+@pytest.mark.parametrize("lon,want", [((-20, 30), {-20, -10, 0, 10, 20, 30}), ((170, -160), {170, -180, -170, -160}), ((350, 370), {-10, 0, 10}), ((-180, 180), set(range(-180, 180, 10)))])
+def test_load_subsets_to_the_selection(spark, convention, lon, want):
+
+    lead = Leadtime("lead", "days", 2)
+    chosen = Selection((Variable("u", levhpa=850, leadtime=lead),), Region("r", lon, (30, 50)), TimeRange(datetime(2024, 1, 1), datetime(2024, 1, 2)))
+    source = base.FrameSource(spark, DataSource("s", chosen), lambda: _globe(spark, convention))
+    got = source.load().collect()
+    assert {(r["lon"] + 180) % 360 - 180 for r in got} == want and {r["lat"] for r in got} == {30, 40, 50} and "w" not in got[0]
+    assert {r["level"] for r in got} == {850} and {r["lead"] for r in got} == {48} and {r["u"] for r in got} == {898.0}
+    assert len(got) == 2 * 3 * len(want) and {r["t"].day for r in got} == {1, 2}
+
+
+def test_load_with_levels_of_its_own_for_each_variable(spark):
+
+    chosen = Selection((Variable("u", levhpa=850), Variable("w", levhpa=500)), Region("r", (0, 20), (30, 50)), TimeRange(datetime(2024, 1, 1), datetime(2024, 1, 1)))
+    got = base.FrameSource(spark, DataSource("s", chosen), lambda: _globe(spark, 360)).load().collect()
+    assert all((r["u"] is None) == (r["level"] == 500) and (r["w"] is None) == (r["level"] == 850) for r in got) and len(got) == 2 * 2 * 3 * 3
+    # one lead only: it is not asked for
+    lone = Selection((Variable("u", leadtime=Leadtime("lead", "days", 9)),), chosen.region, chosen.period)
+    assert base.FrameSource(spark, DataSource("s", lone), lambda: _globe(spark, 360).where("step = 24")).load().count() == 2 * 3 * 3
+
+
+def test_cut_longitude_and_extremes(spark):
+
+    cells = _globe(spark, 180).select(F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
+    assert tuple(grid.extremes(cells).first()) == (-180, 170, 30, 60)
+    assert tuple(grid.cut_longitude(cells, 165.0, -160.0).first()) == (170, 35) and tuple(grid.cut_longitude(cells, -20.0, 30.0).first()) == (None, None)
