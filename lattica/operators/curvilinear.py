@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators.grid import curvilinear_resolution, resolution
+from lattica.operators.grid import curvilinear_resolution, nearest_cells, regrid, resolution, same_axes
 
 
 def _step(df: DataFrame, c: str, along: str, by: str):
@@ -98,3 +98,26 @@ def apply_weights(df: DataFrame, weights: DataFrame, keys: list[str], values: li
     met = df.join(weights, ["y", "x"])
     sums = [F.when(F.count(v) == F.count("w"), F.sum(F.col(v) * F.col("w"))).alias(v) for v in values]
     return met.groupBy(*keys, "ty", "tx").agg(*sums).withColumnsRenamed({"ty": "y", "tx": "x"})
+
+
+def regrid_any(df: DataFrame, cells: DataFrame, lat_to: list[float], lon_to: list[float], keys: list[str], values: list[str], fill: str = "null") -> DataFrame:
+    """df's fields on the axes lat_to and lon_to: as they are if the grids are the same, bilinear from regular axes, by triangles from
+    curvilinear grids. cells: (y, x, lat, lon) of the source grid.
+
+    Targets outside the source are null; with fill "border", on regular axes, they take the border's line; with "nearest", on axes, what is
+    null takes the nearest cell.
+    """
+    spark = df.sparkSession
+    axes = [spark.createDataFrame(list(enumerate(map(float, to))), f"{i} int, {c} double") for i, c, to in (("y", "lat", lat_to), ("x", "lon", lon_to))]
+    if same_axes(cells, axes[0].crossJoin(axes[1])):  # two axes
+        return df.select(*keys, "y", "x", *values)
+    if not is_rectilinear(cells):
+        return apply_weights(df, triangle_weights(cells, lat_to, lon_to), keys, values).select(*keys, "y", "x", *values)
+    ends = [cells.agg((F.max(i) + 1).alias("n"), F.min_by(c, i).alias("first"), F.max_by(c, i).alias("last")).first() for i, c in (("y", "lat"), ("x", "lon"))]
+    lat, lon = ((e["n"], e["first"], (e["last"] - e["first"]) / max(e["n"] - 1, 1) or 1.0) for e in ends)
+    out = regrid(df, lat, lon, lat_to, lon_to, keys, values, "border" if fill == "border" else "null")
+    if fill != "nearest":
+        return out
+    near = apply_weights(df, nearest_cells(cells, lat_to, lon_to), keys, values).withColumnsRenamed({v: f"_near_{v}" for v in values})
+    both = near.join(out, [*keys, "y", "x"], "left")
+    return both.select(*keys, "y", "x", *[F.coalesce(v, f"_near_{v}").alias(v) for v in values])

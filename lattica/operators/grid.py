@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.geo import in_region, lon_between, within
+from lattica.functions.geo import in_region, lon_between, nearest, within, wrap
+from lattica.operators.fields import on_fields
 from lattica.spec import Region
 
 
@@ -99,27 +101,60 @@ def fill_gaps(df: DataFrame, value: str, along: str, by: list[str]) -> DataFrame
 
 
 def smooth(df: DataFrame, value: str, sigma: float, sizes: dict[str, int], keys: list[str]) -> DataFrame:
-    """Gaussian with standard deviation sigma (in cells), cut at 4 sigma, edges mirrored; one pass per axis.
+    """Gaussian with standard deviation sigma (in cells), cut at 4 sigma, edges mirrored. sizes: the two axes and their lengths.
 
-    Each cell is spread over its neighbours by a literal kernel and the contributions are summed: no self-join.
+    A pass along an axis is a product with a small matrix, on batches of whole fields. Missing cells and nulls count as 0.
     """
     radius = int(4 * sigma + 0.5)
-    kernel = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    total = sum(kernel)
-    out = df.select(*keys, *sizes, value)
-    for axis, n in sizes.items():
-        # the target j draws on mirror(j + k); so the source i gives to every j with mirror(j + k) = i
-        weights: dict[tuple[int, int], float] = {}
+    kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    kernel /= kernel.sum()
+
+    def matrix(n: int) -> np.ndarray:
+        out = np.zeros((n, n))  # target j draws on mirror(j + k)
         for j in range(n):
-            for k, w in zip(range(-radius, radius + 1), kernel, strict=True):
-                at = (j + k) % (2 * n)
-                i = at if at < n else 2 * n - 1 - at
-                weights[i, j] = weights.get((i, j), 0.0) + w / total
-        table = df.sparkSession.createDataFrame([(i, j, w) for (i, j), w in weights.items()], f"`{axis}` int, _to int, _w double")
-        spread = out.join(table, axis)
-        rest = [c for c in [*keys, *sizes] if c != axis]
-        out = spread.groupBy(*rest, "_to").agg(F.sum(F.col(value) * F.col("_w")).alias(value)).withColumnRenamed("_to", axis)
-    return out.select(*keys, *sizes, value)
+            at = np.arange(j - radius, j + radius + 1) % (2 * n)
+            np.add.at(out[j], np.where(at < n, at, 2 * n - 1 - at), kernel)
+        return out
+
+    along_y, along_x = (matrix(n) for n in sizes.values())
+    return on_fields(df, sizes, keys, [value], lambda field: [along_y @ field @ along_x.T], sizes, [value])
+
+
+def smoothed(df: DataFrame, value: str, radius_km: float, sizes: dict[str, int], keys: list[str], cell_degrees: float = 0.1) -> DataFrame:
+    """df's field smoothed over radius_km, under the name that tells radius and deviation (smoothed_name)."""
+    name, sigma = smoothed_name(value, radius_km, cell_degrees)
+    return smooth(df, value, sigma, sizes, keys).withColumnRenamed(value, name)
+
+
+def write_smoothed(df: DataFrame, path: str, value: str, radii_km: list[float], sizes: dict[str, int], keys: list[str], cell_degrees: float = 0.1) -> DataFrame:
+    """A data set with the field and its smoothings by every radius, side by side, written by year of `t` and read back."""
+    out = df
+    for r in radii_km:
+        out = out.join(smoothed(df, value, r, sizes, keys, cell_degrees), [*keys, *sizes], "left")
+    out.withColumn("year", F.year("t")).write.mode("overwrite").option("compression", "zstd").partitionBy("year").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def same_axes(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> bool:
+    """Whether two grids have the same cells: equal indices, coordinates within tolerance."""
+    cells = [g.select("y", "x", "lat", "lon").distinct() for g in (a, b)]
+    met = cells[0].join(cells[1].withColumnsRenamed({"lat": "lat2", "lon": "lon2"}), ["y", "x"], "full")
+    apart = F.greatest(F.abs(F.col("lat") - F.col("lat2")), F.abs(wrap(F.col("lon") - F.col("lon2"), 0.0)))
+    return met.where(F.coalesce(apart, F.lit(float("inf"))) > tolerance).isEmpty()
+
+
+def nearest_cells(cells: DataFrame, lat_to: list[float], lon_to: list[float]) -> DataFrame:
+    """(ty, tx, y, x, w = 1): of a rectilinear grid, the source cell nearest to each target; ties go to the first. Axis by axis, so
+    no target meets all cells."""
+    spark = cells.sparkSession
+
+    def axis(c: str, index: str, to: list[float], name: str) -> DataFrame:
+        lines = cells.groupBy(index).agg(F.first(c).alias(c))
+        targets = spark.createDataFrame(list(enumerate(map(float, to))), f"{name} int, at double")
+        away = F.abs(wrap(F.col(c) - F.col("at"), 0.0)) if c == "lon" else F.abs(F.col(c) - F.col("at"))
+        return nearest(targets.crossJoin(lines), away, [name], [index], [])  # two axes, not cells
+
+    return axis("lat", "y", lat_to, "ty").crossJoin(axis("lon", "x", lon_to, "tx")).select("ty", "tx", "y", "x", F.lit(1.0).alias("w"))
 
 
 def smoothed_name(value: str, radius_km: float, cell_degrees: float = 0.1) -> tuple[str, float]:
@@ -150,5 +185,3 @@ def point_or_range(df: DataFrame, **bounds) -> DataFrame:
         df = df.where(within(F.col(c), b))
     return df
 
-
-__all__ = ["axis_weights", "crop_centre", "curvilinear_resolution", "fill_gaps", "lon_between", "match_size", "point_or_range", "regrid", "resolution", "smooth", "smoothed_name", "subset", "subset_curvilinear"]

@@ -2,42 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.fields import on_fields
+
 KM_PER_DEGREE = 111.32
 
 
 def rfft2(df: DataFrame, height: int, width: int, keys: list[str], values: list[str]) -> DataFrame:
-    """Real 2-D transform of fields: (keys, ky, kx, re_<v>, im_<v>). A field's cells meet in one row (cells, not times, bound it) and
-    whole batches of fields are transformed at once. Missing cells and nulls count as 0; cells outside the grid are left out."""
-    packed = df.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).groupBy(*keys).agg(F.collect_list(F.struct((F.col("y") * width + F.col("x")).cast("int").alias("at"), *[F.col(v).cast("double").alias(f"v{k}") for k, v in enumerate(values)])).alias("cells"))
-    wide = width // 2 + 1
-    names = [*keys, "ky", "kx", *[f"{part}_{v}" for v in values for part in ("re", "im")]]
-
-    def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            per = max(1, 500_000 // (height * width))  # fields at once
-            for part in (batch.slice(k, per) for k in range(0, len(batch), per)):
-                cells = part.column(len(keys))
-                row = np.repeat(np.arange(len(part)), cells.value_lengths().to_numpy())
-                flat = cells.flatten()
-                out = [part.column(k).take(pa.array(np.repeat(np.arange(len(part)), height * wide))) for k in range(len(keys))]
-                out += [pa.array(np.tile(x, len(part)).astype(np.int32)) for x in (np.repeat(np.arange(height), wide), np.tile(np.arange(wide), height))]
-                for k in range(len(values)):
-                    field = np.zeros((len(part), height * width))
-                    field[row, flat.field(0).to_numpy()] = np.nan_to_num(flat.field(k + 1).to_numpy(zero_copy_only=False))
-                    c = np.fft.rfft2(field.reshape(-1, height, width)).ravel()
-                    out += [pa.array(c.real.copy()), pa.array(c.imag.copy())]
-                yield pa.RecordBatch.from_arrays(out, names=names)
+    """Real 2-D transform of fields: (keys, ky, kx, re_<v>, im_<v>). Missing cells and nulls count as 0."""
 
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return packed.mapInArrow(transform, kinds + ", ky int, kx int, " + ", ".join(f"`{n}` double" for n in names[len(keys) + 2 :]))
+    def kernel(field: np.ndarray) -> list[np.ndarray]:
+        c = np.fft.rfft2(field)
+        return [c.real, c.imag]
+
+    names = [f"{part}_{v}" for v in values for part in ("re", "im")]
+    return on_fields(df, {"y": height, "x": width}, keys, values, kernel, {"ky": height, "kx": width // 2 + 1}, names)
 
 
 def power(coefficients: DataFrame, a: str, b: str, eps: float = 1e-6) -> DataFrame:

@@ -23,6 +23,26 @@ def denormalise(long: DataFrame, stats: DataFrame, by: str = "variable", value:
     return long.join(stats, by).withColumn(value, F.col(value) * F.col("std") + F.col("mean")).drop("mean", "std")
 
 
+def save_stats(stats: DataFrame, path: str) -> DataFrame:
+    """Channel statistics written once (a row per channel) and read back, for runs that normalise by them later."""
+    stats.coalesce(1).write.mode("overwrite").parquet(path)
+    return stats.sparkSession.read.parquet(path)
+
+
+def unflatten(samples: DataFrame, keys: list[str], channels: list[str], height: int, width: int, value: str = "value") -> DataFrame:
+    """Rows (keys, value: array of channels x height x width, channel by channel and line by line) -> (keys, y, x, a column per channel)."""
+    cells = samples.select(*keys, F.posexplode(value).alias("at", "v"))
+    place = cells.select(*keys, (F.col("at") / (height * width)).cast("int").alias("c"), (F.col("at") % (height * width) / width).cast("int").alias("y"), (F.col("at") % width).cast("int").alias("x"), "v")
+    return place.groupBy(*keys, "y", "x").agg(*[F.max(F.when(F.col("c") == k, F.col("v"))).alias(n) for k, n in enumerate(channels)])
+
+
+def save_predictions(cells: DataFrame, keys: DataFrame, path: str) -> DataFrame:
+    """Predicted cells with the times, leads and members of the samples (`sample`) that they are of, written by year and read back."""
+    out = cells.join(keys, "sample").drop("sample")
+    out.withColumn("year", F.year("t")).write.mode("overwrite").option("compression", "zstd").partitionBy("year").parquet(path)
+    return cells.sparkSession.read.parquet(path)
+
+
 def profile(long: DataFrame, by: str = "variable", value: str = "value") -> DataFrame:
     v = F.col(value)
     return long.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))

@@ -1,4 +1,4 @@
-"""Reader options for known archives, by name."""
+"""Reader options for known archives, by name. root_path: where a site keeps the archive's files."""
 
 from __future__ import annotations
 
@@ -25,12 +25,12 @@ def _hourly_files(header: str, directory: str, lead: dict) -> dict:
 
 
 @PROVIDERS.register("atmo.juno.ecmwf.forecast.hourly")
-def forecast_hourly(leadtime_value: int, leadtime_unit: str, root_path: str = "/data/inputs/METOCEAN/rolling/model/atmos/ECMWF/IFS_010/1.0forecast/1h/grib/", overrides: dict | None = None, **more) -> ProviderSpec:
+def forecast_hourly(leadtime_value: int, leadtime_unit: str, root_path: str, overrides: dict | None = None, **more) -> ProviderSpec:
     return _spec("files", {"root_path": root_path, **_hourly_files("JLS", "yyyyMMdd", {leadtime_unit: leadtime_value})}, overrides, more)
 
 
 @PROVIDERS.register("atmo.juno.ecmwf.analysis.6hourly")
-def analysis_6hourly(root_path: str = "/data/inputs/METOCEAN/historical/model/atmos/ECMWF/IFS_010/analysis/6h/grib/", overrides: dict | None = None, **more) -> ProviderSpec:
+def analysis_6hourly(root_path: str, overrides: dict | None = None, **more) -> ProviderSpec:
     return _spec("files", {"root_path": root_path, **_hourly_files("JLD", "yyyy/MM", {"hours": 0})}, overrides, more)
 
 
@@ -40,7 +40,7 @@ def era5(product_type: str = "reanalysis", overrides: dict | None = None, **more
 
 
 @PROVIDERS.register("ocean.juno.cmcc.hindcast.monthly")
-def ocean_hindcast(var_name: str, leadtime_value: int, leadtime_unit: str, realizations: str | int = "all", root_path: str = "/work/cmcc/cp1/CMCC-CM/archive/C3S/", overrides: dict | None = None, **more) -> ProviderSpec:
+def ocean_hindcast(var_name: str, leadtime_value: int, leadtime_unit: str, root_path: str, realizations: str | int = "all", overrides: dict | None = None, **more) -> ProviderSpec:
     members = str(realizations) if isinstance(realizations, int) else "*"
     base = {"root_path": root_path, "engine": "h5netcdf", "file_path_date_format": "yyyyMM", "file_header": "cmcc_CMCC-CM3-v20231101_hindcast_S", "file_suffix": f"*ocean_mon_ocean2d_{var_name}_r{members}i00p00.nc", "file_date_format": "yyyyMMdd", "both_dates": False}
     return _spec("files", {**base, "realizations": realizations, "lead_time": {leadtime_unit: leadtime_value}, "regrid_resolution": 0.25, "concat_dim": "time"}, overrides, more)

@@ -210,7 +210,7 @@ def test_remote_source(spark):
 
 
 def test_providers():
-    spec = providers.build("ocean.juno.cmcc.hindcast.monthly", var_name="sos", leadtime_value=1, leadtime_unit="months", realizations=3, engine="x")
+    spec = providers.build("ocean.juno.cmcc.hindcast.monthly", var_name="sos", leadtime_value=1, leadtime_unit="months", root_path="/archive/", realizations=3, engine="x")
     assert spec.params["file_suffix"].endswith("_r3i00p00.nc") and spec.params["engine"] == "x"
     with pytest.raises(KeyError):
         providers.build("nowhere")
@@ -316,3 +316,53 @@ def test_cut_longitude_and_extremes(spark):
     cells = _globe(spark, 180).select(F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
     assert tuple(grid.extremes(cells).first()) == (-180, 170, 30, 60)
     assert tuple(grid.cut_longitude(cells, 165.0, -160.0).first()) == (170, 35) and tuple(grid.cut_longitude(cells, -20.0, 30.0).first()) == (None, None)
+
+
+def test_regrid_any(spark):
+    from lattica.operators import curvilinear
+
+    cells = spark.createDataFrame([(y, x, 40.0 - 2 * y, 10.0 + 3 * x) for y in range(4) for x in range(5)], "y int, x int, lat double, lon double")
+    df = cells.select(F.lit(1).alias("t"), "y", "x", (F.col("lat") + 10 * F.col("lon")).alias("v"))
+    same = curvilinear.regrid_any(df, cells, [40, 38, 36, 34], [10, 13, 16, 19, 22], ["t"], ["v"])
+    assert sorted(same.collect()) == sorted(df.collect())
+    lat, lon = [41.0, 39.0, 33.0], [10.0, 11.5, 25.0]
+    got = {(r["y"], r["x"]): r["v"] for r in curvilinear.regrid_any(df, cells, lat, lon, ["t"], ["v"], fill="nearest").collect()}
+    want = {(y, x): (39.0 + 10 * lon[x] if y == 1 and x < 2 else min(max(lat[y], 34), 40) + 10 * min(lon[x], 22)) for y in range(3) for x in range(3)}
+    # outside, and off the lines: the nearest cell; ties go to the first
+    want |= {(0, 1): 40 + 100, (2, 1): 34 + 100, (1, 2): 40 + 220}
+    assert got == pytest.approx(want)
+    sheared = cells.withColumn("lat", F.col("lat") + 0.1 * F.col("x"))
+    bent = sheared.select(F.lit(1).alias("t"), "y", "x", (F.col("lat") + 10 * F.col("lon")).alias("v"))
+    got = {(r["y"], r["x"]): r["v"] for r in curvilinear.regrid_any(bent, sheared, [39.0, 90.0], [11.0, 12.0], ["t"], ["v"]).collect()}
+    assert got[0, 0] == pytest.approx(149.0) and got[0, 1] == pytest.approx(159.0) and got[1, 0] is None and len(got) == 4
+
+
+def test_smoothing_is_a_mirrored_gaussian(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    field = rng.normal(size=(5, 7))
+    df = fields(spark, lambda y, x, t: field[y, x] + t, 5, 7, 2)
+    k = np.exp(-0.5 * (np.arange(-6, 7) / 1.5) ** 2)
+    k /= k.sum()
+
+    def line(v):
+        n = len(v)
+        mirror = np.concatenate([v, v[::-1]])
+        return np.array([sum(k[i + 6] * mirror[(j + i) % (2 * n)] for i in range(-6, 7)) for j in range(n)])
+
+    want = np.apply_along_axis(line, 1, np.apply_along_axis(line, 0, field))
+    assert np.allclose(as_array(grid.smooth(df, "v", 1.5, {"y": 5, "x": 7}, ["t"]).where("t = 0"), 5, 7), want)
+    dated = df.withColumn("t", F.expr("timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, t)"))
+    name, sigma = grid.smoothed_name("v", 100.0)
+    back = grid.write_smoothed(dated, str(tmp_path / "smoothed"), "v", [100.0], {"y": 5, "x": 7}, ["t"])
+    assert {"v", name} <= set(back.columns) and back.count() == 70
+
+
+def test_statistics_and_predictions_come_back(spark, tmp_path):
+    made = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 4.0)], "variable string, mean double, std double")
+    assert sorted(stats.save_stats(made, str(tmp_path / "stats")).collect()) == sorted(made.collect())
+    samples = spark.createDataFrame([(7, [float(k) for k in range(2 * 2 * 3)])], "sample int, value array<double>")
+    cells = stats.unflatten(samples, ["sample"], ["u", "w"], 2, 3)
+    assert {(r["y"], r["x"]): (r["u"], r["w"]) for r in cells.collect()} == {(y, x): (3.0 * y + x, 6 + 3.0 * y + x) for y in range(2) for x in range(3)}
+    keys = spark.createDataFrame([(7, datetime(2021, 5, 1), 24)], "sample int, t timestamp_ntz, lead int")
+    back = stats.save_predictions(cells, keys, str(tmp_path / "out"))
+    assert back.count() == 6 and back.first()["lead"] == 24 and back.first()["year"] == 2021
