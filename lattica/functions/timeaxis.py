@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _STEP = {"h": "hours", "min": "minutes", "s": "seconds", "D": "days"}
@@ -82,3 +82,14 @@ def ensemble_size(n_times: int, n_leadtimes: int, n_months: int) -> int:
     if rest or size < 1:
         raise ValueError("the ensemble size is not a whole number")
     return size
+
+
+def floor_day(t: Column) -> Column:
+    """Midnight of the day."""
+    return F.date_trunc("day", t).cast("timestamp_ntz")
+
+
+def span(value: int | float, unit: str) -> Column:
+    """A number of minutes, hours, days or weeks as an interval."""
+    minutes = {"minute": 1, "hour": 60, "day": 1440, "week": 10080}[unit.lower().removesuffix("s")]
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(int(value * minutes)))

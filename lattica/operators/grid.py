@@ -33,12 +33,15 @@ def extremes(df: DataFrame) -> DataFrame:
     return df.agg(*[f(c).alias(f"{c}_{n}") for c in ("lon", "lat") for n, f in (("min", F.min), ("max", F.max))])
 
 
-def cut_longitude(df: DataFrame, west: float, east: float) -> DataFrame:
-    """One row: where to cut the circle for a region from west to east, so that the region is in one piece: the first grid longitude at or
-    past west, and its index among the grid's; null where the region crosses no cut."""
-    axis = df.select("lon").distinct().withColumn("x", F.row_number().over(Window.orderBy("lon")) - 1)  # an axis, not cells
-    crossing = F.lit(west > east)
-    return axis.where(crossing & (F.col("lon") >= west)).agg(F.min("lon").alias("lon"), F.min("x").alias("x"))
+def cut_longitude(df: DataFrame, west: float) -> DataFrame:
+    """One row (lon, x): where to cut the circle so that a region that begins at west is in one piece: the grid longitude before the one
+    nearest to west, and its index among them; before the first comes the last."""
+    axis = df.select("lon").distinct()  # an axis, not cells
+    line = Window.orderBy("lon")
+    marked = axis.withColumns({"x": F.row_number().over(line) - 1, "_before": F.lag("lon").over(line)})
+    last = axis.agg(F.max("lon").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    at = marked.agg(F.min(F.struct(F.abs(wrap(F.col("lon") - west, 0.0)).alias("away"), "x", "_before")).alias("at"))
+    return at.crossJoin(last).select(F.coalesce("at._before", "_last").alias("lon"), F.when(F.col("at.x") == 0, F.col("_n") - 1).otherwise(F.col("at.x") - 1).cast("int").alias("x"))  # two single rows
 
 
 def resolution(df: DataFrame) -> DataFrame:
@@ -51,6 +54,13 @@ def resolution(df: DataFrame) -> DataFrame:
     return out
 
 
+def grid_info(df: DataFrame) -> DataFrame:
+    """One row (dy, dx): signed mean steps of lat along y and of lon along x, for spectra. The lines of an axis are few, whatever the cells."""
+    ends = df.agg(*[f(F.struct(i, c)).alias(f"{n}_{c}") for i, c in (("y", "lat"), ("x", "lon")) for n, f in (("first", F.min), ("last", F.max))])
+    step = [F.try_divide(F.col(f"last_{c}.{c}") - F.col(f"first_{c}.{c}"), F.col(f"last_{c}.{i}") - F.col(f"first_{c}.{i}")) for i, c in (("y", "lat"), ("x", "lon"))]
+    return ends.select(step[0].alias("dy"), step[1].alias("dx"))
+
+
 def curvilinear_resolution(df: DataFrame) -> DataFrame:
     """Median neighbour distance along y of lat, and along x of lon (unwrapped)."""
     dlat = F.abs(F.col("lat") - F.lag("lat").over(Window.partitionBy("x").orderBy("y")))

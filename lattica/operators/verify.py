@@ -86,3 +86,9 @@ def weighted_loss(pairs: DataFrame, by: list[str], lam: float = 0.1, scale: floa
     first = F.avg((p - y) * (p - y) / (F.col("_var") + eps))
     second = F.avg(F.exp(-F.abs(y - x) / scale) * (p - x) * (p - x))
     return both.groupBy(*by).agg((first + lam * second).alias("loss"))
+
+
+def spatial_correlation(models: DataFrame, field: list[str], by: list[str]) -> DataFrame:
+    """(by, correlation): the mean over fields of the correlation of a and b across a field's cells. Fields without variance don't count."""
+    each = models.groupBy(*by, *field).agg(F.corr("a", "b").alias("_r"))
+    return each.groupBy(*by).agg(F.avg(F.when(~F.isnan("_r"), F.col("_r"))).alias("correlation"))

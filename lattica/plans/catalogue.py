@@ -552,6 +552,16 @@ def regrid_curvilinear(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(curvilinear.apply_weights(v.grid_pair(spark, sf).select("t", "y", "x", "an"), weights, ["t"], ["an"]), "an")
 
 
+@query(f"WITH {v.PAIR}, {v.PAIRS}, r AS (SELECT model, t, corr(a, b) r FROM pairs GROUP BY 1, 2) SELECT model, round(avg(r) FILTER (WHERE NOT isnan(r)), 6) correlation FROM r GROUP BY 1")
+def spatial_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(verify.spatial_correlation(pairs(spark, sf), ["t"], ["model"]), "correlation", digits=6)
+
+
+@query(f"WITH {v.PAIR} SELECT round((max_by(lat, y) - min_by(lat, y)) / (max(y) - min(y)), 6) dy, round((max_by(lon, x) - min_by(lon, x)) / (max(x) - min(x)), 6) dx FROM grid_pair")
+def grid_info(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(grid.grid_info(v.grid_pair(spark, sf)), "dy", "dx", digits=6)
+
+
 @query(f"WITH {v.SERIES} SELECT variable, max_by(t, value) best, min_by(t, value) worst FROM series GROUP BY 1")
 def extreme_times(spark: SparkSession, sf: str) -> DataFrame:
     return v.series(spark, sf).groupBy("variable").agg(F.max_by("t", "value").alias("best"), F.min_by("t", "value").alias("worst"))

@@ -5,14 +5,16 @@ from __future__ import annotations
 import itertools
 import json
 import tomllib
+from collections.abc import Callable
 from functools import reduce
+from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators import align, stats, verify
-from lattica.registry import LOSSES
-from lattica.spec import Experiment
+from lattica.registry import EXPERIMENTS, LAUNCHERS, LOSSES
+from lattica.spec import Experiment, Role
 
 
 def combinations(config: dict) -> list[dict]:
@@ -51,6 +53,23 @@ def pair(inputs: DataFrame, target: DataFrame, input_name: str, target_name: str
     return inputs.withColumnRenamed(input_name, "b").join(target.select(*keys, F.col(target_name).alias("a")), keys)
 
 
+class Scenario(Protocol):
+    """What a launcher asks of a domain: its variables, and the roles of training and test for a configuration."""
+
+    variables: tuple[str, ...]
+
+    def train(self, config: dict) -> tuple[Role, ...]: ...
+
+    def test(self, config: dict) -> tuple[Role, ...]: ...
+
+
+def transformed(df: DataFrame, make: Callable[[Column, Column], tuple[Column, Column]], x: str = "b", y: str = "a") -> DataFrame:
+    """Inputs and targets through a transform of both, as column expressions, before a correction is fitted."""
+    new_x, new_y = make(F.col(x), F.col(y))
+    return df.withColumns({x: new_x, y: new_y})
+
+
+@EXPERIMENTS.register("forecast-correction")
 def run(train: DataFrame, test: DataFrame, by: list[str], names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Corrected test rows (column p), and metrics of the raw (model "raw") and corrected ("corrected") forecasts per cell."""
     out = stats.apply_linear(test, stats.fit_linear(train, by), by)
@@ -72,3 +91,9 @@ def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
 def combine_variables(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     """One row per cell with the variables of all parts."""
     return reduce(lambda a, b: a.join(b, keys, "full_outer"), parts)
+
+
+@LAUNCHERS.register("grid-search")
+def launch(config: dict, data: Callable[[dict], tuple[DataFrame, DataFrame]], experiment: str = "forecast-correction", by: tuple[str, ...] = ("y", "x")) -> list[tuple[dict, DataFrame]]:
+    """Every choice of a configuration with the metrics of its experiment. data: a choice -> (train, test). Nothing runs until metrics are read."""
+    return [(choice, EXPERIMENTS[experiment](*data(choice), list(by))[1]) for choice in combinations(config)]

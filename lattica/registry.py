@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib.metadata import entry_points
 
 
 class Registry:
@@ -28,3 +29,13 @@ class Registry:
 
 
 SOURCES, PROVIDERS, LOSSES = Registry("source"), Registry("provider"), Registry("loss")
+#: An experiment is a function (train, test, by) -> (rows with a corrected column p, metrics); a launcher one that runs a configuration.
+EXPERIMENTS, LAUNCHERS = Registry("experiment"), Registry("launcher")
+
+
+def load_plugins(group: str = "lattica.launchers") -> list[str]:
+    """Import what installed packages offer under an entry-point group; they register themselves. Returns their names."""
+    found = sorted(entry_points(group=group), key=lambda e: e.name)
+    for e in found:
+        e.load()
+    return [e.name for e in found]

@@ -315,7 +315,8 @@ def test_cut_longitude_and_extremes(spark):
 
     cells = _globe(spark, 180).select(F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
     assert tuple(grid.extremes(cells).first()) == (-180, 170, 30, 60)
-    assert tuple(grid.cut_longitude(cells, 165.0, -160.0).first()) == (170, 35) and tuple(grid.cut_longitude(cells, -20.0, 30.0).first()) == (None, None)
+    # the longitude before the nearest to the west bound; before the first comes the last
+    assert [tuple(grid.cut_longitude(cells, w).first()) for w in (163.0, -21.0, -180.0)] == [(150, 33), (-30, 15), (170, 35)]
 
 
 def test_regrid_any(spark):
@@ -366,3 +367,26 @@ def test_statistics_and_predictions_come_back(spark, tmp_path):
     keys = spark.createDataFrame([(7, datetime(2021, 5, 1), 24)], "sample int, t timestamp_ntz, lead int")
     back = stats.save_predictions(cells, keys, str(tmp_path / "out"))
     assert back.count() == 6 and back.first()["lead"] == 24 and back.first()["year"] == 2021
+
+
+def test_launchers_and_experiments(spark, sf):
+    from lattica.plans import experiment
+    from lattica.registry import EXPERIMENTS, LAUNCHERS, load_plugins
+
+    assert "forecast-correction" in EXPERIMENTS.names() and load_plugins("lattica.none") == []
+    p = views.grid_pair(spark, sf).select("t", "y", "x", F.col("fc").alias("b"), F.col("an").alias("a"))
+    cut = F.expr("timestamp_ntz'1997-01-01 00:00:00'")
+
+    def data(choice):
+        scaled = experiment.transformed(p, lambda x, y: (x * choice["scale"], y * choice["scale"]))
+        return scaled.where(F.col("t") < cut), scaled.where(F.col("t") >= cut)
+
+    runs = LAUNCHERS["grid-search"]({"scale": [1, 2]}, data)
+    assert [c for c, _ in runs] == [{"scale": 1}, {"scale": 2}]
+    means = [m.where("model = 'raw'").agg(F.avg("rmse")).first()[0] for _, m in runs]
+    assert means[1] == pytest.approx(2 * means[0])
+
+
+def test_times(spark):
+    row = spark.range(1).select(timeaxis.floor_day(F.expr("timestamp_ntz'2020-03-04 05:06:07'")).alias("d"), (F.expr("timestamp_ntz'2020-03-04'") + timeaxis.span(36, "hours")).alias("h")).first()
+    assert row["d"] == datetime(2020, 3, 4) and row["h"] == datetime(2020, 3, 5, 12)
