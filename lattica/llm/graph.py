@@ -9,7 +9,7 @@ from lattica.llm.common import drop_staged, stage
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """edges (a, b; longs, either direction, repeats and loops allowed) -> (id, component): the smallest id reachable.
+    """edges (a, b; longs, either direction, repeats and loops allowed; rows with a null end count for nothing) -> (id, component): the smallest id reachable.
 
     Alternates large-star and small-star steps until nothing changes, each a grouped minimum and an equi-join whose
     result is staged; ends after about log(n) rounds. Ids that occur in no edge other than a loop are not returned. A hub is
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         drop_staged(mid)
         drop_staged(links)
         links = new
-        now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+        # links are distinct: equal counts and sums of two 64-bit hashes are equal links
+        now = tuple(links.agg(F.count(F.lit(1)), *[F.sum(F.xxhash64(F.lit(seed), "u", "v").cast("decimal(20,0)")) for seed in (1, 2)]).first())
         if now == before:
             break
         before = now
