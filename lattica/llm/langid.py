@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import unit_hash
+from lattica.llm.common import stage, unit_hash
 
 #: Labelled documents to learn from, per language, about (the draw is by hash): the one bound on a sample here.
 LEARN_PER_LANGUAGE = 3_000
@@ -29,16 +29,14 @@ UNKNOWN = "und"
 
 @lru_cache(1)
 def _letter_table() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x20000)])
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts in lower case with 0 for what is no letter, and where each text begins in them."""
     each = [f"\n\n\n\n{t.lower()}\n" for t in texts]  # no n-gram reaches into another text
     codes = np.frombuffer("".join(each).encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = _letter_table()
-    letter = table[np.minimum(codes, len(table) - 1)] | (codes >= len(table))
-    return np.where(letter, codes, 0), np.cumsum([0, *map(len, each)])
+    return np.where(_letter_table()[codes], codes, 0), np.cumsum([0, *map(len, each)])
 
 
 def _grams(codes: np.ndarray, order: int) -> np.ndarray:
@@ -60,14 +58,12 @@ def _places(codes: np.ndarray) -> np.ndarray:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = LEARN_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages in code-point order, and log-likelihoods (len(ORDERS) * BINS, languages). Rows without text or language are left out."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = F.least(F.lit(1.0), per_language / F.col("n"))
-    shares = {r["lang"]: r["share"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).select("lang", share.alias("share")).collect()}
-    if not shares:
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), unit_hash(F.col(id_col), seed=7).alias("draw"))
+    sizes = stage(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), files=1)  # a row per language
+    langs = sorted(r["lang"] for r in sizes.select("lang").collect())
+    if not langs:
         return [], np.zeros((len(ORDERS) * BINS, 0), np.float32)
-    drawn = F.lit(False)
-    for lang, part in shares.items():
-        drawn = drawn | ((F.col(lang_col) == lang) & (unit_hash(F.col(id_col), seed=7) < part))
+    drawn = labelled.join(sizes, "lang").where(F.col("draw") < per_language / F.col("n"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -84,9 +80,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             hit = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit)), pa.array(hit), pa.array(n[hit])], names=["lang", "bin", "n"])
 
-    counted = labelled.where(drawn).select(F.col(lang_col), F.col(text_col)).mapInArrow(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    counted = drawn.select("lang", "text").mapInArrow(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     table = counted.toArrow()
-    langs = sorted(shares)
     counts = np.zeros((len(ORDERS) * BINS, len(langs)))
     counts[table["bin"].to_numpy(), np.searchsorted(langs, table["lang"].to_pylist())] = table["n"].to_numpy()
     by_order = counts.reshape(len(ORDERS), BINS, len(langs)) + 0.5
@@ -149,10 +144,11 @@ def mixtures(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if n_langs > 1:
         full, _ = em(np.full((len(docs), n_langs), 1 / n_langs))
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
+        going = np.ones(len(docs), bool)  # a text stops at the first language that doesn't pay, whatever other texts do
         for k in range(2, n_langs + 1):
             tried, fit = em(np.where(rank < k, np.maximum(full, 1e-6), 0) / np.where(rank < k, np.maximum(full, 1e-6), 0).sum(axis=1, keepdims=True))
             fit -= (k - 1) * (2 + np.log(n))  # a further language has to pay for its proportion
-            better = fit > value
+            going = better = going & (fit > value)
             if not better.any():
                 break
             theta, value = np.where(better[:, None], tried, theta), np.where(better, fit, value)
