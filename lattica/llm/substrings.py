@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from lattica.llm.common import drop_staged, release, stage
 from lattica.llm.shingles import mix, utf8
@@ -185,8 +185,9 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
 
     long = texts.where(F.octet_length("text") >= length)
     found = stage(long.select("class", "text").mapInArrow(find, "class long, place int, key long").dropDuplicates())
-    sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = stage(found.join(sizes, "key"))
+    # keys are written before they are joined with, so that a passage that many texts share is a skewed side, which Spark splits
+    again = stage(found.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"))
+    shared = stage(found.join(again, "key", "left_semi"))
     drop_staged(found)
     release(docs.sparkSession)
 
@@ -215,10 +216,10 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     drop_staged(shared)
     release(docs.sparkSession)
     marks = around.select("key", "digest", "class", "place")
-    counts = marks.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("count"))
+    counts = stage(marks.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("count")))
+    sizes = stage(counts.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("count").alias("places")).where("places > 1").drop("places"))
     members = around.where("before is not null").select("key", "digest", "before", "after").dropDuplicates(["key", "digest"])
-    sizes = counts.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("count").alias("places")).where("places > 1").drop("places")
-    members = stage(members.join(counts, ["key", "digest"]).join(sizes, "key").select("key", "size", "digest", "count", "before", "after"))
+    members = stage(members.join(counts.join(sizes, "key"), ["key", "digest"]).select("key", "size", "digest", "count", "before", "after"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -257,18 +258,12 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
 
     # o: the anchor's place in the string; a string that holds two anchors of one key is met twice, but not at one o
     big = members.where(F.col("size") > GROUP).select("key", "digest", "count", "before", "after").mapInArrow(strings, "key long, digest binary, count long, o long, h long")
-    again = big.groupBy("key", "o", "h").agg(F.sum("count").alias("n")).where("n > 1").select("key", "o", "h")
-    runs = big.join(again, ["key", "o", "h"]).groupBy("key", "digest").agg(F.max("o").alias("left"), F.max(length - F.col("o")).alias("right"))
+    twice = stage(big.groupBy("key", "o", "h").agg(F.sum("count").alias("n")).where("n > 1").select("key", "o", "h"))
+    runs = big.join(twice, ["key", "o", "h"], "left_semi").groupBy("key", "digest").agg(F.max("o").alias("left"), F.max(length - F.col("o")).alias("right"))
 
     found = marks.join(pieces.union(runs), ["key", "digest"]).select("class", (F.col("place") - F.col("left")).alias("lo"), (F.col("place") + F.col("right")).alias("hi"))
     covered = found.groupBy("class").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("s"))
-    start = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
-    joined = F.aggregate(
-        "s",
-        start,
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["hi"] >= x["lo"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["lo"].alias("lo"), F.greatest(F.get(acc, F.size(acc) - 1)["hi"], x["hi"]).alias("hi"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    covered = stage(covered.select("class", joined.alias("spans")))
+    covered = stage(covered.select("class", _merged("s").alias("spans")))
     drop_staged(around)
     drop_staged(members)
     release(docs.sparkSession)
@@ -276,6 +271,20 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     return slim.distinct().join(per_class.where("spans is not null"), ["class", "n_bytes"])
 
 
+@F.pandas_udf(ArrayType(StructType([StructField("lo", LongType()), StructField("hi", LongType())])))
+def _merged(stretches: pd.Series) -> pd.Series:
+    """Ascending stretches, with those that touch or overlap as one."""
+
+    def merge(found) -> list[dict]:
+        lo, hi = (np.array([x[k] for x in found], np.int64) for k in ("lo", "hi"))
+        most = np.maximum.accumulate(hi)
+        opens = np.concatenate([[True], lo[1:] > most[:-1]])
+        ends = np.append(most[:-1][opens[1:]], most[-1])
+        return [{"lo": a, "hi": b} for a, b in zip(lo[opens].tolist(), ends.tolist(), strict=True)]
+
+    return pd.Series([merge(x) for x in stretches], dtype=object)
+
+
 @F.pandas_udf(BinaryType())
 def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
     """What is left of a text's UTF-8 bytes."""
