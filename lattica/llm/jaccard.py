@@ -2,11 +2,11 @@
 
 Two sets of Jaccard similarity t or more share a member among the first n - ceil(t n) + 1 of each in any fixed order
 of all members. The rows that hold the same such member are a tile, and its first row by size leads it. The order puts
-members that many rows hold last, so passages that many texts share make no large tiles. Rows that share a leader are
-compared in blocks if their sizes are within a factor of 1/t. A pair's bitmaps bound its overlap from above: each bit
-that only one side has set is a member that the other side lacks. For rows that this leaves a partner, sets are fetched and
-intersected exactly: first with their leaders, and what that links is one component; then with rows of one leader that
-are in other components.
+members that many rows hold last, so passages that many texts share make no large tiles. A pair's bitmaps bound its overlap from
+above: each bit that only one side has set is a member that the other side lacks. First each row meets the leaders of its
+tiles: by sizes, bitmaps and, where these leave the threshold within reach, exactly. What that links is one component, so a group of near
+copies is settled in time linear in its size. Then rows that their leader does not link are compared with the leader's other rows, in blocks
+and again by sizes, bitmaps and exact intersection, where they are in different components.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import drop_staged, release, stage
@@ -97,26 +97,13 @@ def _common(rows: DataFrame) -> Bloom | None:
 def _stars(rows: DataFrame) -> DataFrame:
     """(leader, class, n), distinct: for each row the leaders of its tiles, itself excepted.
 
-    A stream over rows sorted by member and size. Of a tile in progress only the leader is held, however many rows it has.
+    A tile's leader is its row of least size, then of least class (by its first 40 bits). Tiles are summed up before they are dealt
+    out, and leaders written before rows are joined with them, so a member that many rows hold is a skewed side, which Spark splits.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int] | None = None  # member and leader of the tile in progress
-        for batch in batches:
-            m, c, n = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-            if not len(m):
-                continue
-            opens = np.concatenate([[held is None or held[0] != m[0]], m[1:] != m[:-1]])
-            at = np.cumsum(opens) - 1 + (not opens[0])
-            leads = c[opens] if opens[0] else np.concatenate([[held[1]], c[opens]])
-            leader = leads[at]
-            held = (int(m[-1]), int(leader[-1]))
-            ok = leader != c
-            part = pa.table([pa.array(x[ok]) for x in (leader, c, n)], names=["leader", "class", "n"])
-            yield from part.group_by(["leader", "class", "n"]).aggregate([]).to_batches()
-
     entries = rows.select(F.explode("first").alias("m"), "class", "n")
-    return entries.repartition("m").sortWithinPartitions("m", "n", "class").mapInArrow(run, "leader long, class long, n long").distinct()
+    order = F.shiftleft(F.least(F.col("n"), F.lit((1 << 23) - 1)), 40).bitwiseOR(F.shiftrightunsigned("class", 24))
+    leaders = entries.groupBy("m").agg(F.min_by("class", order).alias("leader"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("m", "leader")
+    return entries.join(stage(leaders), "m").where("leader <> class").select("leader", "class", "n").distinct()
 
 
 def _compatible(na: np.ndarray, nb: np.ndarray, per_cent: int) -> np.ndarray:
@@ -157,6 +144,20 @@ def _links(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
     return 100 * shared >= per_cent * (len(a) + len(b) - shared)
 
 
+def _near_leader(stars: DataFrame, signed: DataFrame, per_cent: int) -> DataFrame:
+    """(a, b): rows and leaders of theirs that sizes and signatures let link."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            na, nb = (x.column(k).to_numpy() for k in (2, 3))
+            yield x.select([0, 1]).filter(pa.array(_may_link(_words(x.column(4)), _words(x.column(5)), na, nb, per_cent)))
+
+    leads = signed.select(F.col("class").alias("leader"), F.col("n").alias("leader_n"), F.col("signature").alias("leader_signature"))
+    sizes = stars.join(leads.select("leader", "leader_n"), "leader").where((100 * F.col("n") >= per_cent * F.col("leader_n")) & (100 * F.col("leader_n") >= per_cent * F.col("n")))
+    both = sizes.join(signed.select("class", "signature"), "class").join(leads.select("leader", "leader_signature"), "leader")
+    return both.select("class", "leader", "n", "leader_n", "signature", "leader_signature").mapInArrow(bound, "a long, b long")
+
+
 def _verify(pairs: DataFrame, members: DataFrame, per_cent: int) -> DataFrame:
     """Of the pairs (a, b), those that link."""
 
@@ -169,12 +170,36 @@ def _verify(pairs: DataFrame, members: DataFrame, per_cent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(exact, "a long, b long")
 
 
-def _grouped(stars: DataFrame) -> DataFrame:
-    """(leader, class, n, comp) of leaders with several components, dealt over pairs of blocks: with i, j and the row's own block."""
-    sizes = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("leader", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    placed = stars.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("class", "leader"), F.col("blocks")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    return placed.select("leader", "class", "n", "comp", "block", F.explode(pair).alias("p")).select("leader", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "class", "n", "comp")
+def _grouped(stars: DataFrame, per_cent: int) -> DataFrame:
+    """stars: (leader, class, n, comp, linked). (leader, class, n, comp), dealt over pairs of blocks: with i, j and the row's own block.
+
+    Rows whose sizes may fit are in one band of sizes or in neighbouring ones, so a leader's rows meet within a band, and with the
+    next. Rows that their leader links need not meet one another: of a pair of blocks, one has rows of the others. Blocks are
+    numbered through the four kinds of a band's rows: its own others and linked ones, and those of the next band.
+    """
+    width = math.log(100 / per_cent) * (1 + 1e-9)  # a trifle wide, so that rounding leaves no fitting pair two bands apart
+    band = F.floor(F.log("n") / width).cast("bigint")
+    roles = F.explode(F.array(F.struct(band.alias("g"), F.lit(0).alias("up")), F.struct((band - 1).alias("g"), F.lit(1).alias("up"))))
+    rows = stars.select("leader", "class", "n", "comp", "linked", roles.alias("r")).select("leader", "class", "n", "comp", "r.g", (2 * F.col("r.up") + F.col("linked").cast("int")).alias("kind"))
+    counts = [F.ceil(F.count(F.when(F.col("kind") == k, 1)) / BLOCK).cast("int").alias(f"c{k}") for k in range(4)]
+    sizes = rows.groupBy("leader", "g").agg(*counts, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and (c0 > 0 or (c1 > 0 and c2 > 0))")
+    placed = rows.join(stage(sizes.drop("lo", "hi")), ["leader", "g"])
+    own = [F.col(f"c{k}") for k in range(4)]
+    start = [F.lit(0), own[0], own[0] + own[1], own[0] + own[1] + own[2]]
+
+    def pick(values: list[Column]) -> Column:
+        return F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in enumerate(values)])
+
+    def blocks(*kinds: int) -> Column:
+        return F.flatten(F.array(*[F.when(own[k] > 0, F.sequence(start[k], start[k] + own[k] - 1)).otherwise(F.array().cast("array<int>")) for k in kinds]))
+
+    placed = placed.withColumn("block", pick(start) + F.pmod(F.xxhash64("class", "leader"), pick(own)).cast("int"))
+    # own others meet all, own linked ones others, the next band's others all of this band, its linked ones this band's others
+    meets = pick([blocks(0, 1, 2, 3), blocks(0, 2), blocks(0, 1), blocks(0)])
+    base = F.col("g") * 65_536  # a band's numbers apart from those of other bands
+    pair = F.transform(meets, lambda k: F.struct((base + F.least(k, F.col("block"))).alias("i"), (base + F.greatest(k, F.col("block"))).alias("j")))
+    dealt = placed.select("leader", (base + F.col("block")).alias("own"), "class", "n", "comp", F.explode(pair).alias("p"))
+    return dealt.select("leader", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("own").alias("block"), "class", "n", "comp")
 
 
 def _compare(groups: DataFrame, per_cent: int, exact: bool) -> DataFrame:
@@ -284,23 +309,26 @@ def _components(docs: DataFrame, per_cent: int, width: int, id_col: str, text_co
     drop_staged(rows)
     release(docs.sparkSession)
 
-    # rows that share a leader, the leader among them: which may link with any other, by sizes and signatures
-    every = stars.select("leader", "class").union(stars.select("leader", F.col("leader").alias("class")).distinct())
-    signatures = every.join(signed, "class").withColumn("comp", F.col("class"))
-    close = _compare(_grouped(signatures.select("leader", "class", "n", "comp")).join(signed.select("class", "signature"), "class"), per_cent, exact=False)
-    close = stage(close.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-    wanted = stage(slim.join(close, "class").groupBy("class").agg(F.min("key").alias("key")))
-    members = _members(docs, wanted.select("key"), width, id_col, text_col)
-    members = stage(members.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
+    # with their leaders
+    near = stage(_near_leader(stars, signed, per_cent))
+    wanted = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    members = _members_of(docs, slim, wanted, width, id_col, text_col)
+    components = stage(connected_components(stage(_verify(near, members, per_cent))))
     release(docs.sparkSession)
 
-    near = stars.join(close, "class", "left_semi").join(close.withColumnRenamed("class", "leader"), "leader", "left_semi")
-    sizes = signed.select(F.col("class").alias("leader"), F.col("n").alias("leader_n"))
-    fit = near.join(sizes, "leader").where((100 * F.col("n") >= per_cent * F.col("leader_n")) & (100 * F.col("leader_n") >= per_cent * F.col("n")))
-    links = stage(_verify(fit.select(F.col("class").alias("a"), F.col("leader").alias("b")), members, per_cent))
-    components = stage(connected_components(links))
-    grouped = stars.join(close, "class", "left_semi").join(components.withColumnRenamed("id", "class"), "class", "left").select("leader", "class", "n", F.coalesce("component", "class").alias("comp"))
-    more = stage(_compare(_grouped(grouped).join(signed.select("class", "signature"), "class").join(members, "class"), per_cent, exact=True))
+    # with a leader's other rows, where the leader links one of the two at most
+    comp = components.withColumnRenamed("id", "class")
+    known = stars.join(comp, "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
+    known = known.join(comp.withColumnRenamed("class", "leader"), "leader", "left").withColumn("linked", F.col("comp") == F.coalesce("component", "leader"))
+    known = stage(known.select("leader", "class", "n", "comp", "linked"))
+    close = _compare(_grouped(known, per_cent).join(signed.select("class", "signature"), "class"), per_cent, exact=False)
+    close = stage(close.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    if close.isEmpty():
+        more = close.select(F.col("class").alias("a"), F.col("class").alias("b"))
+    else:
+        members = members.union(_members_of(docs, slim, close.join(members, "class", "left_anti"), width, id_col, text_col))
+        left = stage(known.join(close, "class", "left_semi"))
+        more = stage(_compare(_grouped(left, per_cent).join(signed.select("class", "signature"), "class").join(members, "class"), per_cent, exact=True))
     release(docs.sparkSession)
     if not more.isEmpty():
         # links between components of the first round
@@ -318,6 +346,13 @@ def _components(docs: DataFrame, per_cent: int, width: int, id_col: str, text_co
     return slim.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "key", "component")
 
 
+def _members_of(docs: DataFrame, slim: DataFrame, classes: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(class, members) of the given classes, staged: from a row of each, found by its key."""
+    wanted = stage(slim.join(classes, "class").groupBy("class").agg(F.min("key").alias("key")))
+    found = _members(docs, wanted.select("key"), width, id_col, text_col)
+    return stage(found.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
+
+
 def _members(docs: DataFrame, keys: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """(class, members) of the rows with the given keys, of rows with one key once a task; members: the sorted hashes, 8 bytes each."""
 
