@@ -97,18 +97,19 @@ def fit_votes(votes: DataFrame, names: list[str], rounds: int = 25, prior: float
 
     Rates start from "a bad vote is ten times likelier on a bad document" and stay on that side of 1, which also fixes
     which class is called good; counts are smoothed by a few pseudo-documents, so rules that never vote are harmless
-    and an empty table gives the starting values.
+    and an empty table gives the starting values. Null votes count as abstentions.
     """
     patterns = stage(votes.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).orderBy(*names), files=1)
     share, bad_rate = prior, {k: (0.02, 0.3) for k in names}  # (on good, on bad) documents
     for _ in range(rounds):
-        p = _posterior(share, bad_rate)
+        rated = patterns.withColumn("_p", _posterior(share, bad_rate))  # a column, so that the plan has it once, not in each of the sums
+        p = F.col("_p")
         sums = [F.sum(F.col("_n") * p).alias("_good"), F.sum("_n").alias("_all")]
         for k in names:
             for vote, of in ((-1, "b"), (1, "g")):
                 hit = F.when(F.col(k) == vote, F.col("_n")).otherwise(0)
                 sums += [F.sum(hit * p).alias(f"{of}1{k}"), F.sum(hit * (1 - p)).alias(f"{of}0{k}")]
-        got = patterns.agg(*sums).first()
+        got = rated.agg(*sums).first()
         if not got["_all"]:
             break
         before = share
@@ -136,6 +137,9 @@ def judge_quality(docs: DataFrame, text_col: str = "text", threshold: float = 0.
     base_failed: fewer than 10 words, or over 20 % of words in repeated windows; such rows are never kept. Null and
     empty texts have no words and so fail. Every row comes back, repeated rows too; input columns that are called like an
     output column are replaced. Votes of rows that base_failed decides are not used for the rates. The texts are read once: their features are staged.
+
+    The estimates are held within bounds, so that a table without bad documents doesn't turn a rule against good ones: a rule votes bad on
+    MOST_ON_GOOD of good documents at most and on at least twice that share of bad ones; the share of good documents is 0.05 to 0.995.
     """
     names = list(rules())
     featured = with_features(docs, text_col)
