@@ -33,13 +33,8 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir, "doc_id", "text")
     bpe = ByteBPE(spark, load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    coded = docs.select("doc_id", bpe.encode(F.col("text"), bpe.dictionary(docs)).alias("ids"))
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(bpe.as_bytes(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"),
-    )
+    coded = bpe.encode(docs)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("id_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,13 +116,14 @@ def _op5() -> str:
     from lattica.llm.licenses import TEMPLATES, template_bigrams
 
     bags = sorted((lic, template_bigrams(t)) for lic, texts in TEMPLATES.items() for t in texts)
+    longest = 2 * max(len(bag) for _, bag in bags)  # words: beyond any segment that a template fits
     rows = ", ".join(f"({k}, '{lic}', [{', '.join(chr(39) + b + chr(39) for b in bag)}])" for k, (lic, bag) in enumerate(bags))
     return f"""
 WITH bags(k, license, bag) AS (VALUES {rows}),
 texts AS (SELECT doc_id, coalesce(text, '') t FROM documents),
 segs AS (SELECT DISTINCT doc_id, unnest(list_concat(list_concat(string_split(t, chr(10)), CASE WHEN regexp_matches(t, '\\n[\\x20\\x09-\\x0D]*\\n') THEN regexp_split_to_array(t, '\\n[\\x20\\x09-\\x0D]*\\n') ELSE [] END), [t])) seg FROM texts),
 cut AS (SELECT doc_id, seg, regexp_extract_all(lower(seg), '[\\p{{L}}\\p{{N}}]+') w FROM segs),
-fit AS (SELECT doc_id, seg, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] p FROM cut WHERE len(w) BETWEEN 2 AND 200),
+fit AS (SELECT doc_id, seg, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] p FROM cut WHERE len(w) BETWEEN 2 AND {longest}),
 mine AS (SELECT doc_id, seg, list_transform(p, lambda x, i: x || ' ' || len(list_filter(p[:i - 1], lambda y: y = x))) bag FROM fit),
 scored AS (SELECT doc_id, seg, max({{'dice': 2e0 * len(list_intersect(mine.bag, bags.bag)) / (len(mine.bag) + len(bags.bag)), 'k': -k, 'license': license}}) best FROM mine, bags WHERE len(mine.bag) BETWEEN 0.6 * len(bags.bag) AND 1.6 * len(bags.bag) GROUP BY 1, 2),
 hits AS (SELECT doc_id, best FROM scored WHERE best.dice >= 0.8),

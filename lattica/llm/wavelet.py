@@ -2,10 +2,12 @@
 
 A shard holds the ids of consecutive documents as bit planes, highest bit first; each plane is stably sorted by the
 bits before it. With the number of zeros of each plane and rank samples, the file answers: the token at a place, how
-often a token occurs in a range, and where its k-th occurrence is, without unpacking to a list of ids.
+often a token occurs in a range, and where its k-th occurrence is. Planes are cut into blocks that are compressed by themselves, so an
+answer unpacks a block or two of each plane and no more.
 
-File: b"WVM1", little-endian header length (uint32), JSON header (n, planes, zeros, docs), then a zstandard frame with
-the document ids (int64), document lengths (uint32) and the planes, each padded to whole 64-bit words.
+File: b"WVM2", little-endian header length (uint32), JSON header (n, zeros, ones: rank samples, the ones of a plane before each of its
+blocks and in all; docs; sizes of the frames), then zstandard frames: the document ids (int64), the document lengths (uint32), and plane
+by plane the blocks, in 64-bit words of which the last is padded.
 """
 
 from __future__ import annotations
@@ -28,27 +30,28 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import stage
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 #: Tokens after which a task closes a shard. A document is never split, so one longer text makes a longer shard.
 SHARD_TOKENS = 2_000_000
-WORD = 64
+#: Bits of a block of a plane.
+BLOCK = 1 << 19
+#: Parts whose shards one task adds up.
+SUMMED = 4_096
 #: Ids handled at once when a plane is built or undone; a multiple of 64.
 CHUNK = 1 << 16
 
 
 class WaveletMatrix:
-    """ids: non-negative integers below 2**32."""
+    """ids: non-negative integers below 2**32. block(plane, k): a block's 64-bit words; ones: a plane's ones before each block, and in all."""
 
-    def __init__(self, n: int, planes: np.ndarray, zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
-        ones = np.bitwise_count(planes).astype(np.int64)
-        self.rank = np.concatenate([np.zeros((len(planes), 1), np.int64), np.cumsum(ones, axis=1)], axis=1)
+    def __init__(self, n: int, zeros: list[int], ones: np.ndarray, block: Callable[[int, int], np.ndarray]):
+        self.n, self.zeros, self.ones, self.block = n, zeros, ones, block
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         ids = np.ascontiguousarray(ids, np.uint16 if ids.dtype.itemsize <= 2 else np.uint32)
         n, width = len(ids), max(1, int(ids.max()).bit_length() if len(ids) else 1)
-        planes, zeros = np.zeros((width, -(-n // WORD)), np.uint64), []
+        planes, zeros = np.zeros((width, -(-n // 64)), np.uint64), []
         for p in range(width):
             bit, low, high = ids.dtype.type(1 << (width - 1 - p)), [], []
             small = planes[p].view(np.uint8)
@@ -61,29 +64,44 @@ class WaveletMatrix:
                 high.append(part[one])
             zeros.append(sum(map(len, low)))
             ids = np.concatenate([*low, *high]) if n else ids
-        return cls(n, planes, zeros)
-
-    def _ones(self, plane: int, at: np.ndarray) -> np.ndarray:
-        """Ones before each place."""
-        word, bit = at >> 6, (at & 63).astype(np.uint64)
-        inside = np.where(word < self.planes.shape[1], self.planes[plane][np.minimum(word, max(self.planes.shape[1] - 1, 0))], 0) if self.n else np.zeros_like(bit)
-        return self.rank[plane][word] + np.bitwise_count(inside & ((np.uint64(1) << bit) - np.uint64(1)))
+        per = BLOCK // 64
+        counts = [[int(np.bitwise_count(x[k : k + per]).sum()) for k in range(0, planes.shape[1], per)] for x in planes]
+        return cls(n, zeros, np.cumsum([[0, *c] for c in counts], axis=1), lambda p, k: planes[p][k * per : (k + 1) * per])
+
+    @property
+    def width(self) -> int:
+        return len(self.zeros)
+
+    def _look(self, plane: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bit at each place (0 at the end) and the ones before it."""
+        where = at // BLOCK
+        bits, ones = np.zeros(len(at), np.int64), self.ones[plane][where].copy()
+        for k in np.unique(where[at < self.n]).tolist():
+            mine = np.flatnonzero((where == k) & (at < self.n))
+            words, inside = self.block(plane, k), at[mine] - k * BLOCK
+            before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+            word, shift = words[inside >> 6], (inside & 63).astype(np.uint64)
+            bits[mine] = (word >> shift) & np.uint64(1)
+            ones[mine] += before[inside >> 6] + np.bitwise_count(word & ((np.uint64(1) << shift) - np.uint64(1)))
+        at_end = np.flatnonzero(at == self.n)
+        ones[at_end] = self.ones[plane][-1]
+        return bits, ones
 
     def access(self, places: np.ndarray) -> np.ndarray:
         at, out = np.asarray(places, np.int64).copy(), np.zeros(len(places), np.uint32)
-        for p in range(len(self.planes)):
-            bit = (self.planes[p][at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            one = self._ones(p, at)
+        for p in range(self.width):
+            bit, ones = self._look(p, at)
             out = (out << np.uint32(1)) | bit.astype(np.uint32)
-            at = np.where(bit == 1, self.zeros[p] + one, at - one)
+            at = np.where(bit == 1, self.zeros[p] + ones, at - ones)
         return out
 
     def decode(self) -> np.ndarray:
         """All ids in order: undoes the planes' sorting from the last to the first, a scan each."""
-        width = len(self.planes)
+        width = self.width
         ids = np.zeros(self.n, np.uint16 if width <= 16 else np.uint32)
         for p in range(width - 1, -1, -1):
-            bits, back = self.planes[p].view(np.uint8), np.empty_like(ids)
+            words = [self.block(p, k) for k in range(self.ones.shape[1] - 1)]
+            bits, back = np.concatenate([*words, np.zeros(0, np.uint64)]).view(np.uint8), np.empty_like(ids)
             zero, at_one, bit = 0, self.zeros[p], ids.dtype.type(1 << (width - 1 - p))
             for at in range(0, self.n, CHUNK):
                 part = back[at : at + CHUNK]
@@ -96,62 +114,85 @@ class WaveletMatrix:
         return ids
 
     def _narrow(self, token: int, lo: int, hi: int) -> tuple[int, int]:
-        for p in range(len(self.planes)):
-            ones = self._ones(p, np.array([lo, hi], np.int64))
-            if token >> (len(self.planes) - 1 - p) & 1:
-                lo, hi = self.zeros[p] + int(ones[0]), self.zeros[p] + int(ones[1])
+        for p in range(self.width):
+            ones = self._look(p, np.array([lo, hi], np.int64))[1].tolist()
+            if token >> (self.width - 1 - p) & 1:
+                lo, hi = self.zeros[p] + ones[0], self.zeros[p] + ones[1]
             else:
-                lo, hi = lo - int(ones[0]), hi - int(ones[1])
+                lo, hi = lo - ones[0], hi - ones[1]
         return lo, hi
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
-        if token >> len(self.planes):
+        """Occurrences at places lo to hi, hi left out."""
+        if token >> self.width:
             return 0
-        a, b = self._narrow(token, lo, self.n if hi is None else hi)
-        return b - a
+        a, b = self._narrow(token, min(lo, self.n), self.n if hi is None else min(hi, self.n))
+        return max(b - a, 0)
 
     def select(self, token: int, k: int) -> int:
         """The place of the k-th (from 0) occurrence of token; -1 if there are fewer."""
-        if token >> len(self.planes):
+        if token >> self.width:
             return -1
         lo, hi = self._narrow(token, 0, self.n)
         at = lo + k
         if k < 0 or at >= hi:
             return -1
-        for p in range(len(self.planes) - 1, -1, -1):
-            one = token >> (len(self.planes) - 1 - p) & 1
+        for p in range(self.width - 1, -1, -1):
+            one = token >> (self.width - 1 - p) & 1
             at = self._place(p, one, at - self.zeros[p] if one else at)
         return at
 
     def _place(self, p: int, bit: int, k: int) -> int:
-        ranks = self.rank[p] if bit else np.arange(len(self.rank[p]), dtype=np.int64) * WORD - self.rank[p]
-        word = int(np.searchsorted(ranks, k, "right")) - 1
-        value = int(self.planes[p][word]) if bit else ~int(self.planes[p][word])
-        for _ in range(k - int(ranks[word])):
+        """The place of the k-th (from 0) such bit of a plane."""
+        ranks = self.ones[p] if bit else np.arange(self.ones.shape[1]) * BLOCK - self.ones[p]
+        block = int(np.searchsorted(ranks[:-1], k, "right")) - 1
+        words = self.block(p, block)
+        before = np.concatenate([[0], np.cumsum(np.bitwise_count(words if bit else ~words), dtype=np.int64)]) + int(ranks[block])
+        word = int(np.searchsorted(before[:-1], k, "right")) - 1
+        value = int(words[word]) if bit else ~int(words[word])
+        for _ in range(k - int(before[word])):
             value &= value - 1
-        return word * WORD + (value & -value).bit_length() - 1
+        return block * BLOCK + word * 64 + (value & -value).bit_length() - 1
 
 
 def write_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """doc_ids: signed 64-bit."""
-    m = WaveletMatrix.build(ids)
-    header = json.dumps({"n": m.n, "planes": len(m.planes), "zeros": m.zeros, "docs": len(doc_ids)}).encode()
-    body = np.asarray(doc_ids, "<i8").tobytes() + np.asarray(lengths, "<u4").tobytes() + m.planes.astype("<u8").tobytes()
-    return MAGIC + struct.pack("<I", len(header)) + header + zstandard.ZstdCompressor(level=1).compress(body)
-
-
-def read_shard(data: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    data = memoryview(data)
-    if data[:4] != MAGIC:
-        raise ValueError("not a wavelet-matrix shard")
-    (size,) = struct.unpack_from("<I", data, 4)
-    h = json.loads(bytes(data[8 : 8 + size]))
-    body = zstandard.ZstdDecompressor().decompress(data[8 + size :])
-    docs = np.frombuffer(body, "<i8", h["docs"])
-    lengths = np.frombuffer(body, "<u4", h["docs"], 8 * h["docs"])
-    words = -(-h["n"] // WORD)
-    planes = np.frombuffer(body, "<u8", h["planes"] * words, 12 * h["docs"]).reshape(h["planes"], words)
-    return docs, lengths, WaveletMatrix(h["n"], planes, h["zeros"])
+    m, packer = WaveletMatrix.build(ids), zstandard.ZstdCompressor(level=1)
+    parts = [np.asarray(doc_ids, "<i8"), np.asarray(lengths, "<u4")]
+    parts += [m.block(p, k).astype("<u8") for p in range(m.width) for k in range(m.ones.shape[1] - 1)]
+    frames = [packer.compress(x.tobytes()) for x in parts]
+    header = json.dumps({"n": m.n, "zeros": m.zeros, "ones": m.ones.tolist(), "docs": len(doc_ids), "sizes": [len(f) for f in frames]}).encode()
+    return b"".join([MAGIC, struct.pack("<I", len(header)), header, *frames])
+
+
+class Shard:
+    """A shard's file: documents and matrix, of which parts are unpacked when asked for."""
+
+    def __init__(self, data: bytes | pa.Buffer):
+        data = memoryview(data)
+        if data[:4] != MAGIC:
+            raise ValueError("not a wavelet-matrix shard")
+        (size,) = struct.unpack_from("<I", data, 4)
+        h = json.loads(bytes(data[8 : 8 + size]))
+        ends = 8 + size + np.cumsum([0, *h["sizes"]])
+        unpacker, blocks = zstandard.ZstdDecompressor(), len(h["ones"][0]) - 1
+        self.unpacked: dict[int, bytes] = {}
+
+        def frame(k: int) -> bytes:
+            if k not in self.unpacked:
+                self.unpacked[k] = unpacker.decompress(data[ends[k] : ends[k + 1]])
+            return self.unpacked[k]
+
+        self._frame = frame
+        self.matrix = WaveletMatrix(h["n"], h["zeros"], np.array(h["ones"], np.int64), lambda p, k: np.frombuffer(frame(2 + p * blocks + k), "<u8"))
+
+    @property
+    def docs(self) -> np.ndarray:
+        return np.frombuffer(self._frame(0), "<i8")
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return np.frombuffer(self._frame(1), "<u4")
 
 
 #: Ids of words, and of the pieces that words share, by tokenizer: reused worker processes keep them from task to task.
@@ -254,11 +295,11 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, end_id: int, id_col:
 
 
 def write_shards(encoded: DataFrame, kind: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(doc_id, n, ids of numpy type kind) -> the staged table (part int, seq int, n_docs long, n_tokens long, file binary), shards in ascending doc_id order.
+    """(doc_id, n, ids of numpy type kind) -> the staged table (part int, seq int, n_docs long, n_tokens long, file binary), shards in ascending doc_id order, one to a file.
 
     Rows are range-partitioned by doc_id (null first) and sorted inside; a task writes its range as one or more
-    shards of about shard_tokens. Equal doc_ids stay together, ordered by their ids. Each shard's file is one
-    value, so it is committed, retried and read like any other Spark output, in any store.
+    shards of about shard_tokens. Equal doc_ids stay together, ordered by their ids. A shard's bytes are the one value of a file of the table, uncompressed
+    by it, so shards are committed, retried and read like any other Spark output, in any store.
     """
     width = np.dtype(kind).itemsize
     total = encoded.agg(F.sum("n")).first()[0] or 0
@@ -292,21 +333,25 @@ def write_shards(encoded: DataFrame, kind: str, shard_tokens: int = SHARD_TOKENS
             yield shard()
 
     ordered = encoded.select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-    return stage(ordered.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, file binary"), compression="uncompressed")
+    return stage(ordered.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, file binary"), compression="uncompressed", rows_a_file=1)
 
 
 def read_shards(shards: DataFrame, with_ids: bool = True) -> DataFrame:
     """The documents of shard files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as little-endian
     unsigned 32-bit integers), and with_ids those ids as `ids`."""
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
-    starts = stage(shards.select("part", "seq", "n_tokens").withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).drop("n_tokens"), files=1)
+    # a running total in two steps: over ranges of SUMMED parts, then within each
+    sizes = stage(shards.select("part", "seq", "n_tokens").withColumn("range", F.floor(F.col("part") / SUMMED)))
+    before, within = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("range").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sizes.groupBy("range").agg(F.sum("n_tokens").alias("all")).select("range", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("start"))
+    starts = stage(sizes.join(ranges, "range").select("part", "seq", (F.col("start") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("base")))
     least = -(1 << 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, file in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs, lengths, m = read_shard(file.as_buffer())
-                ids, ends = m.decode().astype("<u4"), np.cumsum(lengths, dtype=np.int64)
+                shard = Shard(file.as_buffer())
+                docs, lengths = shard.docs, shard.lengths
+                ids, ends = shard.matrix.decode().astype("<u4"), np.cumsum(lengths, dtype=np.int64)
                 for a in range(0, len(docs), 1000):
                     b = min(a + 1000, len(docs))
                     each = [ids[e - n : e] for e, n in zip(ends[a:b].tolist(), lengths[a:b].tolist(), strict=True)]
