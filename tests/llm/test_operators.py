@@ -29,6 +29,7 @@ ODD = [
     (8, "é🙂ß \x1c漢字 don't <|endoftext|> 123,45\r\n\n", None, "fr"),
     (9, "Ünïcode ÀÉ " + "lorem ipsum dolor sit amet " * 40, "c", None),
     (None, "no id at all here", "c", "en"),
+    (10, "\U0001f3f4\U000e0067\U000e0062 12 \u2460", "c", "fr"),  # no letter
 ]
 SCHEMA = "doc_id long, text string, source string, lang string"
 
@@ -132,6 +133,35 @@ def test_op2_keeps_clean_and_drops_junk(spark, sf):
     assert not bad or sum(bad) / len(bad) < 0.3
 
 
+def test_op2_verdict_by_an_em_over_documents(spark, sf):
+    """The same model fitted document by document, in numpy, without vote patterns."""
+    from lattica.llm import quality
+
+    names = list(quality.rules())
+    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    given = quality.with_features(documents(spark, sf)).select("doc_id", base.alias("base"), *[c.cast("int").alias(k) for k, c in quality.rules().items()]).collect()
+    votes, base = np.array([[r[k] for k in names] for r in given]), np.array([r["base"] for r in given])
+    share, good, bad = 0.85, np.full(len(names), 0.02), np.full(len(names), 0.3)
+
+    def posterior(v):
+        score = np.log(share / (1 - share)) + np.where(v == -1, np.log(good / bad), np.where(v == 1, np.log((1 - good) / (1 - bad)), 0)).sum(axis=1)
+        return 1 / (1 + np.exp(-score))
+
+    fitted = votes[~base]
+    for _ in range(25):
+        p, before = posterior(fitted)[:, None], share
+        against, for_ = fitted == -1, fitted == 1
+        share = float(np.clip((p.sum() + 8.5) / (len(p) + 10), 0.05, 0.995))
+        good = np.clip(((against * p).sum(axis=0) + 0.2) / (((against | for_) * p).sum(axis=0) + 10), 1e-4, 0.02)
+        bad = np.clip(((against * (1 - p)).sum(axis=0) + 3) / (((against | for_) * (1 - p)).sum(axis=0) + 10), 2 * good, 0.999)
+        if abs(share - before) < 1e-7:
+            break
+    p = posterior(votes)
+    want = {r["doc_id"]: (x, not b and x >= 0.5) for r, x, b in zip(given, p.tolist(), base.tolist(), strict=True)}
+    for r in queries.op2_quality_rules(spark, sf).collect():
+        assert r["quality"] == pytest.approx(want[r["doc_id"]][0], abs=1e-6) and r["kept"] == want[r["doc_id"]][1]
+
+
 def test_vote_rates_are_found(spark):
     from lattica.llm.quality import fit_votes
 
@@ -165,10 +195,16 @@ def test_folds_of_odd_words(spark):
     from lattica.llm.bytebpe import ByteBPE, load_ranks
 
     enc, rng = encoding(), random.Random(2)
-    words = ["".join(rng.choice("aeithnsr") for _ in range(rng.randint(1, 120))) for _ in range(300)] + ["a" * k for k in (1, 2, 47, 48, 49, 50, 700)] + ["ñß" * 40, "-" * 300, " " * 10, "ab" * 200]
+    words = ["".join(rng.choice("aeithnsr") for _ in range(rng.randint(1, 120))) for _ in range(300)] + ["".join(rng.choice("aeithnsr") for _ in range(n)) for n in (255, 256, 257, 400)]
+    words += ["a" * k for k in (1, 2, 47, 48, 49, 50, 255, 256, 257, 700)] + ["ñß" * 40, "ñß" * 100, "-" * 300, " " * 10, "ab" * 200, "aab" * 80, "aab" * 100]
+    # periods, where pairs of one piece overlap
+    words += ["".join(rng.choice(few) for _ in range(rng.randint(2, 50))) for few in ("ab", "a", "-=", " ", "oO", ".", "aé", "\u4e00\u3000") for _ in range(120)]
+    words += [(x * 60)[: rng.randint(2, 60)] for x in ("ab", "aba", "abb", "an", "ana", "nan", "ing", "--=", "the", "0", "10", "100", "\u00c3\u0082", "\u2014") for _ in range(12)]
     bpe = ByteBPE(spark, load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    got = spark.createDataFrame([(w,) for w in words], "word string").repartition(8).select("word", bpe.fold(F.col("word")).alias("ids")).collect()
+    got = bpe.fold(spark.createDataFrame([(w,) for w in words], "word string").repartition(8), "word").collect()
     assert all(r["ids"] == enc._core_bpe.encode_single_piece(r["word"].encode()) for r in got)
+    back = bpe.decode(spark.createDataFrame([(r["word"], r["ids"]) for r in got], "word string, ids array<int>")).collect()
+    assert all(bytes(r["decoded"]) == r["word"].encode() for r in back)
 
 
 def test_op4(spark, folder):
@@ -185,13 +221,43 @@ def test_op4(spark, folder):
     assert Counter((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.op4_wavelet_shards(spark, folder).collect()) == want
 
 
+def test_a_shards_file_answers_without_unpacking(spark, sf):
+    from lattica.llm import wavelet
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        encoded, kind = wavelet.encode_documents(documents(spark, sf), f.read(), end_id=2)
+    shards = wavelet.write_shards(encoded, kind, shard_tokens=20_000)
+    assert len(set(r[0] for r in shards.select(F.input_file_name()).collect())) == shards.count() > 1
+    ids = {r["doc_id"]: np.frombuffer(r["ids"], kind) for r in encoded.collect()}
+    for row in shards.collect():
+        shard = wavelet.Shard(row["file"])
+        want = np.concatenate([ids[i] for i in shard.docs.tolist()])
+        assert shard.docs.tolist() == sorted(shard.docs.tolist()) and shard.lengths.tolist() == [len(ids[i]) for i in shard.docs.tolist()]
+        token = int(want[len(want) // 2])
+        at = np.flatnonzero(want == token)
+        assert shard.matrix.access(np.array([0, len(want) // 2, len(want) - 1])).tolist() == [want[0], token, want[-1]]
+        assert shard.matrix.count(token, 10, 5000) == ((at >= 10) & (at < 5000)).sum() and shard.matrix.select(token, len(at) - 1) == at[-1]
+
+
+def test_wavelet_answers_unpack_a_block_of_a_plane(monkeypatch):
+    from lattica.llm import wavelet
+
+    monkeypatch.setattr(wavelet, "BLOCK", 1 << 10)
+    ids = np.random.default_rng(1).integers(0, 500, 100_000).astype(np.uint32)
+    shard = wavelet.Shard(wavelet.write_shard(np.arange(1), np.array([len(ids)]), ids))
+    assert shard.matrix.access(np.array([77_777])).tolist() == [ids[77_777]] and len(shard.unpacked) == shard.matrix.width
+    assert shard.matrix.count(7, 100, 90_000) == (ids[100:90_000] == 7).sum() and len(shard.unpacked) <= 3 * shard.matrix.width
+    assert shard.matrix.select(7, 40) == np.flatnonzero(ids == 7)[40] and len(shard.unpacked) <= 6 * shard.matrix.width
+    assert (shard.matrix.decode() == ids).all()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 300), max_size=400))
 def test_wavelet_matrix(values):
-    from lattica.llm.wavelet import read_shard, write_shard
+    from lattica.llm.wavelet import Shard, write_shard
 
     ids = np.array(values, np.uint32)
-    _, _, m = read_shard(write_shard(np.arange(1), np.array([len(ids)]), ids))
+    m = Shard(write_shard(np.arange(1), np.array([len(ids)]), ids)).matrix
     assert m.decode().tolist() == values
     assert not values or m.access(np.arange(len(ids))).tolist() == values
     for token in [*values[:5], 301, 100_000]:
@@ -222,6 +288,17 @@ def test_op5(spark, folder):
     assert got == want
 
 
+def test_op5_finds_whole_licences(spark):
+    from lattica.llm.licenses import TEMPLATES, scan
+
+    docs = []
+    for lic in ("BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT"):
+        lines = re.sub(r"(.{60,75}) ", "\\1\n", TEMPLATES[lic][-1]).replace("1. Redis", "\n\n1. Redis").replace("THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+        docs += [(lic, f"The licence\n\nCopyright (c) 2021 Jane Doe\n\n{lines}\n\nThe rest of the readme."), (lic, "/* " + lines.replace("\n", "\n * ") + " */\nint main() { return 0; }\n")]
+    got = {r["doc_id"]: r for r in scan(spark.createDataFrame(list(enumerate(t for _, t in docs)), "doc_id long, text string")).collect()}
+    assert [got[k]["license"] for k in range(len(docs))] == [lic for lic, _ in docs] and all(r["dice"] > 0.97 for r in got.values())
+
+
 def test_op5_finds_notices_inside_other_words(spark):
     from lattica.llm.licenses import TEMPLATES, scan, template_bigrams
 
@@ -310,6 +387,22 @@ def test_op6_on_null_ids(spark):
     assert {r["k"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got} == want
 
 
+def test_op6_goes_by_bytes_not_words(spark):
+    """A shared passage of over 50 words goes if it has 400 bytes, and stays if it has fewer; n_bytes is the input's size either way."""
+    from lattica.llm.substrings import remove_repeats
+
+    rng = random.Random(12)
+
+    def words(n, letters):
+        return " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(n)) + " "
+
+    short, long = words(60, "abcdef"), words(90, "ghijkl")
+    assert len(short.split()) > 50 and len(short) < 400 <= len(long)
+    docs = [words(100, "mnop") + short, short + words(100, "qrst"), words(100, "uvwx") + long, long + words(100, "mnqr"), words(100, "stuv")]
+    got = {r["doc_id"]: r for r in remove_repeats(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert [got[k]["n_removed"] for k in range(5)] == [0, 0, len(long), len(long), 0] and [got[k]["n_bytes"] for k in range(5)] == list(map(len, docs))
+
+
 def test_deep_shallow_sort():
     from lattica.llm.suffixes import deep_shallow_sort
 
@@ -329,7 +422,7 @@ def test_op7(spark, folder):
         text = docs[r["doc_id"]]["text"]
         assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
         assert 0 <= r["score"] <= 1 and r["lang_pred"] in known | {"und"}
-        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in text or "")) or folder.endswith("odd")
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in text or ""))
 
 
 def test_op7_is_right_on_held_out_rows(spark, sf):
@@ -404,6 +497,32 @@ def test_op8_on_edited_copies(spark, common, block, monkeypatch):
     assert got == components_by_force(docs)
 
 
+def test_op8_settles_a_large_group_of_near_copies_by_its_leader(spark, monkeypatch):
+    """Rows that their leader links are not compared with one another: a group of k near copies takes k comparisons, not k * k."""
+    from lattica.llm import jaccard
+
+    rng = random.Random(5)
+    vocab = [f"v{k}" for k in range(5000)]
+    base = [rng.choice(vocab) for _ in range(200)]
+    docs = []
+    for k in range(1500):
+        w = list(base)
+        w[rng.randrange(200)] = f"own{k}"
+        docs.append((k, " ".join(w)))
+    docs += [(2000 + k, " ".join(rng.choice(vocab) for _ in range(60))) for k in range(300)]
+    met, grouped = [], jaccard._grouped
+
+    def counted(*args):
+        out = grouped(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_grouped", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()}
+    assert all(got[i] == (0 if i < 2000 else i) for i, _ in docs)
+    assert sum(met) < 3 * len(docs)
+
+
 def test_op8_on_null_ids(spark):
     from lattica.llm import jaccard
 
@@ -461,6 +580,37 @@ def test_op9(spark, tmp_path):
     assert queries.op9_embedding_duplicates(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_op9_on_repeated_and_null_ids(spark):
+    from lattica.llm.embeddings import near_duplicates
+
+    one, two, three = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.2, 0.0], [1.0, 0.05, 0.0, 0.1]
+    vectors = [(5, one), (5, two), (5, two), (None, one), (3, three), (7, None), (7, two), (8, [0.0, 0.0, 0.0, -1.0])]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({c: F.lit(9) for c in ("id", "key", "rep", "v", "n", "copies", "component", "codes", "signs", "least", "n_links", "kept", "block")})
+    got = Counter(tuple(r) for r in near_duplicates(table.repartition(3)).collect())
+    # of (5, two) twice and (7, two) each links with two; (5, one) with (3, three); the null id with nothing
+    assert got == Counter([(5, 1, 3, False), (5, 2, 5, True), (5, 2, 5, True), (None, 0, None, None), (3, 1, 3, True), (7, 0, 7, True), (7, 2, 5, False), (8, 0, 8, True)])
+
+
+def test_op9_recall_at_several_bits(spark):
+    """Of pairs just above the threshold, at least 0.9 are found; none below it."""
+    from lattica.llm.embeddings import near_duplicates, shape
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=(2000, 32))
+    side -= (side * base[:2000]).sum(axis=1, keepdims=True) * base[:2000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.88, 0.96, size=(2000, 1))
+    x = np.concatenate([base, cos * base[:2000] + np.sqrt(1 - cos**2) * side])
+    assert shape(len(x), 0.9)[0] >= 8
+    near = x @ x.T >= 0.9
+    want = near.sum(axis=1) - 1
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: r["n_links"] for r in near_duplicates(table).collect()}
+    assert all(got[k] <= want[k] for k in range(len(x))) and sum(got.values()) >= 0.95 * want.sum()
+
+
 def test_components(spark):
     from lattica.llm.graph import connected_components
 
