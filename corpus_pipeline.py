@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bytebpe import ByteBPE, load_ranks
-from lattica.llm.common import read_table, release, stage, word_count
+from lattica.llm.common import read_table, scratch, stage, word_count
 from lattica.llm.jaccard import without_copies
 from lattica.llm.mixing import pareto_mix
 from lattica.llm.quality import judge_quality
 from lattica.llm.substrings import readable, remove_repeats
 
-#: SQL cannot express the stages' fits, draws and merges; tests hold run() against a brute-force version.
+#: SQL cannot express the stages' fits, draws and merges; tests hold each stage against a brute-force version, and run() against the stages.
 ORACLE_SQL = None
 
 
@@ -54,10 +54,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens and the digest of what the ids decode to."""
-    release(spark)  # four stages have left their plans behind
     bpe = ByteBPE(spark, load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    coded = docs.select("doc_id", "lang", "source", bpe.encode(F.col("text"), bpe.dictionary(docs)).alias("ids"))
-    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    # four stages share the driver's memory with this one, so a dictionary of a sixth of the usual size
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), dictionary_words=100_000)
+    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -70,7 +70,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage has written on its way goes once its own result is written, and that once the next one's is."""
     docs = read_table(spark, sf_dir, "documents")
     for _, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir))
+        with scratch() as tables:
+            done = stage(step(spark, docs, sf_dir))
+            tables[:] = [docs, *(t for t in tables if t is not done)]
+        docs = done
     return docs
