@@ -190,7 +190,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
         return let(_bigrams(words), of)
 
     if bags:
-        hits = F.filter(F.transform(F.filter("_w", fits), lambda w: F.struct(best(w).alias("best"), w.alias("w"))), lambda x: x["best"]["dice"] >= threshold)
+        telling = F.array(*map(F.lit, sorted(set().union(*(_telling(b, low[i]) for i, (_, b) in enumerate(bags))))))
+        # a segment without any of these words reaches no threshold, whatever its size
+        hits = F.filter(F.transform(F.filter("_w", lambda w: fits(w) & F.arrays_overlap(w, telling)), lambda w: F.struct(best(w).alias("best"), w.alias("w"))), lambda x: x["best"]["dice"] >= threshold)
         split = split.withColumn("_h", hits)
 
         def covered(words: Column) -> Column:
@@ -200,8 +202,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
             whole = F.greatest(covered(F.element_at("_w", -1)), covered(_words(block)))
             return let(whole, lambda c: F.transform(F.transform(F.split(block, "\n"), _words), lambda w: F.struct(w.alias("w"), F.greatest(c, covered(w)).alias("dice"))))
 
-        telling = sorted(set().union(*(_telling(b, low[i]) for i, (_, b) in enumerate(bags))))
-        some = F.arrays_overlap(F.element_at("_w", -1), F.array(*map(F.lit, telling)))
+        some = F.arrays_overlap(F.element_at("_w", -1), telling)
         windows = _windows(F.flatten(F.transform(F.split("_t", r"\n[\x20\x09-\x0D]*\n"), of_block)), bags, high, threshold)
         hits = F.transform("_h", lambda x: x["best"])
         hits = F.when(some, F.concat(hits, windows)).otherwise(hits)
