@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +88,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir, "doc_id", "text"), *pieces_of(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.ballmeans import ball_kmeans
+
+    assigned, centroids = ball_kmeans(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=8, rounds=10, dims=64)
+    digests = [(k, sha256(",".join(map(str, c)).encode()).hexdigest()) for k, c in enumerate(centroids)]
+    per = stage(assigned.groupBy("cluster").agg(F.try_sum("distance").alias("cluster_inertia")), files=1)  # a row per cluster
+    per = per.join(spark.createDataFrame(digests, "cluster int, centroid_sha256 string"), "cluster").withColumn("inertia", per.agg(F.try_sum("cluster_inertia")).scalar())
+    return assigned.join(F.broadcast(per), "cluster", "left").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.divergence import source_divergence
+
+    return source_divergence(documents(spark, sf_dir, "text", "lang", "source"), least_docs=30, top=50).drop("q")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -132,6 +150,46 @@ SELECT doc_id, top.license license, round(coalesce(top.dice, 0), 9) dice, array_
 """
 
 
+def _op11(k: int = 8, rounds: int = 10) -> str:
+    """Every vector meets every centroid in each round, a table expression a round."""
+    parts = [
+        "kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)",
+        "flat AS MATERIALIZED (SELECT vec_id, unnest(range(64)) p, unnest(v) x FROM kept)",
+        f"seeds AS (SELECT v, row_number() OVER (ORDER BY h) - 1 k FROM (SELECT v, sha256('3:' || vec_id) h FROM kept) ORDER BY h LIMIT {k})",
+        "c0 AS MATERIALIZED (SELECT k, unnest(range(64)) p, unnest(v) c FROM seeds)",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, min({{'d': d, 'k': k}}) best FROM (SELECT vec_id, k, CAST(sum((x - c) * (x - c)) AS BIGINT) d FROM flat JOIN c{r} USING (p) GROUP BY 1, 2) GROUP BY 1)")
+        if r < rounds:
+            mean = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+            parts.append(f"m{r} AS (SELECT best.k k, p, CAST(sum(x) AS BIGINT) s, count(*) n FROM flat JOIN a{r} USING (vec_id) GROUP BY 1, 2)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.k, c{r}.p, CASE WHEN n > 0 THEN {mean} ELSE c END c FROM c{r} LEFT JOIN m{r} ON m{r}.k = c{r}.k AND m{r}.p = c{r}.p)")
+    return f"""
+WITH {", ".join(parts)},
+shas AS (SELECT k, sha256(string_agg(c::VARCHAR, ',' ORDER BY p)) centroid_sha256 FROM c{rounds} GROUP BY 1),
+per AS (SELECT best.k k, CAST(sum(best.d) AS BIGINT) cluster_inertia FROM a{rounds} GROUP BY 1)
+SELECT vec_id, CAST(best.k AS INT) AS cluster, best.d distance, cluster_inertia, (SELECT CAST(sum(best.d) AS BIGINT) FROM a{rounds}) inertia, centroid_sha256
+FROM a{rounds} JOIN per ON per.k = best.k JOIN shas ON shas.k = best.k
+"""
+
+
+_OP12 = """
+WITH docs AS (SELECT row_number() OVER () r, coalesce(lang, '') lang, coalesce(source, '') source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t FROM documents),
+terms AS MATERIALIZED (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term FROM docs),
+kept AS MATERIALIZED (SELECT lang, term, count(*) n FROM terms GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+langs AS (SELECT lang, count(*) v, sum(n) n FROM kept GROUP BY 1),
+groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM docs),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*) n FROM terms JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+sums AS (SELECT lang, source, sum(n) n FROM counts GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) n, CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.n, 0) + 5 * l.v) AS BIGINT) p, CAST(1 + (1000000000::HUGEINT * (k.n + 5)) // (l.n + 5 * l.v) AS BIGINT) q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pair AS (SELECT a.lang, a.source, 'pair' part, b.source item, CAST(coalesce(f, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source s1, y.source s2, sum(abs(x.p - y.p)) f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY 1, 2, 3) m ON m.lang = a.lang AND s1 = a.source AND s2 = b.source),
+term AS (SELECT lang, source, 'term' part, term item, p - q AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term) QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Twins of the queries that SQL can express: op8 and op9 by comparing all pairs, op5 by all templates of a segment's size."""
-    return {"op5_license_scan": _op5(), "op8_jaccard_join": _OP8, "op9_embedding_duplicates": _OP9}
+    """Twins of the queries that SQL can express: op8 and op9 by comparing all pairs, op5 by all templates of a segment's size, op11 with all centroids, op12 with all shares."""
+    return {"op5_license_scan": _op5(), "op8_jaccard_join": _OP8, "op9_embedding_duplicates": _OP9, "op11_ball_kmeans": _op11(), "op12_source_divergence": _OP12}
