@@ -104,6 +104,14 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir, "text", "lang", "source"), least_docs=30, top=50).drop("q")
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.attention import Cutter, score_texts
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken")) as f:
+        cutter = Cutter(f.read(), public_tokenizers.PATTERN)
+    return score_texts(documents(spark, sf_dir, "doc_id", "text"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0, cutter)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
