@@ -30,7 +30,7 @@ SCALE_STEPS = 3  # 1000 ** 3 is the scale of the shares
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", held_terms: int = HELD) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of every term by group; each group has a row with the empty term and zeros.
 
     Terms are runs of ASCII letters (A-Z lower-cased) and characters beyond ASCII. Null text, lang and source count as ''.
@@ -59,7 +59,7 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
                 c.update(found)
                 d.update(set(found))
                 held += len(c) - before
-                if held > HELD:
+                if held > held_terms:
                     yield from hand_on()
                     held = 0
         yield from hand_on()
@@ -79,12 +79,12 @@ def share(count: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out + 1
 
 
-def _tiles(top: int):
+def _tiles(top: int, high: int, held_heads: int):
     """Tiles from rows sorted by (lang, gi, gj, block): markers (no term) hold a group's denominator, others a count; g -1 is the language."""
 
     def compare(lang: str, gi: int, gj: int, g: np.ndarray, term: np.ndarray, n: np.ndarray, pairs: dict, heads: dict) -> None:
         mark = np.equal(term, None)
-        groups, at = np.unique(g[mark], return_index=True)  # the language, if here, is the first row
+        groups, at = np.unique(g[mark], return_index=True)  # the first row is the language
         of = n[mark][at]
         terms = sorted({t for t in term if t is not None})
         column = {t: k for k, t in enumerate(terms)}
@@ -92,14 +92,14 @@ def _tiles(top: int):
         rows = np.searchsorted(groups, g[~mark])
         counts[rows, [column[t] for t in term[~mark]]] = n[~mark]
         p = share(counts + 5, of[:, None])
-        own = groups // GROUPS
+        own = groups // high
         left, right = (np.flatnonzero((own == k) & (groups >= 0)) for k in (gi, gj))
         if (total := pairs.get((lang, gi, gj))) is None:
             pairs.clear()  # rows are sorted: the matrix before has been handed on
             total = pairs[lang, gi, gj] = (groups[left], groups[right], np.zeros((len(left), len(right)), np.int64))
         for k, row in enumerate(left):
             total[2][k] += np.abs(p[row] - p[right]).sum(axis=1)
-        if gi == gj and groups[0] == -1:
+        if gi == gj:
             for row in left:
                 over = np.flatnonzero((counts[row] > 0) & (p[row] > p[0]))
                 f = p[row, over] - p[0, over]
@@ -131,7 +131,7 @@ def _tiles(top: int):
                     yield from given(pairs)
                 t = pa.concat_tables(held)
                 compare(*now[:3], t.column(4).to_numpy(), np.array(t.column(5).to_pylist(), object), t.column(6).to_numpy(), pairs, heads)
-                if len(heads) > HEADS:
+                if len(heads) > held_heads:
                     yield from handed()
 
         def handed() -> Iterator[pa.RecordBatch]:
@@ -157,16 +157,17 @@ def _tiles(top: int):
     return run
 
 
-def source_divergence(docs: DataFrame, least_docs: int = 30, top: int = 50, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def source_divergence(docs: DataFrame, least_docs: int = 30, top: int = 50, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", tile: tuple[int, int] = (GROUPS, TERMS), held_terms: int = HELD, held_heads: int = HEADS) -> DataFrame:
     """(lang, source, part, item, q, value, rank) for every (lang, source) that occurs.
 
     A language keeps its V terms in at least least_docs of its documents. A group, and a language, gives a kept term the share
     p = 1 + floor(10**9 * (count + 5) / (N + 5 * V)), N its occurrences of kept terms. Part `pair`: item is each other source of the language, value the sum of
     abs(p - its p) over the kept terms (0 without any). Part `term`: item is each kept term that occurs in the group with p > q, q the language's share, value p - q,
     the first `top` ranks. Ranks go by value descending, then item by UTF-8 bytes. q is null in part `pair`. Null text, lang and source are read as ''.
-    A repeated row counts as a document of its own. An empty table gives no rows. Counts of a group are exact up to 2**53.
+    A repeated row counts as a document of its own. An empty table gives no rows. Counts of a group are exact up to 2**53. tile: sources and, about, terms of a tile; held_terms and held_heads: what a task
+    holds before it hands on.
     """
-    counts = stage(term_counts(docs, lang_col, source_col, text_col))
+    counts = stage(term_counts(docs, lang_col, source_col, text_col, held_terms))
     kept = counts.where("docs > 0").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= least_docs)
     kept = stage(kept.select("lang", "term", "n"))
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("lang_n"))
@@ -177,8 +178,8 @@ def source_divergence(docs: DataFrame, least_docs: int = 30, top: int = 50, lang
     number = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long")
     groups = groups.select("lang", "source", number.alias("g"), (F.coalesce("n", F.lit(0)) + 5 * v).alias("of"), v.alias("v"), (F.coalesce("lang_n", F.lit(0)) + 5 * v).alias("lang_of"))
     groups = stage(groups.withColumn("of", F.greatest("of", F.lit(1))).withColumn("lang_of", F.greatest("lang_of", F.lit(1))))
-    blocks = F.greatest(F.ceil(F.col("v") / TERMS), F.lit(1)).cast("int")
-    spans = stage(groups.groupBy("lang").agg(F.first("lang_of").alias("lang_of"), F.first("v").alias("v"), F.ceil((F.max("g") + 1) / GROUPS).cast("int").alias("bands")).withColumn("blocks", blocks))
+    blocks = F.greatest(F.ceil(F.col("v") / tile[1]), F.lit(1)).cast("int")
+    spans = stage(groups.groupBy("lang").agg(F.first("lang_of").alias("lang_of"), F.first("v").alias("v"), F.ceil((F.max("g") + 1) / tile[0]).cast("int").alias("bands")).withColumn("blocks", blocks))
 
     block = F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -189,15 +190,15 @@ def source_divergence(docs: DataFrame, least_docs: int = 30, top: int = 50, lang
     whole = kept.join(spans, "lang").select("lang", "bands", block.alias("block"), F.lit(-1).cast("long").alias("g"), binary, "n")
     marks = groups.select("lang", "g", "of").join(spans, "lang").select("lang", "bands", every.alias("block"), "g", none, F.col("of").alias("n"))
     whole_marks = spans.select("lang", "bands", every.alias("block"), F.lit(-1).cast("long").alias("g"), none, F.col("lang_of").alias("n"))
-    band = F.floor(F.col("g") / GROUPS).cast("int")
+    band = F.floor(F.col("g") / tile[0]).cast("int")
     last = F.col("bands") - 1
-    # band b meets the tiles (i, b) for i <= b and (b, j) for j > b; the language's row meets the tiles (b, b)
+    # band b meets the tiles (i, b) for i <= b and (b, j) for j > b; the language's rows meet all, as they name all terms
     own = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.least(k, band).alias("i"), F.greatest(k, band).alias("j")))
-    diagonal = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("i"), k.alias("j")))
-    dealt = rows.select(shape).union(marks.select(shape)).withColumn("tile", F.explode(own)).union(whole.select(shape).union(whole_marks.select(shape)).withColumn("tile", F.explode(diagonal)))
+    every_tile = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda k: F.transform(F.sequence(k, last), lambda j: F.struct(k.alias("i"), j.alias("j")))))
+    dealt = rows.select(shape).union(marks.select(shape)).withColumn("tile", F.explode(own)).union(whole.select(shape).union(whole_marks.select(shape)).withColumn("tile", F.explode(every_tile)))
     key = ["lang", "gi", "gj", "block"]
     dealt = dealt.select("lang", F.col("tile.i").alias("gi"), F.col("tile.j").alias("gj"), "block", "g", "term", "n")
-    found = stage(dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_tiles(top), "lang string, a long, b long, item binary, q long, value long"))
+    found = stage(dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_tiles(top, tile[0], held_heads), "lang string, a long, b long, item binary, q long, value long"))
 
     names = groups.select("lang", F.col("g").alias("a"), F.col("source"))
     pairs = found.where("b is not null").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))

@@ -86,5 +86,5 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {f"op{n}_" for n in range(1, 11)} <= {k[: k.index("_") + 1] for k in names if k.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} <= {k[: k.index("_") + 1] for k in names if k.startswith("op")} and "pipeline" in names
     assert set(queries.queries()) <= names
