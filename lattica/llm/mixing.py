@@ -17,6 +17,8 @@ from lattica.llm.common import stage, unit_hash
 
 #: Histogram bins of the rank order. Only the bin in which a source's words run out is ordered row by row.
 BINS = 4096
+#: Parts that equal rows are numbered in when only some of them are drawn.
+SALTS = 64
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], budget: float, max_copies: float) -> DataFrame:
@@ -61,9 +63,9 @@ def pareto_mix(
     size: words of a row, a whole number (null counts 0). importance: a non-negative whole number to which inclusion
     probabilities are proportional within a source (default: the whole square root of size, so long texts are somewhat
     likelier than short ones); copies of one row differ by at most 1 and never exceed max_copies.
-    Ties in rank go by id and size; equal rows share one decision. Rows without words get the whole copies only.
-    A source's words are within half of its largest document of its target. Input columns called like an output
-    column are replaced. Empty tables give empty tables.
+    Ties in rank go by id and size. Of rows that are equal in both (null ids count as equal) as many are drawn as fit; which of them is open, so reruns
+    agree but for that. Rows without words get the whole copies only. A source's words are within half of its largest document of its target, as
+    long as its inclusion probabilities stay below 1. Input columns called like an output column are replaced. Empty tables give empty tables.
     """
     size = F.coalesce(size.cast("long"), F.lit(0))
     skey = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
@@ -101,20 +103,33 @@ def pareto_mix(
         .select("skey", F.col("_bin").alias("_edge"), (F.col("_upto") - F.col("_words")).alias("_before"))
     )
     edge = stage(edge, files=1)
-    in_bin = Window.partitionBy("skey").orderBy("_odds", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (
-        rows.join(edge, "skey")
-        .where(F.col("_bin") == F.col("_edge"))
-        .withColumn("_mid", F.col("_before") + F.sum("size").over(in_bin) - F.col("size") / 2)
-        .where(F.col("_mid") <= F.col("_rest"))
-        .groupBy("skey")
-        .agg(F.max(F.struct("_odds", "id", "size")).alias("_last"))
-    )
-    bounds = stage(edge.join(cut, "skey", "left").select(F.col("skey").alias("_x_key"), "_edge", "_last"), files=1)
+    # equal ranks are one entry, so a bin is ordered by entries however many rows are equal; the middles of `_fit` rows of an entry lie within the rest
+    in_bin = Window.partitionBy("skey").orderBy("_odds", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    entries = rows.join(edge, "skey").where(F.col("_bin") == F.col("_edge")).groupBy("skey", "_rest", "_before", "_odds", "id", "size").agg(F.count(F.lit(1)).alias("_many"))
+    start = F.col("_before") + F.coalesce(F.sum(F.col("size") * F.col("_many")).over(in_bin), F.lit(0))
+    fit = F.when(F.col("size") > 0, F.least(F.floor((F.col("_rest") - start) / F.col("size") + 0.5), F.col("_many"))).otherwise(F.when(start <= F.col("_rest"), F.col("_many")).otherwise(0))
+    cut = entries.withColumn("_fit", fit).where("_fit > 0").groupBy("skey").agg(F.max(F.struct(F.struct("_odds", "id", "size").alias("at"), "_fit", "_many")).alias("_last"))
+    bounds = edge.join(cut, "skey", "left").select(F.col("skey").alias("_x_key"), "_edge", F.col("_last.at").alias("_last"), F.col("_last._fit").alias("_fit"), F.col("_last._many").alias("_many"))
+    bounds = stage(bounds, files=1)
 
-    drawn = (F.col("_bin") < F.col("_edge")) | ((F.col("_bin") == F.col("_edge")) & (F.struct(F.col("_odds"), F.col(id_col).alias("id"), F.col("_x_size").alias("size")) <= F.col("_last")))
     out = ranked(measured, "_x_key", id_col, "_x_imp").join(bounds, "_x_key", "left")
-    copies = F.col("_whole") + F.when(F.coalesce(drawn, F.lit(False)), 1).otherwise(0)
-    new = {"size": F.col("_x_size"), "source_size": out["source_size"], "target": out["target"], "copies": copies.cast("long")}
-    kept = [c for c in docs.columns if c.lower() not in new]
-    return out.select(*[docs[c] for c in kept], *[c.alias(n) for n, c in new.items()])
+    here = F.struct(F.col("_odds"), F.col(id_col).alias("id"), F.col("_x_size").alias("size"))
+    in_edge = F.col("_bin") == F.col("_edge")
+    torn = F.coalesce(in_edge & (here == F.col("_last")) & (F.col("_fit") < F.col("_many")), F.lit(False))
+    drawn = F.coalesce((F.col("_bin") < F.col("_edge")) | (in_edge & (here <= F.col("_last"))), F.lit(False))
+    kept = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies")]
+
+    def given(df: DataFrame, extra: Column) -> DataFrame:
+        copies = (F.col("_whole") + F.when(extra, 1).otherwise(0)).cast("long")
+        return df.select(*[F.col("_x_row").getField(c).alias(c) for c in kept], F.col("_x_size").alias("size"), "source_size", "target", copies.alias("copies"))
+
+    out = out.select(F.struct(*[docs[c] for c in kept]).alias("_x_row"), "_x_key", "_x_size", measured["_x_imp"], out["source_size"], out["target"], "_whole", "_fit", torn.alias("_torn"), drawn.alias("_drawn"))
+    if bounds.where("_fit < _many").isEmpty():  # a row per source
+        return given(out, F.col("_drawn"))
+    # equal rows of which only some are drawn: numbered within salts, and salts one after another, so that no task gets all of them
+    ties = stage(out.where("_torn").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))))
+    upto = Window.partitionBy("_x_key").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    first = ties.groupBy("_x_key", "_salt").count().select("_x_key", "_salt", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_first"))
+    number = F.col("_first") + F.row_number().over(Window.partitionBy("_x_key", "_salt").orderBy(F.lit(1)))
+    numbered = ties.join(F.broadcast(first), ["_x_key", "_salt"])  # SALTS rows a source
+    return given(out.where("not _torn"), F.col("_drawn")).union(given(numbered.withColumn("_drawn", number <= F.col("_fit")), F.col("_drawn")))

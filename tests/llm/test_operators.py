@@ -107,6 +107,22 @@ def test_pareto_draws_follow_their_probabilities(spark):
     assert mixed.agg(F.sum("copies")).first()[0] == 2000
 
 
+@pytest.mark.parametrize("ids", ["equal", "null", "both"])
+def test_op1_draws_some_of_equal_rows(spark, ids):
+    """Sources of a thousand equal rows come as near to their targets as others, and reruns agree."""
+    from lattica.llm.mixing import pareto_mix
+
+    doc_id = {"equal": F.lit(7), "null": F.lit(None), "both": F.when(F.col("id") % 2 == 0, 7)}[ids].cast("long")
+    docs = spark.range(3000, numPartitions=5).select(doc_id.alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.lit(1).alias("_torn"), F.lit(2).alias("_salt"))
+    out = pareto_mix(docs, F.lit(100))
+    assert out.columns == ["doc_id", "source", "_torn", "_salt", "size", "source_size", "target", "copies"]
+    got = out.groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.count(F.lit(1)).alias("rows"), F.min("copies").alias("low"), F.max("copies").alias("high")).collect()
+    assert {r["source"]: r["target"] for r in got} == {"s0": 200_000.0, "s1": 250_000 / 3, "s2": 500_000 / 3}
+    assert all(abs(r["taken"] - r["target"]) <= 50 and r["rows"] == 1000 and r["high"] - r["low"] <= 1 for r in got)
+    count = lambda df: Counter(map(str, df.collect()))
+    assert count(out) == count(pareto_mix(docs, F.lit(100)))
+
+
 def test_op2(spark, folder):
     got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in queries.op2_quality_rules(spark, folder).collect())
     want = Counter()
