@@ -36,6 +36,18 @@ def spine(spark: SparkSession, start: datetime, end: datetime, freq: str, shift_
     return t.select((F.col("t") + F.make_interval(months=F.lit(shift_months))).cast("timestamp_ntz").alias("t")) if shift_months else t
 
 
+def spine_of(times: DataFrame, freq: str, column: str = "t") -> DataFrame:
+    """t (timestamp_ntz): spine() from the first to the last of the times; none for none."""
+    step, short = _interval(freq)
+    ends = times.agg(F.min(column).cast("timestamp_ntz").alias("a"), F.max(column).cast("timestamp_ntz").alias("b"))
+    if freq == "MS":
+        month = F.date_trunc("month", "a").cast("timestamp_ntz")
+        ends = ends.withColumn("a", F.when(month == F.col("a"), month).otherwise((month + F.expr("interval 1 month")).cast("timestamp_ntz")))
+    if short:
+        ends = ends.withColumn("b", (F.col("b") + F.expr(f"interval {step}")).cast("timestamp_ntz"))
+    return ends.where("a <= b").select(F.explode(F.expr(f"sequence(a, b, interval {step})")).alias("t"))
+
+
 def hours_of_day(step: str | int) -> list[str]:
     """"6h" or 6 -> 00:00, 06:00, ...; only divisors of 24."""
     n = int(str(step).removesuffix("h"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.grid import curvilinear_resolution, nearest_cells, regrid, resolution, same_axes
+from lattica.operators.scatter import nearest_points, triangulation_weights
 
 
 def _step(df: DataFrame, c: str, along: str, by: str):
@@ -58,8 +60,7 @@ def triangle_weights(cells: DataFrame, lat_to: list[float], lon_to: list[float])
 
     Each quad of neighbouring cells is split along its falling diagonal. A triangle meets the targets inside its bounding box through
     index ranges of the regular target axes, so no triangle is compared with all targets. A target on an edge takes
-    the triangle with the lowest number. A target in no triangle has one row without a weight, at the first cell, so it comes back as
-    null. One table serves all times and variables: apply with `apply_weights`.
+    the triangle with the lowest number. A target in no triangle has no row. One table serves all times and variables: apply with `apply_weights`.
     """
     step = {"lat": lat_to[1] - lat_to[0] if len(lat_to) > 1 else 1.0, "lon": lon_to[1] - lon_to[0] if len(lon_to) > 1 else 1.0}
     corner = cells.select("y", "x", F.struct("y", "x", "lat", "lon").alias("p"))
@@ -85,39 +86,64 @@ def triangle_weights(cells: DataFrame, lat_to: list[float], lon_to: list[float])
     inside = met.withColumns({"w1": w1, "w2": w2}).withColumn("w3", 1.0 - F.col("w1") - F.col("w2")).where(F.least("w1", "w2", "w3") >= -1e-9)
     one = inside.groupBy("ty", "tx").agg(F.min(F.struct("y", "x", "k", "p", "q", "r", "w1", "w2", "w3")).alias("s"))
     parts = F.explode(F.array(*[F.struct(F.col(f"s.{n}.y").alias("y"), F.col(f"s.{n}.x").alias("x"), F.col(f"s.w{k}").alias("w")) for k, n in enumerate("pqr", 1)]))
-    found = one.select(F.col("ty").cast("int").alias("ty"), F.col("tx").cast("int").alias("tx"), parts.alias("c")).select("ty", "tx", "c.y", "c.x", "c.w")
-    spark = cells.sparkSession
-    targets = spark.range(len(lat_to) * len(lon_to)).select((F.col("id") / len(lon_to)).cast("int").alias("ty"), (F.col("id") % len(lon_to)).cast("int").alias("tx"))
-    first = cells.agg(F.min(F.struct("y", "x")).alias("c"))
-    outside = targets.join(one.select("ty", "tx"), ["ty", "tx"], "left_anti").select("ty", "tx", first.select("c.y").scalar().alias("y"), first.select("c.x").scalar().alias("x"), F.lit(None).cast("double").alias("w"))
-    return found.union(outside)
+    return one.select(F.col("ty").cast("int").alias("ty"), F.col("tx").cast("int").alias("tx"), parts.alias("c")).select("ty", "tx", "c.y", "c.x", "c.w")
 
 
-def apply_weights(df: DataFrame, weights: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """A sparse product: each value times its weights, summed per target; a missing corner makes the target null."""
+def target_cells(spark: SparkSession, lat_to: list[float], lon_to: list[float]) -> DataFrame:
+    """(ty, tx, lat, lon) of two axes."""
+    lats, lons = (F.array(*map(F.lit, map(float, to))) for to in (lat_to, lon_to))
+    at = spark.range(len(lat_to) * len(lon_to)).select(F.floor(F.col("id") / len(lon_to)).cast("int").alias("ty"), (F.col("id") % len(lon_to)).cast("int").alias("tx"))
+    return at.select("ty", "tx", F.get(lats, "ty").alias("lat"), F.get(lons, "tx").alias("lon"))
+
+
+def apply_weights(df: DataFrame, weights: DataFrame, keys: list[str], values: list[str], targets: DataFrame | None = None) -> DataFrame:
+    """A sparse product: each value times its weights, summed per target. A target is null where a corner with weight is missing, has no value,
+    or where there are no weights; targets (ty, tx) then have a row for every field (keys) all the same."""
     met = df.join(weights, ["y", "x"])
-    sums = [F.when(F.count(v) == F.count("w"), F.sum(F.col(v) * F.col("w"))).alias(v) for v in values]
-    return met.groupBy(*keys, "ty", "tx").agg(*sums).withColumnsRenamed({"ty": "y", "tx": "x"})
+    whole = [F.coalesce(F.sum(F.when(F.col(v).isNotNull(), F.col("w"))), F.lit(0.0)) > 1 - 1e-9 for v in values]
+    sums = [F.when(w, F.sum(F.col(v) * F.col("w"))).alias(v) for v, w in zip(values, whole, strict=True)]
+    out = met.groupBy(*keys, "ty", "tx").agg(*sums)
+    if targets is not None:
+        every = df.select(*keys).distinct().crossJoin(targets.select("ty", "tx"))  # the cells of the result
+        out = every.join(out, [*keys, "ty", "tx"], "left")
+    return out.withColumnsRenamed({"ty": "y", "tx": "x"})
+
+
+def is_whole(cells: DataFrame) -> bool:
+    """Whether every row and column of the grid has its cell, so that neighbours make quads."""
+    n = cells.agg(F.count(F.lit(1)).alias("n"), ((F.max("y") - F.min("y") + 1) * (F.max("x") - F.min("x") + 1)).alias("all")).first()
+    return n["n"] == n["all"]
 
 
-def regrid_any(df: DataFrame, cells: DataFrame, lat_to: list[float], lon_to: list[float], keys: list[str], values: list[str], fill: str = "null") -> DataFrame:
+def regrid_any(df: DataFrame, cells: DataFrame, lat_to: list[float], lon_to: list[float], keys: list[str], values: list[str], fill: str = "null", by: str | None = None) -> DataFrame:
     """df's fields on the axes lat_to and lon_to: as they are if the grids are the same, bilinear from regular axes, by triangles from
-    curvilinear grids. cells: (y, x, lat, lon) of the source grid.
+    curvilinear grids and scattered points. cells: (y, x, lat, lon) of the source grid.
 
-    Targets outside the source are null; with fill "border", on regular axes, they take the border's line; with "nearest", on axes, what is
-    null takes the nearest cell.
+    by: "axes", "quads" (halves of the quads of neighbours) or "points" (Delaunay triangles, for cells in any order); if None, axes for rectilinear
+    grids, quads where no cell is missing and both target axes have even steps, else points. Targets outside the source are null; with fill "border", on regular axes, they take the
+    border's line; with "nearest" what is null takes the nearest cell's value.
     """
     spark = df.sparkSession
-    axes = [spark.createDataFrame(list(enumerate(map(float, to))), f"{i} int, {c} double") for i, c, to in (("y", "lat", lat_to), ("x", "lon", lon_to))]
-    if same_axes(cells, axes[0].crossJoin(axes[1])):  # two axes
+    targets = target_cells(spark, lat_to, lon_to)
+    if by is None and same_axes(cells, targets.withColumnsRenamed({"ty": "y", "tx": "x"})):
         return df.select(*keys, "y", "x", *values)
-    if not is_rectilinear(cells):
-        return apply_weights(df, triangle_weights(cells, lat_to, lon_to), keys, values).select(*keys, "y", "x", *values)
-    ends = [cells.agg((F.max(i) + 1).alias("n"), F.min_by(c, i).alias("first"), F.max_by(c, i).alias("last")).first() for i, c in (("y", "lat"), ("x", "lon"))]
-    lat, lon = ((e["n"], e["first"], (e["last"] - e["first"]) / max(e["n"] - 1, 1) or 1.0) for e in ends)
-    out = regrid(df, lat, lon, lat_to, lon_to, keys, values, "border" if fill == "border" else "null")
+    steps = [np.diff(to) for to in (lat_to, lon_to)]
+    even = all(np.allclose(s, s[:1]) for s in steps)
+    by = by or ("axes" if is_rectilinear(cells) else "quads" if even and is_whole(cells) else "points")
+    if by == "quads" and not even:
+        raise ValueError("quads need target axes with even steps")
+    if by == "axes":
+        ends = [cells.agg((F.max(i) + 1).alias("n"), F.min_by(c, i).alias("first"), F.max_by(c, i).alias("last")).first() for i, c in (("y", "lat"), ("x", "lon"))]
+        lat, lon = ((e["n"], e["first"], (e["last"] - e["first"]) / max(e["n"] - 1, 1) or 1.0) for e in ends)
+        out = regrid(df, lat, lon, lat_to, lon_to, keys, values, "border" if fill == "border" else "null")
+    else:
+        if fill == "border":
+            raise ValueError("a border is only known on regular axes")
+        weights = triangle_weights(cells, lat_to, lon_to) if by == "quads" else triangulation_weights(cells, targets)
+        out = apply_weights(df, weights, keys, values, targets)
     if fill != "nearest":
-        return out
-    near = apply_weights(df, nearest_cells(cells, lat_to, lon_to), keys, values).withColumnsRenamed({v: f"_near_{v}" for v in values})
+        return out.select(*keys, "y", "x", *values)
+    nearest = nearest_cells(cells, lat_to, lon_to) if by == "axes" else nearest_points(cells, targets)
+    near = apply_weights(df, nearest, keys, values, targets).withColumnsRenamed({v: f"_near_{v}" for v in values})
     both = near.join(out, [*keys, "y", "x"], "left")
     return both.select(*keys, "y", "x", *[F.coalesce(v, f"_near_{v}").alias(v) for v in values])

@@ -14,13 +14,13 @@ CELLS = 500_000
 
 
 def on_fields(
-    df: DataFrame, size: dict[str, int], keys: list[str], values: list[str], kernel: Callable[[np.ndarray], list[np.ndarray]], axes: dict[str, int], names: list[str]
+    df: DataFrame, size: dict[str, int], keys: list[str], values: list[str], kernel: Callable[[np.ndarray], list[np.ndarray]], axes: dict[str, int], names: list[str], missing: float = 0.0
 ) -> DataFrame:
     """(keys, axes, names): what kernel gives for the fields of each value. One shuffle, by field.
 
     size: the two axes of a field and their lengths. kernel: an array (fields, *size) -> arrays (fields, *axes), as many as there are
-    names for one value; names: for all values in turn. Missing cells and nulls are 0; cells outside the size are left out. A field, not the
-    archive, has to fit in a task.
+    names for one value; names: for all values in turn. Missing cells and nulls are `missing`; NaN in a result is null; cells outside the size are
+    left out. A field, not the archive, has to fit in a task.
     """
     (y, h), (x, w) = size.items()
     (a, n_a), (b, n_b) = axes.items()
@@ -39,11 +39,12 @@ def on_fields(
                 out = [part.column(k).take(pa.array(np.repeat(np.arange(len(part)), n_a * n_b))) for k in range(len(keys))]
                 out += [pa.array(np.tile(i, len(part)).astype(np.int32)) for i in (np.repeat(np.arange(n_a), n_b), np.tile(np.arange(n_b), n_a))]
                 for k in range(len(values)):
-                    field = np.zeros((len(part), h * w))
-                    field[row, flat.field(0).to_numpy()] = np.nan_to_num(flat.field(k + 1).to_numpy(zero_copy_only=False))
+                    field = np.full((len(part), h * w), missing)
+                    given = flat.field(k + 1).to_numpy(zero_copy_only=False)
+                    field[row, flat.field(0).to_numpy()] = np.where(np.isnan(given), missing, given)
                     made = kernel(field.reshape(-1, h, w))
                     assert len(made) == each
-                    out += [pa.array(np.ascontiguousarray(m, float).ravel()) for m in made]
+                    out += [pa.array(np.ascontiguousarray(m, float).ravel(), from_pandas=True) for m in made]
                 yield pa.RecordBatch.from_arrays(out, names=[*keys, a, b, *names])
 
     kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"`{c}` int" for c in axes] + [f"`{c}` double" for c in names]

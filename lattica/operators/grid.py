@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.geo import in_region, lon_between, nearest, within, wrap
+from lattica.operators import scatter
 from lattica.operators.fields import on_fields
 from lattica.spec import Region
 
@@ -110,24 +111,60 @@ def fill_gaps(df: DataFrame, value: str, along: str, by: list[str]) -> DataFrame
     return df.withColumn(value, F.coalesce(F.col(value), line))
 
 
-def smooth(df: DataFrame, value: str, sigma: float, sizes: dict[str, int], keys: list[str]) -> DataFrame:
-    """Gaussian with standard deviation sigma (in cells), cut at 4 sigma, edges mirrored. sizes: the two axes and their lengths.
+def _inpainted(field: np.ndarray) -> np.ndarray:
+    """One field: what is NaN from the Delaunay triangle of valid cells that holds it, outside their hull from the nearest of them."""
+    valid = ~np.isnan(field)
+    if valid.all() or valid.sum() < 4:
+        return field
+    # a valid cell among valid ones has only half squares about it, so triangles over gaps have their corners at gaps or borders
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(valid, 1, constant_values=False), (3, 3)).all(axis=(2, 3))
+    rim, gaps = (np.stack(np.nonzero(m), axis=1) for m in (valid & ~around, ~valid))
+    values, out = field[rim[:, 0], rim[:, 1]], field.copy()
+    corners = scatter.hull(rim)
+    inside, second = scatter.fan(rim[corners].astype(float), gaps.astype(float), 1e-9) if len(corners) > 2 else (np.zeros(len(gaps), bool), None)
+    extra = scatter.TIE * scatter.tie_share(rim[:, 0], rim[:, 1])
+    for n, (gap, held) in enumerate(zip(gaps, inside, strict=True)):
+        y, x = (rim - gap).astype(float).T
+        if held:
+            found, weights, _ = scatter.facet(y, x, y * y + x * x + extra, [int(corners[c]) for c in (0, second[n], second[n] + 1)])
+            out[tuple(gap)] = weights @ values[found]
+        else:
+            out[tuple(gap)] = values[(y * y + x * x).argmin()]  # the first of equals by y and x
+    return out
+
 
-    A pass along an axis is a product with a small matrix, on batches of whole fields. Missing cells and nulls count as 0.
+def inpaint(df: DataFrame, value: str, sizes: dict[str, int], keys: list[str]) -> DataFrame:
+    """(keys, axes, value): fields whose missing cells and nulls are filled linearly in index space, by Delaunay triangles of the valid cells, and
+    by the nearest valid cell outside their hull. Fields with fewer than 4 valid cells stay as they are; of those on a line the nearest is taken.
+
+    Where valid cells lie on one circle the triangle goes by scatter.TIE; of equally near cells the first by row and column counts.
     """
+    return on_fields(df, sizes, keys, [value], lambda fields: [np.stack([_inpainted(f) for f in fields])], sizes, [value], missing=float("nan"))
+
+
+def _mirrored(sigma: float, n: int) -> np.ndarray:
+    """A Gaussian pass along an axis of n cells as a matrix: cut at 4 sigma, edges mirrored."""
     radius = int(4 * sigma + 0.5)
     kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
     kernel /= kernel.sum()
+    out = np.zeros((n, n))  # target j draws on mirror(j + k)
+    for j in range(n):
+        at = np.arange(j - radius, j + radius + 1) % (2 * n)
+        np.add.at(out[j], np.where(at < n, at, 2 * n - 1 - at), kernel)
+    return out
+
 
-    def matrix(n: int) -> np.ndarray:
-        out = np.zeros((n, n))  # target j draws on mirror(j + k)
-        for j in range(n):
-            at = np.arange(j - radius, j + radius + 1) % (2 * n)
-            np.add.at(out[j], np.where(at < n, at, 2 * n - 1 - at), kernel)
-        return out
+def smooth_each(df: DataFrame, value: str, sigmas: dict[str, float], sizes: dict[str, int], keys: list[str]) -> DataFrame:
+    """(keys, axes, a column a sigma, called as it is in sigmas): Gaussians with these standard deviations (in cells), one shuffle for all of
+    them. sizes: the two axes and their lengths. Passes are products with small matrices, on batches of whole fields. Missing cells and nulls count as 0.
+    """
+    passes = [[_mirrored(s, n) for n in sizes.values()] for s in sigmas.values()]
+    return on_fields(df, sizes, keys, [value], lambda field: [y @ field @ x.T for y, x in passes], sizes, list(sigmas))
 
-    along_y, along_x = (matrix(n) for n in sizes.values())
-    return on_fields(df, sizes, keys, [value], lambda field: [along_y @ field @ along_x.T], sizes, [value])
+
+def smooth(df: DataFrame, value: str, sigma: float, sizes: dict[str, int], keys: list[str]) -> DataFrame:
+    """smooth_each() for one sigma, in place of the value."""
+    return smooth_each(df, value, {value: sigma}, sizes, keys)
 
 
 def smoothed(df: DataFrame, value: str, radius_km: float, sizes: dict[str, int], keys: list[str], cell_degrees: float = 0.1) -> DataFrame:
@@ -138,9 +175,8 @@ def smoothed(df: DataFrame, value: str, radius_km: float, sizes: dict[str, int],
 
 def write_smoothed(df: DataFrame, path: str, value: str, radii_km: list[float], sizes: dict[str, int], keys: list[str], cell_degrees: float = 0.1) -> DataFrame:
     """A data set with the field and its smoothings by every radius, side by side, written by year of `t` and read back."""
-    out = df
-    for r in radii_km:
-        out = out.join(smoothed(df, value, r, sizes, keys, cell_degrees), [*keys, *sizes], "left")
+    sigmas = dict(smoothed_name(value, r, cell_degrees) for r in radii_km)
+    out = df.join(smooth_each(df, value, sigmas, sizes, keys), [*keys, *sizes], "left")
     out.withColumn("year", F.year("t")).write.mode("overwrite").option("compression", "zstd").partitionBy("year").parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -69,8 +69,11 @@ def radial_power(field: np.ndarray, lat: np.ndarray, dx: float, dy: float, n_bin
     return (edges[1:] + edges[:-1]) / 2, total, count
 
 
-def radial_spectrum(df: DataFrame, value: str, dx: float, dy: float, n_bins: int = 40, size: int = 256, overlap: int | None = None, field: str = "t") -> DataFrame:
-    """(bin, wavelength_km, power): power per wavelength over all fields. One task holds one field (a time), never the archive; sums meet in an aggregation."""
+def radial_spectrum(df: DataFrame, value: str, dx: float, dy: float, n_bins: int = 40, size: int = 256, overlap: int | None = None, field: str | list[str] = "t") -> DataFrame:
+    """(bin, wavelength_km, power): power per wavelength over all fields. field: what a field is (time, member). One task holds one field, never the archive; sums
+    meet in an aggregation."""
+    keys = [field] if isinstance(field, str) else list(field)
+
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = pdf.pivot(index="y", columns="x", values=value).to_numpy(float)
@@ -78,7 +81,7 @@ def radial_spectrum(df: DataFrame, value: str, dx: float, dy: float, n_bins: int
         centre, total, count = radial_power(np.nan_to_num(grid), lat, dx, dy, n_bins, size, overlap)
         return pd.DataFrame({"bin": np.arange(len(centre)), "wavelength_km": centre, "total": total, "n": count.astype("int64")})
 
-    parts = df.select(field, "y", "x", "lat", value).groupBy(field).applyInPandas(kernel, "bin long, wavelength_km double, total double, n long")
+    parts = df.select(*keys, "y", "x", "lat", value).groupBy(*keys).applyInPandas(kernel, "bin long, wavelength_km double, total double, n long")
     return parts.groupBy("bin").agg(F.avg("wavelength_km").alias("wavelength_km"), F.try_divide(F.sum("total"), F.sum("n")).alias("power"))
 
 

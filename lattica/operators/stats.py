@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.store import kept
+
 EPS = 1e-6
+#: Parts that rows with one key are numbered in.
+SALTS = 64
 
 
 def channel_stats(long: DataFrame, by: str = "variable", value: str = "value") -> DataFrame:
@@ -75,16 +79,25 @@ def in_season(t: Column, name: str) -> Column:
 def split_exact(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
     """train (boolean): exactly int(n * fraction) rows with the least md5 of seed and key.
 
-    A histogram over the first hexadecimal digits finds the bin in which the count is reached; only that bin is ranked.
+    A histogram over the first hexadecimal digits finds the bin in which the count is reached, and counts by hash in that bin the key; the driver gets a
+    row of each. Rows with equal keys count one by one: where only some of a key's rows fit, they are numbered within salts, so that no task gets all of them.
     """
-    hashed = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))).withColumn("_b", F.substring("_h", 1, 3))
-    bins = hashed.groupBy("_b").count().withColumn("_upto", F.sum("count").over(Window.orderBy("_b"))).withColumn("_want", F.floor(F.sum("count").over(Window.partitionBy()) * fraction))
-    edge = bins.where((F.col("_upto") > F.col("_want")) & (F.col("_upto") - F.col("count") <= F.col("_want"))).select(F.col("_b").alias("_edge"), (F.col("_want") - F.col("_upto") + F.col("count")).alias("_left"))
-    marked = hashed.join(edge, F.lit(True), "left")
-    last = marked.where(F.col("_b") == F.col("_edge")).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))).where(F.col("_r") <= F.col("_left")).select(key).withColumn("_in", F.lit(True))
-    out = marked.join(last, key, "left")
-    taken = F.coalesce(F.col("_b") < F.col("_edge"), F.lit(True)) | F.coalesce("_in", F.lit(False))
-    return out.withColumn("train", taken).drop("_h", "_b", "_edge", "_left", "_in")
+    hashed = df.withColumns({"_h": F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))})
+    in_bin = F.substring("_h", 1, 3)
+    bins = hashed.groupBy(in_bin.alias("_b")).count().withColumns({"_upto": F.sum("count").over(Window.orderBy("_b")), "_want": F.floor(F.sum("count").over(Window.partitionBy()) * fraction)})
+    edge = bins.where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("count") < F.col("_want"))).select("_b", (F.col("_want") - F.col("_upto") + F.col("count")).alias("left")).first()
+    if edge is None:  # no row is taken
+        return hashed.drop("_h").withColumn("train", F.lit(False))
+    ranks = hashed.where(in_bin == edge["_b"]).groupBy("_h").count().withColumn("_upto", F.sum("count").over(Window.orderBy("_h")))
+    last = ranks.where(F.col("_upto") - F.col("count") < edge["left"]).orderBy(F.col("_h").desc()).select("_h", "count", (edge["left"] - F.col("_upto") + F.col("count")).alias("fit")).first()
+    if last["fit"] == last["count"]:
+        return hashed.withColumn("train", F.col("_h") <= last["_h"]).drop("_h")
+    torn = kept(hashed.where(F.col("_h") == last["_h"]).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))))
+    before = torn.groupBy("_salt").count().select("_salt", F.coalesce(F.sum("count").over(Window.orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("_salt").orderBy(F.lit(1)))
+    torn = torn.join(F.broadcast(before), "_salt").withColumn("train", number <= last["fit"])  # SALTS rows
+    rest = hashed.where(F.col("_h") != last["_h"]).withColumn("train", F.col("_h") < last["_h"])
+    return rest.select(*df.columns, "train").union(torn.select(*df.columns, "train"))
 
 
 def fit_linear(pairs: DataFrame, by: list[str]) -> DataFrame:

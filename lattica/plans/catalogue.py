@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import geo, timeaxis
-from lattica.operators import align, curvilinear, grid, spectral, stats, verify
+from lattica.operators import align, curvilinear, grid, scatter, spectral, stats, verify
 from lattica.plans import views as v
 from lattica.spec import Region
 from lattica.streaming.verification import windowed
@@ -207,14 +207,16 @@ def _spine12(spark: SparkSession) -> DataFrame:
     return timeaxis.spine(spark, _START, _END, "12h")
 
 
-@query(f"WITH {_SPINE12} SELECT t FROM spine")
+@query("SELECT unnest(generate_series(CAST(date_trunc('day', min(ts)) AS TIMESTAMP), CAST(date_trunc('day', max(ts)) AS TIMESTAMP) + INTERVAL 12 HOUR, INTERVAL 12 HOUR)) t FROM events")
 def date_spine(spark: SparkSession, sf: str) -> DataFrame:
-    return _spine12(spark)
+    """Half days from the first to the last day of the events."""
+    return timeaxis.spine_of(v.table(spark, sf, "events").select(timeaxis.floor_day(F.col("ts")).alias("t")), "12h")
 
 
-@query("SELECT unnest(generate_series(TIMESTAMP '1995-02-01', TIMESTAMP '2001-12-31', INTERVAL 1 MONTH)) t")
+@query("SELECT unnest(generate_series(CASE WHEN date_trunc('month', min(l_shipdate)) = min(l_shipdate) THEN min(l_shipdate) ELSE CAST(date_trunc('month', min(l_shipdate)) AS TIMESTAMP) + INTERVAL 1 MONTH END, max(l_shipdate), INTERVAL 1 MONTH)) t FROM lineitem")
 def month_spine(spark: SparkSession, sf: str) -> DataFrame:
-    return timeaxis.spine(spark, datetime(1995, 1, 15), datetime(2001, 12, 31), "MS")
+    """Months that begin between the first and the last ship date."""
+    return timeaxis.spine_of(v.table(spark, sf, "lineitem"), "MS", "l_shipdate")
 
 
 @query(f"WITH {v.SERIES}, {_SPINE12} SELECT t FROM spine ANTI JOIN series USING (t)")
@@ -349,7 +351,7 @@ def region_subset_wrap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {v.CURV}, h AS (SELECT *, lon >= -121 AND lon < -106 AND lat >= 35 AND lat < 43 hit FROM grid_curv) SELECT y, x, CASE WHEN hit THEN v END v FROM h WHERE y IN (SELECT y FROM h WHERE hit) AND x IN (SELECT x FROM h WHERE hit)")
 def region_subset_curvilinear(spark: SparkSession, sf: str) -> DataFrame:
-    return grid.subset_curvilinear(v.grid_curv(spark), _BOX, ["v"]).select("y", "x", "v")
+    return grid.subset_curvilinear(v.grid_curv(spark, sf), _BOX, ["v"]).select("y", "x", "v")
 
 
 @query(f"WITH {v.PAIR}, a AS (SELECT lat - lag(lat) OVER (ORDER BY lat) d FROM (SELECT DISTINCT lat FROM grid_pair)), b AS (SELECT lon - lag(lon) OVER (ORDER BY lon) d FROM (SELECT DISTINCT lon FROM grid_pair)) SELECT (SELECT round(avg(abs(d)), 6) FROM a) dlat, (SELECT round(avg(abs(d)), 6) FROM b) dlon")
@@ -359,7 +361,7 @@ def grid_resolution(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {v.CURV}, d AS (SELECT abs(lat - lag(lat) OVER (PARTITION BY x ORDER BY y)) a, abs(lon - lag(lon) OVER (PARTITION BY y ORDER BY x)) b FROM grid_curv) SELECT round(median(a), 6) dlat, round(median(b), 6) dlon FROM d")
 def curvilinear_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(grid.curvilinear_resolution(v.grid_curv(spark)), "dlat", "dlon", digits=6)
+    return rounded(grid.curvilinear_resolution(v.grid_curv(spark, sf)), "dlat", "dlon", digits=6)
 
 
 def _axis_sql(name: str, n: int, first: float, step: float, start: float, by: float, count: int, clamp: bool) -> str:
@@ -519,7 +521,7 @@ def pooled_metrics(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {v.CURV}, d AS (SELECT 'lon' axis, abs(lon - lag(lon) OVER (ORDER BY x)) d FROM grid_curv WHERE y = 4 UNION ALL SELECT 'lat', abs(lat - lag(lat) OVER (ORDER BY y)) FROM grid_curv WHERE x = 6) SELECT axis, count(d) n, round(avg(d), 6) mean, round(stddev_pop(d), 6) std FROM d GROUP BY 1"
 )
 def spacing_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(curvilinear.spacing(v.grid_curv(spark)).drop("cv"), "mean", "std", digits=6)
+    return rounded(curvilinear.spacing(v.grid_curv(spark, sf)).drop("cv"), "mean", "std", digits=6)
 
 
 def _area(p: str, q: str) -> tuple[str, str, str]:
@@ -540,16 +542,82 @@ _HALVES = " UNION ALL ".join(
 _REGRID = (
     f"{v.PAIR}, {v.CURV}, targets AS (SELECT ty, tx, CAST(44 - ty AS DOUBLE) la, CAST(-128 + 2 * tx AS DOUBLE) lo FROM range(12) a(ty), range(15) b(tx)), tri AS ({_HALVES}), "
     "one AS (SELECT * FROM tri WHERE least(w1, w2, w3) >= -1e-9::DOUBLE QUALIFY row_number() OVER (PARTITION BY ty, tx ORDER BY y, x, k) = 1), "
-    "weights AS (SELECT ty, tx, y, x, w1 w FROM one UNION ALL SELECT ty, tx, qy, qx, w2 FROM one UNION ALL SELECT ty, tx, y + 1, x + 1, w3 FROM one UNION ALL SELECT ty, tx, 0, 0, NULL FROM targets ANTI JOIN one USING (ty, tx))"
+    "weights AS (SELECT ty, tx, y, x, w1 w FROM one UNION ALL SELECT ty, tx, qy, qx, w2 FROM one UNION ALL SELECT ty, tx, y + 1, x + 1, w3 FROM one)"
 )
 
 
-@query(f"WITH {_REGRID} SELECT t, CAST(ty AS INT) y, CAST(tx AS INT) x, round(CASE WHEN count(an) = count(w) THEN sum(an * w) END, 4) an FROM grid_pair JOIN weights USING (y, x) GROUP BY t, ty, tx")
+_APPLIED = "SELECT t, ty, tx, CASE WHEN sum(w) FILTER (WHERE an IS NOT NULL) > 1 - 1e-9::DOUBLE THEN sum(an * w) END v FROM grid_pair JOIN {weights} USING (y, x) GROUP BY 1, 2, 3"
+_EVERY = "(SELECT DISTINCT t FROM grid_pair) m CROSS JOIN targets"
+_CURV_LAT, _CURV_LON = [44.0 - k for k in range(12)], [-128.0 + 2.0 * k for k in range(15)]
+
+
+@query(f"WITH {_REGRID}, r AS ({_APPLIED.format(weights='weights')}) SELECT t, CAST(ty AS INT) y, CAST(tx AS INT) x, round(v, 4) an FROM {_EVERY} LEFT JOIN r USING (t, ty, tx)")
 def regrid_curvilinear(spark: SparkSession, sf: str) -> DataFrame:
-    """All months of the grid as if it were curvilinear; tests hold the weights against affine fields."""
-    cells = v.grid_curv(spark)
-    weights = curvilinear.triangle_weights(cells, [44.0 - k for k in range(12)], [-128.0 + 2.0 * k for k in range(15)])
-    return rounded(curvilinear.apply_weights(v.grid_pair(spark, sf).select("t", "y", "x", "an"), weights, ["t"], ["an"]), "an")
+    """All months of the grid as if it were curvilinear, by halves of its quads."""
+    df = v.grid_pair(spark, sf).select("t", "y", "x", "an")
+    return rounded(curvilinear.regrid_any(df, v.grid_curv(spark, sf), _CURV_LAT, _CURV_LON, ["t"], ["an"], by="quads"), "an")
+
+
+# scattered points: in SQL all triangles around a target are compared, and all points
+
+_TRIPLES = (
+    "pts AS (SELECT *, 1e-6::DOUBLE * (((y * y * 349 + x * x * 617 + y * x * 211) % 1009) / 1009::DOUBLE) e FROM grid_scatter), "
+    "triples AS (SELECT a.y ay, a.x ax, b.y qy, b.x qx, c.y cy, c.x cx, a.lat al, a.lon ao, b.lat bl, b.lon bo, c.lat cl, c.lon co, a.e ae, b.e be, c.e ce, (b.lat - a.lat) * (c.lon - a.lon) - (b.lon - a.lon) * (c.lat - a.lat) det "
+    "FROM pts a JOIN pts b ON (a.y, a.x) < (b.y, b.x) JOIN pts c ON (b.y, b.x) < (c.y, c.x)), "
+    "held AS (SELECT *, 1 - w1 - w2 w3 FROM (SELECT *, ((bl - la) * (co - lo) - (bo - lo) * (cl - la)) / det w1, ((cl - la) * (ao - lo) - (co - lo) * (al - la)) / det w2 FROM triples CROSS JOIN targets WHERE abs(det) > 1e-9::DOUBLE) WHERE w1 >= -1e-9::DOUBLE AND w2 >= -1e-9::DOUBLE AND w1 + w2 <= 1 + 1e-9::DOUBLE), "
+    "best AS (SELECT ty, tx, min_by({'ay': ay, 'ax': ax, 'qy': qy, 'qx': qx, 'cy': cy, 'cx': cx, 'w1': w1, 'w2': w2, 'w3': w3}, w1 * ((al - la) ** 2 + (ao - lo) ** 2 + ae) + w2 * ((bl - la) ** 2 + (bo - lo) ** 2 + be) + w3 * ((cl - la) ** 2 + (co - lo) ** 2 + ce)) s FROM held GROUP BY 1, 2), "
+    "tri AS (SELECT ty, tx, s.ay y, s.ax x, greatest(s.w1, 0) w FROM best UNION ALL SELECT ty, tx, s.qy, s.qx, greatest(s.w2, 0) FROM best UNION ALL SELECT ty, tx, s.cy, s.cx, greatest(s.w3, 0) FROM best)"
+)
+_NEAR = "near AS (SELECT ty, tx, p.y y, p.x x, 1e0 w FROM (SELECT ty, tx, min({'d': (lat - la) * (lat - la) + (lon - lo) * (lon - lo), 'y': y, 'x': x}) p FROM targets CROSS JOIN grid_scatter GROUP BY 1, 2))"
+_TARGETS = "targets AS (SELECT ty, tx, CAST(46 - 2 * ty AS DOUBLE) la, CAST(-133 + 3 * tx AS DOUBLE) lo FROM range(9) a(ty), range(14) b(tx))"
+_FAR_LAT, _FAR_LON = [46.0 - 2.0 * k for k in range(9)], [-133.0 + 3.0 * k for k in range(14)]
+
+
+@query(f"WITH {v.SCATTER}, {_TARGETS}, {_TRIPLES} SELECT CAST(ty AS INT) ty, CAST(tx AS INT) tx, y, x, round(w, 6) w FROM tri WHERE w > 1e-6::DOUBLE")
+def delaunay_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Corners and weights of the Delaunay triangle of scattered cells that holds a target."""
+    weights = scatter.triangulation_weights(v.grid_scatter(spark, sf), curvilinear.target_cells(spark, _FAR_LAT, _FAR_LON))
+    return rounded(weights.where("w > 1e-6"), "w", digits=6)
+
+
+@query(f"WITH {v.SCATTER}, {_TARGETS}, {_NEAR} SELECT CAST(ty AS INT) ty, CAST(tx AS INT) tx, y, x FROM near")
+def nearest_cell(spark: SparkSession, sf: str) -> DataFrame:
+    """Of scattered cells the one nearest to a target, inside their hull and outside."""
+    return scatter.nearest_points(v.grid_scatter(spark, sf), curvilinear.target_cells(spark, _FAR_LAT, _FAR_LON)).drop("w")
+
+
+def _scattered(fill: bool) -> str:
+    value = "coalesce(r.v, n.v)" if fill else "r.v"
+    return (
+        f"WITH {v.PAIR}, {v.SCATTER}, {_TARGETS}, {_TRIPLES}, {_NEAR}, r AS ({_APPLIED.format(weights='tri')}), n AS ({_APPLIED.format(weights='near')}) "
+        f"SELECT m.t, CAST(targets.ty AS INT) y, CAST(targets.tx AS INT) x, round({value}, 4) an FROM {_EVERY} LEFT JOIN r ON r.t = m.t AND r.ty = targets.ty AND r.tx = targets.tx LEFT JOIN n ON n.t = m.t AND n.ty = targets.ty AND n.tx = targets.tx"
+    )
+
+
+def _regrid_scattered(spark: SparkSession, sf: str, fill: str) -> DataFrame:
+    df = v.grid_pair(spark, sf).select("t", "y", "x", "an")
+    return rounded(curvilinear.regrid_any(df, v.grid_scatter(spark, sf), _FAR_LAT, _FAR_LON, ["t"], ["an"], fill), "an")
+
+
+query(_scattered(False), "regrid_scattered")(lambda spark, sf: _regrid_scattered(spark, sf, "null"))
+query(_scattered(True), "regrid_nearest")(lambda spark, sf: _regrid_scattered(spark, sf, "nearest"))
+
+_FILLED = (
+    "valid AS (SELECT t, y, x, an, 1e-6::DOUBLE * (((y * y * 349 + x * x * 617 + y * x * 211) % 1009) / 1009::DOUBLE) e FROM grid_spine WHERE an IS NOT NULL), "
+    "gaps AS (SELECT t, y gy, x gx FROM grid_spine JOIN (SELECT t FROM valid GROUP BY 1 HAVING count(*) >= 4) USING (t) WHERE an IS NULL), "
+    "triples AS (SELECT a.t, a.y ay, a.x ax, b.y qy, b.x qx, c.y cy, c.x cx, a.an av, b.an bv, c.an cv, a.e ae, b.e be, c.e ce, (b.y - a.y) * (c.x - a.x) - (b.x - a.x) * (c.y - a.y) det "
+    "FROM valid a JOIN valid b ON a.t = b.t AND (a.y, a.x) < (b.y, b.x) JOIN valid c ON a.t = c.t AND (b.y, b.x) < (c.y, c.x)), "
+    "held AS (SELECT *, (det - d1 - d2) / det::DOUBLE w3, d1 / det::DOUBLE w1, d2 / det::DOUBLE w2 FROM (SELECT *, (qy - gy) * (cx - gx) - (qx - gx) * (cy - gy) d1, (cy - gy) * (ax - gx) - (cx - gx) * (ay - gy) d2 FROM triples JOIN gaps USING (t) WHERE det <> 0) "
+    "WHERE sign(det) * d1 >= 0 AND sign(det) * d2 >= 0 AND sign(det) * (det - d1 - d2) >= 0), "
+    "inner_ AS (SELECT t, gy, gx, min_by(w1 * av + w2 * bv + w3 * cv, w1 * ((ay - gy) ** 2 + (ax - gx) ** 2 + ae) + w2 * ((qy - gy) ** 2 + (qx - gx) ** 2 + be) + w3 * ((cy - gy) ** 2 + (cx - gx) ** 2 + ce)) v FROM held GROUP BY 1, 2, 3), "
+    "outer_ AS (SELECT t, gy, gx, p.v v FROM (SELECT t, gy, gx, min({'d': (y - gy) ** 2 + (x - gx) ** 2, 'y': y, 'x': x, 'v': an}) p FROM gaps JOIN valid USING (t) GROUP BY 1, 2, 3))"
+)
+
+
+@query(f"WITH {v.SPINE}, {_FILLED} SELECT g.t, g.y, g.x, round(coalesce(g.an, i.v, o.v), 3) an FROM grid_spine g LEFT JOIN inner_ i ON i.t = g.t AND i.gy = g.y AND i.gx = g.x LEFT JOIN outer_ o ON o.t = g.t AND o.gy = g.y AND o.gx = g.x")
+def inpaint(spark: SparkSession, sf: str) -> DataFrame:
+    """Missing cells of every month from triangles of its valid ones, else from the nearest."""
+    return rounded(grid.inpaint(v.grid_spine(spark, sf), "an", {"y": 8, "x": 12}, ["t"]), "an", digits=3)
 
 
 @query(f"WITH {v.PAIR}, {v.PAIRS}, r AS (SELECT model, t, corr(a, b) r FROM pairs GROUP BY 1, 2) SELECT model, round(avg(r) FILTER (WHERE NOT isnan(r)), 6) correlation FROM r GROUP BY 1")

@@ -44,9 +44,17 @@ def grid_spine(spark: SparkSession, sf: str) -> DataFrame:
     return months.crossJoin(F.broadcast(ys.crossJoin(xs))).join(pair.select("t", "y", "x", "an", "fc", "pr"), ["t", "y", "x"], "left")
 
 
-def grid_curv(spark: SparkSession) -> DataFrame:
-    cells = spark.range(96).select((F.col("id") / 12).cast("int").alias("y"), (F.col("id") % 12).cast("int").alias("x"))
-    return cells.select("y", "x", (45.0 - 2.0 * F.col("y") + 0.1 * F.col("x")).alias("lat"), (-130.0 + 3.0 * F.col("x") + 0.2 * F.col("y")).alias("lon"), (100.0 * F.col("y") + F.col("x")).alias("v"))
+def grid_curv(spark: SparkSession, sf: str) -> DataFrame:
+    """(y, x, lat, lon, v): the cells that occur, sheared; v is their number of rows."""
+    line = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 8).cast("int").alias("y"), (F.col("l_partkey") % 12).cast("int").alias("x"))
+    cells = line.groupBy("y", "x").agg(F.count(F.lit(1)).cast("double").alias("v"))
+    return cells.select("y", "x", (45.0 - 2.0 * F.col("y") + 0.1 * F.col("x")).alias("lat"), (-130.0 + 3.0 * F.col("x") + 0.2 * F.col("y")).alias("lon"), "v")
+
+
+def grid_scatter(spark: SparkSession, sf: str) -> DataFrame:
+    """(y, x, lat, lon): the cells of every fifth diagonal left out, the others moved about by their numbers of rows."""
+    moved = grid_curv(spark, sf).where((F.col("y") + F.col("x")) % 5 != 0)
+    return moved.select("y", "x", (F.col("lat") + F.col("v") % 7 * 0.125).alias("lat"), (F.col("lon") + F.col("v") % 11 * 0.125).alias("lon"))
 
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,7 +77,8 @@ _KEYS = "CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) t, CAST(l_suppkey %
 PAIR = f"grid_pair AS (SELECT *, CAST(45 - 2 * y AS DOUBLE) lat, CAST(-130 + 3 * x AS DOUBLE) lon FROM (SELECT {_KEYS}, {_MEANS} FROM lineitem GROUP BY 1, 2, 3))"
 MEMBER = f"grid_member AS (SELECT {_KEYS}, CAST(l_linenumber - 1 AS INT) realization, {_MEANS} FROM lineitem GROUP BY 1, 2, 3, 4)"
 SPINE = PAIR + ", grid_spine AS (SELECT m.t, CAST(ys.y AS INT) y, CAST(xs.x AS INT) x, an, fc, pr FROM (SELECT DISTINCT t FROM grid_pair) m CROSS JOIN range(8) ys(y) CROSS JOIN range(12) xs(x) LEFT JOIN grid_pair g ON g.t = m.t AND g.y = ys.y AND g.x = xs.x)"
-CURV = "grid_curv AS (SELECT CAST(y AS INT) y, CAST(x AS INT) x, CAST(45 - 2 * y AS DOUBLE) + 0.1::DOUBLE * x lat, CAST(-130 + 3 * x AS DOUBLE) + 0.2::DOUBLE * y lon, CAST(100 * y + x AS DOUBLE) v FROM range(8) a(y), range(12) b(x))"
+CURV = "grid_curv AS (SELECT CAST(y AS INT) y, CAST(x AS INT) x, CAST(45 - 2 * y AS DOUBLE) + 0.1::DOUBLE * x lat, CAST(-130 + 3 * x AS DOUBLE) + 0.2::DOUBLE * y lon, CAST(n AS DOUBLE) v FROM (SELECT CAST(l_suppkey % 8 AS INT) y, CAST(l_partkey % 12 AS INT) x, count(*) n FROM lineitem GROUP BY 1, 2))"
+SCATTER = CURV + ", grid_scatter AS (SELECT y, x, lat + v % 7 * 0.125::DOUBLE lat, lon + v % 11 * 0.125::DOUBLE lon FROM grid_curv WHERE (y + x) % 5 <> 0)"
 SERIES = f"series AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) + CASE WHEN hour(ts) >= 12 THEN INTERVAL 12 HOUR ELSE INTERVAL 0 HOUR END t, event_type variable, avg(value * {UNIT}::DOUBLE) value FROM events GROUP BY 1, 2)"
 FIELD8 = "field8 AS (SELECT vec_id, CAST((p - 1) // 8 AS INT) y, CAST((p - 1) % 8 AS INT) x, CAST(embedding[p] AS DOUBLE) v FROM embeddings, range(1, 65) r(p))"
 LONG = "long AS (SELECT t, y, x, lat, 'an' variable, an value FROM grid_pair UNION ALL SELECT t, y, x, lat, 'fc', fc FROM grid_pair UNION ALL SELECT t, y, x, lat, 'pr', pr FROM grid_pair)"

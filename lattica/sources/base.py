@@ -52,27 +52,28 @@ def lead_hours(lead: Leadtime) -> int:
     return lead.value * HOURS[lead.unit.lower()]
 
 
-def selected(df: DataFrame, selection: Selection, curvilinear: bool = False) -> DataFrame:
+def selected(df: DataFrame, selection: Selection, curvilinear: bool = False, one_lead: bool | None = None) -> DataFrame:
     """Canonical rows within the selection: its period, region, and its variables' levels and lead times, where the rows have such columns.
 
     Regions are met in the longitudes -180 to 180, whichever the grid uses, with both ends; on curvilinear grids in half-open boxes,
     where rows and columns that a box touches stay and other cells are null. A variable with a level is null on the levels of
-    others. A lead time is not asked for where the rows have one lead only. `lead` is in hours.
+    others. A lead time is not asked for where the rows have one lead only; one_lead tells so, as None costs another scan of the column. `lead` is in hours.
     """
     p, variables = selection.period, [v for v in selection.variables if v.name in df.columns]
     keep = [c for c in df.columns if c in KEYS or c in ("lat", "lon", "lead") or c in [v.name for v in variables]]
     df = df.select(*keep)
     if "t" in keep:
-        df = df.where(F.col("t").between(F.lit(p.start).cast("timestamp_ntz"), F.lit(p.end).cast("timestamp_ntz")))
+        # literals without zone: a datetime's would be taken into the session's zone
+        df = df.where(F.col("t").between(*(F.expr(f"timestamp_ntz'{end:%Y-%m-%d %H:%M:%S.%f}'") for end in (p.start, p.end))))
     levels = {v.name: float(v.levhpa if v.levhpa is not None else v.levm) for v in variables if v.levhpa is not None or v.levm is not None}
     if "level" in keep and levels:
         if len(levels) == len(variables):
             df = df.where(F.col("level").isin(*sorted(set(levels.values()))))
         df = df.withColumns({k: F.when(F.col("level") == at, F.col(k)) for k, at in levels.items()}) if len(set(levels.values())) > 1 or len(levels) < len(variables) else df
     leads = sorted({lead_hours(v.leadtime) for v in variables if v.leadtime is not None})
-    if "lead" in keep and leads:
-        only = df.agg((F.min("lead") == F.max("lead")).alias("only")).scalar()
-        df = df.where(F.col("lead").isin(*leads) | only)
+    if "lead" in keep and leads and not one_lead:
+        asked = F.col("lead").isin(*leads)
+        df = df.where(asked if one_lead is False else asked | df.agg((F.min("lead") == F.max("lead")).alias("only")).scalar())
     if "lat" in keep and "lon" in keep:
         if curvilinear:
             df = grid.subset_curvilinear(df.withColumn("lon", wrap(F.col("lon"), 0.0)), selection.region, [v.name for v in variables])
@@ -86,6 +87,8 @@ class Source:
 
     #: Whether lat and lon vary along both axes.
     curvilinear = False
+    #: Whether all rows have one lead time; None where the rows have to be asked.
+    one_lead: bool | None = None
 
     def __init__(self, spark: SparkSession, source: DataSource):
         self.spark, self.source, self._loaded = spark, source, None
@@ -98,7 +101,7 @@ class Source:
         return spine(self.spark, p.start, p.end, p.freq)
 
     def plan(self) -> DataFrame:
-        return selected(canonical(self.read()), self.source.selection, self.curvilinear)
+        return selected(canonical(self.read()), self.source.selection, self.curvilinear, self.one_lead)
 
     def load(self, persist: bool = False) -> DataFrame:
         if self._loaded is None:

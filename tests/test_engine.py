@@ -241,10 +241,10 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert got == {(r["start"], r["variable"]): r["n"] for r in windowed(e).collect()}
 
 
-def test_triangles_are_exact_for_affine_fields(spark):
+def test_triangles_are_exact_for_affine_fields(spark, sf):
     from lattica.operators import curvilinear
 
-    cells = views.grid_curv(spark).withColumn("v", 2 * F.col("lat") - F.col("lon"))
+    cells = views.grid_curv(spark, sf).withColumn("v", 2 * F.col("lat") - F.col("lon"))
     lat, lon = [44.0 - k for k in range(12)], [-128.0 + 2.0 * k for k in range(15)]
     weights = curvilinear.triangle_weights(cells.select("y", "x", "lat", "lon"), lat, lon)
     assert all(abs(r["s"] - 1) < 1e-9 for r in weights.groupBy("ty", "tx").agg(F.sum("w").alias("s")).collect())
@@ -255,7 +255,7 @@ def test_triangles_are_exact_for_affine_fields(spark):
 def test_grid_kinds(spark, sf):
     from lattica.operators import curvilinear
 
-    curv, rect = views.grid_curv(spark), views.grid_pair(spark, sf).select("y", "x", "lat", "lon").distinct()
+    curv, rect = views.grid_curv(spark, sf), views.grid_pair(spark, sf).select("y", "x", "lat", "lon").distinct()
     assert not curvilinear.is_rectilinear(curv) and curvilinear.is_rectilinear(rect)
     assert not curvilinear.is_regular(curv) and curvilinear.is_regular(curv, points=8)
     assert np.allclose(curvilinear.grid_resolution(rect), (2.0, 3.0))
