@@ -1,18 +1,24 @@
-"""Cutting the lineage of tables that later steps read more than once."""
+"""The folder that driver and executors share, and cutting the lineage of tables that later steps read more than once."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder. Where spark.checkpoint.dir is unset, a local master gets a folder of its own and a cluster is refused."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder. Where spark.checkpoint.dir is unset, a local master gets a folder of its own and a cluster is refused."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lattica-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from lattica.functions import geo, timeaxis
 from lattica.operators import align, curvilinear, grid, scatter, spectral, stats, verify
+from lattica.functions.store import shared_dir
 from lattica.plans import views as v
+from lattica.sources.zarr import read_zarr, write_zarr
 from lattica.spec import Region
 from lattica.streaming.verification import windowed
 
@@ -635,6 +638,15 @@ def extreme_times(spark: SparkSession, sf: str) -> DataFrame:
     return v.series(spark, sf).groupBy("variable").agg(F.max_by("t", "value").alias("best"), F.min_by("t", "value").alias("worst"))
 
 
+@query(f"WITH {v.SPINE} SELECT t, y, x, round(an, 4) an, round(fc, 4) fc FROM grid_spine WHERE t BETWEEN TIMESTAMP '1996-05-01' AND TIMESTAMP '1998-11-01' AND 45 - 2 * y BETWEEN 35 AND 43 AND -130 + 3 * x BETWEEN -121 AND -106")
+def chunk_store(spark: SparkSession, sf: str) -> DataFrame:
+    """A period and a box of the grid, read back from a store of chunks that the query has written to the shared folder."""
+    path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    write_zarr(v.grid_pair(spark, sf), path, ["an", "fc"], {"t": 12, "y": 4, "x": 6})
+    cells = read_zarr(spark, path, bounds={"t": (datetime(1996, 5, 1), datetime(1998, 11, 1)), "lat": (35.0, 43.0), "lon": (-121.0, -106.0)})
+    return rounded(cells.select("t", "y", "x", "an", "fc"), "an", "fc")
+
+
 # windows of a stream, here over a table
 
 @query(
