@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def kept(df: DataFrame, files: int | None = None) -> DataFrame:
+    """df written once as Parquet in the shared folder and read back, so that its size is known to later joins. files: coalesce to so many, for tables known to
+    be small."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.store import kept
 from lattica.operators.grid import curvilinear_resolution, nearest_cells, regrid, resolution, same_axes
 from lattica.operators.scatter import nearest_points, triangulation_weights
 
@@ -123,8 +124,8 @@ def regrid_any(df: DataFrame, cells: DataFrame, lat_to: list[float], lon_to: lis
     grids, quads where no cell is missing and both target axes have even steps, else points. Targets outside the source are null; with fill "border", on regular axes, they take the
     border's line; with "nearest" what is null takes the nearest cell's value.
     """
-    spark = df.sparkSession
-    targets = target_cells(spark, lat_to, lon_to)
+    targets = target_cells(df.sparkSession, lat_to, lon_to)
+    cells = kept(cells.select("y", "x", "lat", "lon"))  # looked at several times below
     if by is None and same_axes(cells, targets.withColumnsRenamed({"ty": "y", "tx": "x"})):
         return df.select(*keys, "y", "x", *values)
     steps = [np.diff(to) for to in (lat_to, lon_to)]

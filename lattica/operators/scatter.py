@@ -32,6 +32,8 @@ TOLERANCE = 1e-11
 NAMED = 64
 #: Points that join a target's few in a round.
 JOINING = 8
+#: Points of a file of the index, about.
+ROWS = 200_000
 #: Sets of hull corners merged in one task.
 MERGED = 16
 POINT = "struct<y: int, x: int, lat: double, lon: double>"
@@ -69,14 +71,15 @@ def tiled(points: DataFrame, per_tile: int = PER_TILE) -> Tiles | None:
     step = max(math.sqrt(h * w * per_tile / box["n"]), max(h, w) * per_tile / box["n"]) or 1.0
     top = math.ceil(math.log2(max(h, w) / step + 2))
     out = Tiles(points, points, box["lat0"], box["lon0"], step, top)
-    out.placed = kept(points.withColumns({"i": out.tile("lat", F.col("lat")), "j": out.tile("lon", F.col("lon"))}))
+    several = math.ceil(box["n"] / ROWS)
+    out.placed = kept(points.withColumns({"i": out.tile("lat", F.col("lat")), "j": out.tile("lon", F.col("lon"))}), several)
     bounds = [F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("lon").alias("lon0"), F.max("lon").alias("lon1")]
-    least = kept(out.placed.groupBy("i", "j").agg(*bounds))
+    least = kept(out.placed.groupBy("i", "j").agg(*bounds), several)
     grow = [F.min("lat0").alias("lat0"), F.max("lat1").alias("lat1"), F.min("lon0").alias("lon0"), F.max("lon1").alias("lon1")]
     levels = [least.select(F.lit(0).alias("level"), "i", "j", "lat0", "lat1", "lon0", "lon1")]
     for level in range(1, top + 1):
         levels.append(least.groupBy(F.shiftright("i", level).alias("i"), F.shiftright("j", level).alias("j")).agg(*grow).select(F.lit(level).alias("level"), "i", "j", "lat0", "lat1", "lon0", "lon1"))
-    out.bounds = kept(reduce(DataFrame.union, levels))
+    out.bounds = kept(reduce(DataFrame.union, levels), several)
     return out
 
 
