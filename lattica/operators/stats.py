@@ -59,6 +59,34 @@ def quantiles(long: DataFrame, by: str, value: str, qs: list[float], exact: bool
     return q.select(by, F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("_q").alias("value"))).alias("_z")).select(by, F.col("_z.q").alias("q"), F.col("_z.value").alias("value"))
 
 
+def quantiles_by_selection(long: DataFrame, by: str, value: str, qs: list[float], bins: int = 4096) -> DataFrame:
+    """Exact quantiles with linear interpolation, for any number of values a channel; channels without values give no rows, null and NaN don't count.
+
+    Each wanted rank has a range of values that holds it. A scan counts the rows in `bins` parts of every range at once, sums of counts
+    pick the part with the rank, and that part's least and greatest value are the next range, until a range is one value. Ranges of at
+    most `bins` rows are counted by value. A task holds counts of parts, and the driver a number a round. Ranges shrink to the 1/bins-th each round, so rounds go
+    with the logarithm of rows, or of the values' spread where nearly all lie in a small part of it. Finite values are expected, less than 1e308 apart.
+    """
+    given = long.select(F.col(by).alias("_by"), F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    whole = given.groupBy("_by").agg(F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    at = F.col("q") * (F.col("n") - 1)
+    asked = whole.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("_frac", at - F.floor(at))
+    ends = F.array(F.struct(F.lit(0).alias("end"), F.floor(at).alias("k")), F.struct(F.lit(1).alias("end"), F.ceil(at).alias("k")))
+    ranks = kept(asked.withColumn("_e", F.explode(ends)).select("_by", "q", "_frac", "_e.end", "_e.k", "n", "lo", "hi"), 1)  # rows by channel and quantile
+    while ranks.where("lo < hi").limit(1).count():
+        open_ranges = ranks.where("lo < hi").select("_by", "lo", "hi", "n").distinct()
+        part = F.when(F.col("n") <= bins, F.col("_v")).otherwise(F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("double"))
+        met = given.join(open_ranges, "_by").where(F.col("_v").between(F.col("lo"), F.col("hi")))
+        counts = met.groupBy("_by", "lo", part.alias("part")).agg(F.count("_v").alias("rows"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+        upto = counts.withColumn("upto", F.sum("rows").over(Window.partitionBy("_by", "lo").orderBy("part")))
+        inside = (F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("rows"))
+        narrowed = ranks.where("lo < hi").join(upto, ["_by", "lo"]).where(inside)
+        narrowed = narrowed.select("_by", "q", "_frac", "end", (F.col("k") - F.col("upto") + F.col("rows")).alias("k"), F.col("rows").alias("n"), F.col("least").alias("lo"), F.col("most").alias("hi"))
+        ranks = kept(ranks.where("lo = hi").unionByName(narrowed), 1)
+    found = ranks.groupBy("_by", "q", "_frac").agg(*[F.max(F.when(F.col("end") == e, F.col("lo"))).alias(f"_v{e}") for e in (0, 1)])
+    return found.select(F.col("_by").alias(by), "q", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_frac")).alias("value"))
+
+
 def regime(value: Column, edges: list[float]) -> Column:
     """Number of the right-closed bin: (-inf, e0], (e0, e1], ..., (last, inf)."""
     out = F.lit(len(edges))

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import geo, timeaxis
-from lattica.operators import align, curvilinear, grid, scatter, spectral, stats, verify
+from lattica.operators import align, curvilinear, grid, samples, scatter, spectral, stats, verify
 from lattica.functions.store import shared_dir
+from lattica.plans import experiment
 from lattica.plans import views as v
+from lattica.sources import files, perfile
 from lattica.sources.zarr import read_zarr, write_zarr
 from lattica.spec import Region
 from lattica.streaming.verification import windowed
@@ -647,6 +649,84 @@ def chunk_store(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(cells.select("t", "y", "x", "an", "fc"), "an", "fc")
 
 
+# archives of files, merges of several sources, samples
+
+_MODE = f"SELECT CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) t, l_returnflag || l_linestatus mode, CAST(6 * (l_linenumber % 3) AS DOUBLE) lead, CAST(l_suppkey % 8 AS INT) y, CAST(l_partkey % 12 AS INT) x, avg({v._P}) an, avg({v._P} * (1 - l_discount)) fc FROM lineitem GROUP BY 1, 2, 3, 4, 5"
+
+
+@query(
+    f"WITH c AS ({_MODE}), k AS (SELECT *, dense_rank() OVER (ORDER BY mode) - 1 k FROM c), n AS (SELECT year(t) y4, k, min(abs(lead - 7) * 100 + lead) best FROM k GROUP BY 1, 2) "
+    "SELECT k.t, CAST(k.k AS INT) realization, lead, y, x, round(an / 1000, 4) an, CASE WHEN mode <> 'RF' THEN round(fc, 4) END fc FROM k JOIN n ON year(k.t) = n.y4 AND k.k = n.k AND abs(lead - 7) * 100 + lead = best"
+)
+def file_members(spark: SparkSession, sf: str) -> DataFrame:
+    """An archive with a file per year and member, some without a variable, written to the shared folder and read file by file: members by name,
+    the lead time nearest to 7 hours, a change of units inside the reading task."""
+    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    line = v.table(spark, sf, "lineitem")
+    price, d = F.col("l_extendedprice") * v.UNIT, F.col("l_discount")
+    y, x = (F.col("l_suppkey") % 8).cast("int").alias("y"), (F.col("l_partkey") % 12).cast("int").alias("x")
+    lead = (6 * (F.col("l_linenumber") % 3)).cast("double").alias("lead")
+    cells = line.select(v.month(F.col("l_shipdate")).alias("t"), F.concat("l_returnflag", "l_linestatus").alias("mode"), lead, y, x, price.alias("an"), (price * (1 - d)).alias("fc"))
+    cells = cells.groupBy("t", "mode", "lead", "y", "x").agg(F.avg("an").alias("an"), F.avg("fc").alias("fc"))
+    lacks = F.col("mode") == "RF"
+    for part, rows in (("whole", cells.where(~lacks)), ("bare", cells.where(lacks).drop("fc"))):
+        rows.withColumn("year", F.year("t")).repartition("year", "mode").write.partitionBy("year", "mode").parquet(f"{root}/{part}")
+    found = files.listing(spark, root, "*.parquet")
+    found = found.select("path", "mtime", F.regexp_extract("path", "mode=([^/]+)", 1).alias("mode"), F.make_date(F.regexp_extract("path", "year=([0-9]+)", 1).cast("int"), F.lit(1), F.lit(1)).cast("timestamp_ntz").alias("t"))
+    read = perfile.read_members(spark, perfile.numbered(found, ["mode"]), f"{root}/read", ["an", "fc"], lead=7.0, step=lambda rows, request: rows.assign(an=rows["an"] / 1000))
+    return rounded(read.rows().select("t", "realization", "lead", "y", "x", "an", "fc"), "an", "fc")
+
+
+_PARTS = "p1 AS (SELECT t, y, x, an FROM grid_pair WHERE x < 8), p2 AS (SELECT t, y, x, an, fc FROM grid_pair WHERE x >= 4), p3 AS (SELECT t, y, x, pr FROM grid_pair WHERE y % 3 <> 0)"
+
+
+def _parts(spark: SparkSession, sf: str) -> list[DataFrame]:
+    pair = v.grid_pair(spark, sf)
+    cut = [pair.where("x < 8").select("t", "y", "x", "an"), pair.where("x >= 4").select("t", "y", "x", "an", "fc"), pair.where("y % 3 <> 0").select("t", "y", "x", "pr")]
+    # rounded, as means of two scans may differ in their last bits
+    return [rounded(p, *[c for c in p.columns if c not in ("t", "y", "x")]) for p in cut]
+
+
+@query(f"WITH {v.PAIR}, {_PARTS} SELECT t, y, x, round(coalesce(p1.an, p2.an), 4) an, round(fc, 4) fc, round(pr, 4) pr FROM p1 FULL JOIN p2 USING (t, y, x) FULL JOIN p3 USING (t, y, x)")
+def merge_no_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    return experiment.combine_variables(_parts(spark, sf), ["t", "y", "x"])
+
+
+@query(
+    f"WITH {v.PAIR}, l AS (SELECT t, y, x, round(an, 2) an FROM grid_pair), r AS (SELECT t, y, x, round(CASE WHEN (y + x) % 4 = 0 THEN pr ELSE an END, 2) an FROM grid_pair) "
+    "SELECT t, y, x, 'an' variable, least(l.an, r.an) low, greatest(l.an, r.an) high FROM l JOIN r USING (t, y, x) WHERE l.an <> r.an"
+)
+def merge_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Where two archives of one variable disagree."""
+    pair = v.grid_pair(spark, sf)
+    other = pair.select("t", "y", "x", F.when((F.col("y") + F.col("x")) % 4 == 0, F.col("pr")).otherwise(F.col("an")).alias("an"))
+    return experiment.conflicts([rounded(p, "an", digits=2) for p in (pair.select("t", "y", "x", "an"), other)], ["t", "y", "x"])
+
+
+@query(ORACLE["quantiles"])
+def quantiles_by_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.quantiles_by_selection(v.long(spark, sf), "variable", "value", _Q), "value")
+
+
+@query(
+    f"WITH {v.SPINE}, s AS (SELECT t, md5('11|' || CAST(t AS VARCHAR)) code, CAST(count(fc) AS BIGINT) x_valid, CAST(count(an) AS BIGINT) y_valid, round(coalesce(sum(fc), 0), 2) x_sum, round(coalesce(sum(an), 0), 2) y_sum FROM grid_spine GROUP BY 1), "
+    "d AS (SELECT *, CAST(CAST('0x' || substr(code, 1, 7) AS BIGINT) % 3 AS INT) shard FROM s), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY shard ORDER BY code) - 1 AS INT) place FROM d) "
+    "SELECT t, shard, CAST(place // 4 AS INT) batch, place, CAST(96 AS INT) size, x_valid, y_valid, x_sum, y_sum FROM p"
+)
+def sample_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields as samples with masks, in seeded batches; what each holds, counted and summed from its arrays."""
+    packed = samples.pack(v.grid_spine(spark, sf), ["t"], ["fc"], ["an"], 8, 12)
+    dealt = samples.shuffled(packed, ["t"], 11, 3, 4)
+
+    def total(c: str):
+        return F.round(F.aggregate(c, F.lit(0.0), lambda a, b: a + b), 2)
+
+    def valid(c: str):
+        return F.size(F.filter(c, lambda m: m)).cast("long")
+
+    return dealt.select("t", "shard", "batch", "place", F.size("x").alias("size"), valid("x_mask").alias("x_valid"), valid("y_mask").alias("y_valid"), total("x").alias("x_sum"), total("y").alias("y_sum"))
+
+
 # windows of a stream, here over a table
 
 @query(

@@ -88,9 +88,27 @@ def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed(names)
 
 
+def _states(parts: list[DataFrame], keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Per cell the least and greatest value (`_lo_v`, `_hi_v`) of each variable over all parts: one aggregation over a union, however many parts."""
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    names = [c for c in union.columns if c not in keys]
+    return union.groupBy(*keys).agg(*[f(c).alias(f"{to}{c}") for c in names for f, to in ((F.min, "_lo_"), (F.max, "_hi_"))]), names
+
+
 def combine_variables(parts: list[DataFrame], keys: list[str]) -> DataFrame:
-    """One row per cell with the variables of all parts."""
-    return reduce(lambda a, b: a.join(b, keys, "full_outer"), parts)
+    """One row per cell with the variables of all parts, nulls filled from whichever part has a value; raises when read if two values of one cell
+    differ, be they of two parts or of a part's repeated rows. Null keys are equal to each other."""
+    cells, names = _states(parts, keys)
+    clash = {c: F.raise_error(F.concat(F.lit(f"conflicting values of {c} at "), F.to_json(F.struct(*keys)))) for c in names}
+    kinds = {c.removeprefix("_lo_"): kind for c, kind in cells.dtypes}
+    return cells.select(*keys, *[F.when(F.col(f"_lo_{c}") != F.col(f"_hi_{c}"), clash[c].cast(kinds[c])).otherwise(F.col(f"_lo_{c}")).alias(c) for c in names])
+
+
+def conflicts(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """(keys, variable, low, high) of the cells at which combine_variables would raise, for numeric variables."""
+    cells, names = _states(parts, keys)
+    found = F.array(*[F.when(F.col(f"_lo_{c}") != F.col(f"_hi_{c}"), F.struct(F.lit(c).alias("variable"), F.col(f"_lo_{c}").cast("double").alias("low"), F.col(f"_hi_{c}").cast("double").alias("high"))) for c in names])
+    return cells.select(*keys, F.explode(F.array_compact(found)).alias("c")).select(*keys, "c.variable", "c.low", "c.high")
 
 
 @LAUNCHERS.register("grid-search")
