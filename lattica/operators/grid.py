@@ -45,6 +45,40 @@ def cut_longitude(df: DataFrame, west: float) -> DataFrame:
     return at.crossJoin(last).select(F.coalesce("at._before", "_last").alias("lon"), F.when(F.col("at.x") == 0, F.col("_n") - 1).otherwise(F.col("at.x") - 1).cast("int").alias("x"))  # two single rows
 
 
+def _axis(df: DataFrame, index: str, *columns: str) -> DataFrame:
+    """The axis's cells, once each: as many rows as the axis is long."""
+    return df.groupBy(index).agg(*[F.min(c).alias(c) for c in columns])
+
+
+def increasing(df: DataFrame, axis: str, index: str) -> DataFrame:
+    """Cells with the index turned round if the axis runs down, so that it runs up; data stay with their coordinates. Axes that don't vary, or neither
+    run up nor down, are refused when read. Null indices stay null. Nothing but the axis, a row per index, is ordered."""
+    along = Window.orderBy(index)
+    steps = _axis(df.where(F.col(index).isNotNull()), index, axis).withColumn("_d", F.col(axis) - F.lag(axis).over(along))
+    turn = steps.agg(F.max("_d").alias("_up"), F.min("_d").alias("_down"), (F.min(index) + F.max(index)).alias("_ends"))
+    turned = F.when(F.col("_up") < 0, F.col("_ends") - F.col(index)).when((F.col("_down") > 0) | F.col("_up").isNull(), F.col(index))
+    turned = turned.otherwise(F.raise_error(F.lit(f"{axis} neither runs up nor down")).cast("int"))
+    return df.crossJoin(F.broadcast(turn)).withColumn(index, F.when(F.col(index).isNotNull(), turned.cast(df.schema[index].dataType))).select(*df.columns)  # a row
+
+
+def rolled(df: DataFrame, west: float, lon: str = "lon", index: str = "x") -> DataFrame:
+    """Longitudes in [west, west + 360), and the index counted from 0 along them, so that the grid starts at the cut and runs on across the seam."""
+    moved = df.withColumn(lon, (F.col(lon) - west) - F.floor((F.col(lon) - west) / 360) * 360 + west)
+    places = _axis(moved, index, lon).select(index, (F.row_number().over(Window.orderBy(lon, index)) - 1).cast("int").alias("_new"))
+    return moved.join(places, index).withColumn(index, F.col("_new")).select(*df.columns)
+
+
+def at_index(df: DataFrame, **places: int) -> DataFrame:
+    """The slice at the n-th distinct label of each column named, counted from 0 in order, or from the last with negative n. Columns are taken in turn: a
+    label's number is counted within the slices before. A number beyond the labels gives no rows. Labels are met on the driver by the number, never as a whole."""
+    for c, n in places.items():
+        labels = df.where(F.col(c).isNotNull()).select(c).distinct()
+        nearest_end = labels.orderBy(F.col(c) if n >= 0 else F.col(c).desc()).limit(n + 1 if n >= 0 else -n)
+        label = nearest_end.agg((F.max if n >= 0 else F.min)(c).alias("at"), F.count(c).alias("n")).where(F.col("n") == (n + 1 if n >= 0 else -n))
+        df = df.join(F.broadcast(label.select(F.col("at").alias(c))), c, "left_semi").select(*df.columns)  # a row
+    return df
+
+
 def resolution(df: DataFrame) -> DataFrame:
     """Mean spacing of the axes (dlat, dlon), from the distinct axis values. An axis is small beside the cells, so its window may be one task."""
     out = None

@@ -727,6 +727,24 @@ def sample_batches(spark: SparkSession, sf: str) -> DataFrame:
     return dealt.select("t", "shard", "batch", "place", F.size("x").alias("size"), valid("x_mask").alias("x_valid"), valid("y_mask").alias("y_valid"), total("x").alias("x_sum"), total("y").alias("y_sum"))
 
 
+@query(f"WITH {v.PAIR} SELECT t, CAST(7 - y AS INT) y, x, lat, round(an, 4) an FROM grid_pair")
+def axis_increasing(spark: SparkSession, sf: str) -> DataFrame:
+    """Latitudes run down in the tables' grid; here up."""
+    return rounded(grid.increasing(v.grid_pair(spark, sf).select("t", "y", "x", "lat", "an"), "lat", "y"), "an")
+
+
+@query(f"WITH {v.PAIR}, m AS (SELECT *, CASE WHEN lon < -115 THEN lon + 360 ELSE lon END lon360 FROM grid_pair), k AS (SELECT x, CAST(row_number() OVER (ORDER BY lon360) - 1 AS INT) k FROM (SELECT DISTINCT x, lon360 FROM m)) SELECT t, y, k.k x, lon360 lon, round(an, 4) an FROM m JOIN k USING (x)")
+def axis_rolled(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid cut at 115 degrees west, columns numbered from there."""
+    return rounded(grid.rolled(v.grid_pair(spark, sf).select("t", "y", "x", "lon", "an"), -115.0), "an")
+
+
+@query(f"WITH {v.MEMBER}, a AS (SELECT *, dense_rank() OVER (ORDER BY t) k FROM grid_member), b AS (SELECT *, dense_rank() OVER (ORDER BY realization DESC) r FROM a WHERE k = 6) SELECT t, realization, y, x, round(an, 4) an FROM b WHERE r = 2")
+def index_slice(spark: SparkSession, sf: str) -> DataFrame:
+    """A field by numbers: the sixth month, then the last member but one."""
+    return rounded(grid.at_index(v.grid_member(spark, sf), t=5, realization=-2).select("t", "realization", "y", "x", "an"), "an")
+
+
 # windows of a stream, here over a table
 
 @query(
