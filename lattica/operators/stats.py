@@ -66,8 +66,9 @@ def quantiles_by_selection(long: DataFrame, by: str, value: str, qs: list[float]
     pick the part with the rank, and that part's least and greatest value are the next range, until a range is one value. Ranges of at
     most `bins` rows are counted by value. A task holds counts of parts, and the driver a number a round. Ranges shrink to the 1/bins-th each round, so rounds go
     with the logarithm of rows, or of the values' spread where nearly all lie in a small part of it. Finite values are expected, less than 1e308 apart.
+    Values are written once, as every scan has to see the same bits: a mean worked out again sums up in another order.
     """
-    given = long.select(F.col(by).alias("_by"), F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    given = kept(long.select(F.col(by).alias("_by"), F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)"))
     whole = given.groupBy("_by").agg(F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     at = F.col("q") * (F.col("n") - 1)
     asked = whole.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("_frac", at - F.floor(at))

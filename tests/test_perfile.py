@@ -1,6 +1,7 @@
 """Files read inside tasks, kept fetches, merges that find conflicts, exact quantiles by selection, samples."""
 
 import os
+import random
 
 import numpy as np
 import pandas as pd
@@ -134,6 +135,17 @@ def test_selection_equals_numpy(spark, bins):
         assert np.isclose(x, np.quantile(channels[c], q), rtol=1e-12, atol=1e-12), (c, q)
 
 
+def test_selection_of_values_that_differ_between_scans(spark):
+    """As means do in their last bits, where shuffled parts arrive in another order."""
+    shaken = F.udf(lambda v: v + random.random() * 1e-9, "double").asNondeterministic()
+    rows = spark.range(500, numPartitions=3).select(F.lit("a").alias("c"), shaken(F.col("id").cast("double")).alias("value"))
+    qs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    got = {r["q"]: r["value"] for r in stats.quantiles_by_selection(rows, "c", "value", qs, 8).collect()}
+    assert got.keys() == set(qs)
+    for q, x in got.items():
+        assert x is not None and np.isclose(x, np.quantile(np.arange(500.0), q), atol=1e-6), q
+
+
 def test_selection_of_nothing(spark):
     assert stats.quantiles_by_selection(spark.createDataFrame([], "c string, value double"), "c", "value", [0.5]).count() == 0
 
