@@ -31,10 +31,10 @@ WINDOW, STEP = 64, 48
 LEAD = WINDOW - STEP
 #: Output classes and those of the second output (the last is all rarer subwords), rows of the input table (likewise), width of the model.
 HEAD, TAIL, ROWS, WIDTH = 256, 1024, 4096, 32
-#: Of a document's windows, one in EVERY is learnt from in each of ROUNDS rounds; the draw goes by the document's ids.
-EVERY, ROUNDS = 16, 2
+#: Of a document's windows, one in EVERY is learnt from in each of ROUNDS rounds, so that all are; which come first goes by the document's ids.
+EVERY, ROUNDS = 4, 4
 #: Windows of a gradient step, and windows scored at once.
-LEARN_AT_ONCE, SCORE_AT_ONCE = 16, 32
+LEARN_AT_ONCE, SCORE_AT_ONCE = 32, 32
 #: Frequent words of up to WORD_BYTES bytes whose counts go to every task; other words' counts are joined. A bound on cost, not on results.
 FREQUENT, WORD_BYTES = 1 << 17, 32
 #: Words, and bytes of words, that a task holds while it sums up or remembers.
@@ -195,17 +195,17 @@ class Vocabulary:
         self.of_class = np.append(every[: HEAD - 1], every[HEAD - 1 :].sum())
         self.within = np.log((every[HEAD - 1 :] + 0.5) / (every[HEAD - 1 :] + 0.5).sum()).astype(np.float32)
 
-    def windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Input rows (windows, WINDOW), classes and log shares (windows, STEP) of what is scored; class -1 where a window has no token."""
+    def windows(self, ids: np.ndarray, some: slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Input rows (windows, WINDOW), classes and log shares (windows, STEP) of what is scored; class -1 where a window has no token. some: of which windows."""
         n = -(-len(ids) // STEP)
         pad = np.full(LEAD + n * STEP, self.end)
         pad[LEAD + 1 : LEAD + len(ids)] = ids[:-1]
-        rows = self.row[np.lib.stride_tricks.sliding_window_view(pad, WINDOW)[::STEP]]
+        rows = self.row[np.lib.stride_tricks.sliding_window_view(pad, WINDOW)[::STEP][some]]
         cls = np.full(n * STEP, -1, np.int32)
         cls[: len(ids)] = self.cls[ids]
         share = np.zeros(n * STEP)
         share[: len(ids)] = self.share[ids]
-        return rows, cls.reshape(n, STEP), share.reshape(n, STEP)
+        return rows, cls.reshape(n, STEP)[some], share.reshape(n, STEP)[some]
 
 
 def pair_totals(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
@@ -356,9 +356,16 @@ class Adam:
         weights -= np.float32(self.rate) * (self.m / np.float32(1 - 0.9**self.t)) / (np.sqrt(self.s / np.float32(1 - 0.99**self.t)) + np.float32(1e-7))
 
 
+def windows_of_round(ids: bytes, r: int, rounds: int = ROUNDS, every: int = EVERY) -> slice:
+    """Which of a document's windows are learnt from in round r. With at least `every` rounds, each window is in one of them."""
+    return slice((zlib.crc32(ids) + r * every // rounds) % every, None, every)
+
+
 def trained(texts: DataFrame, vocabulary: Vocabulary, direct: np.ndarray, rounds: int = ROUNDS, every: int = EVERY) -> Model:
-    """A model after some rounds: in each, every task steps through its windows from the same weights, and the tasks' weights are averaged by
-    their numbers of windows, MERGED at a time, so that neither a task nor the driver holds more."""
+    """A model that has learnt from every window of texts (ids). In each round, every task steps through its windows from the same weights, and the tasks' weights
+    are averaged by their numbers of windows, MERGED at a time, so that neither a task nor the driver holds more."""
+    if rounds < every:
+        raise ValueError(f"{rounds} rounds with one window in {every} leave windows out")
     weights = Model(direct, vocabulary.within).weights
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,14 +385,14 @@ def trained(texts: DataFrame, vocabulary: Vocabulary, direct: np.ndarray, rounds
             for batch in batches:
                 for x in batch.column(0):
                     raw = x.as_py()
-                    first = (zlib.crc32(raw) + r * every // rounds) % every
+                    some = windows_of_round(raw, r, rounds, every)
                     ids = np.frombuffer(raw, vocabulary.kind)
-                    if first * STEP >= len(ids):
+                    if some.start * STEP >= len(ids):
                         continue
-                    a, c, _ = vocabulary.windows(ids)
-                    rows.append(a[first::every])
-                    cls.append(c[first::every])
-                    waiting += len(rows[-1])
+                    a, c, _ = vocabulary.windows(ids, some)
+                    rows.append(a)
+                    cls.append(c)
+                    waiting += len(a)
                     while waiting >= LEARN_AT_ONCE:
                         a, c = np.concatenate(rows), np.concatenate(cls)
                         adam.step(model.weights, model.gradient(a[:LEARN_AT_ONCE], c[:LEARN_AT_ONCE]))

@@ -202,6 +202,20 @@ def test_op13_gradient():
         at += size
 
 
+def test_op13_learns_from_every_window(spark):
+    """By default each window of a text is learnt from, once; rounds that leave windows out are refused."""
+    vocabulary, model, rng = small_model()
+    for size in (1, 48, 49, 700, 5000):
+        ids = rng.integers(0, 3000, size).astype(vocabulary.kind)
+        n = len(vocabulary.windows(ids)[0])
+        met = [k for r in range(attention.ROUNDS) for k in range(n)[attention.windows_of_round(ids.tobytes(), r)]]
+        assert sorted(met) == list(range(n))
+        every = [vocabulary.windows(ids, attention.windows_of_round(ids.tobytes(), r))[1] for r in range(attention.ROUNDS)]
+        assert sum((c >= 0).sum() for c in every) == size
+    with pytest.raises(ValueError, match="leave windows out"):
+        attention.trained(spark.createDataFrame([], "ids binary"), vocabulary, model.direct, rounds=2, every=16)
+
+
 def test_op13_is_a_causal_distribution():
     """A token's probability doesn't change with later ones, windows score each token once, and the probabilities of all next tokens sum to 1."""
     vocabulary, model, rng = small_model(1)
