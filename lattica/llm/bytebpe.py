@@ -26,10 +26,15 @@ DICTIONARY_WORDS = 600_000
 DICTIONARY_BYTES = 40
 #: Words of up to so many bytes are folded a merge at a time; in longer ones a step merges all places of the lowest pair.
 SHORT = 256
-#: Spark searches a map from end to end, so the words are dealt over bins by CRC.
+#: Spark searches a map from end to end, so the words are dealt over bins by hash. A power of two.
 WORD_BINS = 1 << 18
 
 
+def word_bin(word: Column) -> Column:
+    """An int from two cheap steps: functions in lambdas are interpreted, a CRC would take a copy of the bytes, a division and a cast a word."""
+    return F.hash(word).bitwiseAND(WORD_BINS - 1)
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -168,7 +173,7 @@ class ByteBPE:
         return F.when(F.size(codes) <= SHORT, run(leftmost)).otherwise(run(everywhere))
 
     def dictionary(self, texts: DataFrame, text_col: str = "text", most: int = DICTIONARY_WORDS) -> DataFrame:
-        """One row, staged: `known`, the ids of the words that most documents hold by word, in bins by CRC.
+        """One row, staged: `known`, the ids of the words that most documents hold by word, in bins by hash.
 
         Counts cover all texts. The cut is the least document count for which the words that reach it are within the bound,
         found on a histogram of counts with 64 bins, so the row's size is bounded for certain.
@@ -186,7 +191,7 @@ class ByteBPE:
             if (total := total + row["count"]) > most:
                 break
             level = row["level"]
-        head = self.fold(counts.where(F.col("level") >= level).select((F.crc32("word") % WORD_BINS).cast("int").alias("bin"), "word"), "word")
+        head = self.fold(counts.where(F.col("level") >= level).select(word_bin(F.col("word")).alias("bin"), "word"), "word")
         every = texts.sparkSession.range(WORD_BINS).select(F.col("id").cast("int").alias("bin"))
         bins = every.join(head.groupBy("bin").agg(F.collect_list(F.struct("word", "ids")).alias("entries")), "bin", "left")
         packed = F.sort_array(F.collect_list(F.struct("bin", "entries")))
@@ -200,7 +205,7 @@ class ByteBPE:
 
         def coded(id_bytes: Column, piece_bytes: Column, known: Column, *merges: Column) -> Column:
             def of(word: Column) -> Column:
-                return F.coalesce(F.try_element_at(F.get(known, (F.crc32(word) % WORD_BINS).cast("int")), word), self._fold(word, merges))
+                return F.coalesce(F.try_element_at(F.get(known, word_bin(word)), word), self._fold(word, merges))
 
             ids = F.flatten(F.transform(self.words(docs[text_col]), of))
             return let(ids, lambda i: F.struct(i.alias("ids"), _bytes_of(i, id_bytes).alias("id_bytes"), _bytes_of(i, piece_bytes).alias("decoded")))

@@ -688,3 +688,11 @@ def test_twin(name, spark, sf, duck):
     from tests.test_queries import same
 
     same(queries.queries()[name](spark, sf).toPandas(), duck.execute(queries.oracle_sql()[name]).df())
+
+
+def test_op3_bins_of_words(spark):
+    """Within the bins, for negative hashes too, and dealt evenly."""
+    from lattica.llm.bytebpe import WORD_BINS, word_bin
+
+    bins = [r["b"] for r in spark.range(5000).select(word_bin(F.concat(F.lit("é"), F.col("id").cast("string"))).alias("b")).collect()]
+    assert all(0 <= b < WORD_BINS for b in bins) and len(set(bins)) > 4800
