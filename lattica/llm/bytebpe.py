@@ -19,20 +19,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import let, stage
+from lattica.llm.common import let, release, stage
 
 #: Words in the dictionary at most, and bytes of such a word at most: what is sent to every task stays below 80 MB.
 DICTIONARY_WORDS = 600_000
 DICTIONARY_BYTES = 40
 #: Words of up to so many bytes are folded a merge at a time; in longer ones a step merges all places of the lowest pair.
 SHORT = 256
-#: Spark searches a map from end to end, so the words are dealt over bins by hash. A power of two.
+#: Spark searches a map from end to end, so the words are dealt over bins by hash. A power of two; so many for DICTIONARY_WORDS words.
 WORD_BINS = 1 << 18
 
 
-def word_bin(word: Column) -> Column:
+def bins_for(words: int) -> int:
+    """A bin for two to four words of a full dictionary: each bin is a map of its own, and even an empty one takes 32 bytes of the driver and of each task."""
+    return 1 << max(0, (words // 2).bit_length() - 1)
+
+
+def word_bin(word: Column, bins: int = WORD_BINS) -> Column:
     """An int from two cheap steps: functions in lambdas are interpreted, a CRC would take a copy of the bytes, a division and a cast a word."""
-    return F.hash(word).bitwiseAND(WORD_BINS - 1)
+    return F.hash(word).bitwiseAND(bins - 1)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -191,26 +196,32 @@ class ByteBPE:
             if (total := total + row["count"]) > most:
                 break
             level = row["level"]
-        head = self.fold(counts.where(F.col("level") >= level).select(word_bin(F.col("word")).alias("bin"), "word"), "word")
-        every = texts.sparkSession.range(WORD_BINS).select(F.col("id").cast("int").alias("bin"))
+        head = self.fold(counts.where(F.col("level") >= level).select(word_bin(F.col("word"), bins_for(most)).alias("bin"), "word"), "word")
+        every = texts.sparkSession.range(bins_for(most)).select(F.col("id").cast("int").alias("bin"))
         bins = every.join(head.groupBy("bin").agg(F.collect_list(F.struct("word", "ids")).alias("entries")), "bin", "left")
         packed = F.sort_array(F.collect_list(F.struct("bin", "entries")))
         empty = F.array().cast("array<struct<word:string,ids:array<int>>>")
         return stage(bins.agg(packed.alias("bins")).select(F.transform("bins", lambda x: F.map_from_entries(F.coalesce(x["entries"], empty))).alias("known")))
 
-    def encode(self, docs: DataFrame, text_col: str = "text", dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
-        """docs with each text's `ids` (array<int>), `id_bytes` (binary: ids as little-endian unsigned 32-bit integers) and `decoded`
-        (binary: what the ids stand for). Null and empty texts have none. Reads the texts twice: for the dictionary first. dictionary_words bounds
-        the memory of driver and tasks (some 100 bytes a word) and changes the cost only."""
+    def encode(self, docs: DataFrame, text_col: str = "text", dictionary_words: int = DICTIONARY_WORDS, id_bytes: bool = True) -> DataFrame:
+        """docs with each text's `ids` (array<int>), `id_bytes` (binary: ids as little-endian unsigned 32-bit integers; only if asked for) and
+        `decoded` (binary: what the ids stand for). Null and empty texts have none. Reads the texts twice: for the dictionary first.
+        dictionary_words bounds the memory of driver and tasks (some 100 bytes a word) and changes the cost only."""
+        bytes_of = {"id_bytes": self.ids} if id_bytes else {}
+        bytes_of["decoded"] = self.pieces
+        known = self.dictionary(docs, text_col, dictionary_words)
+        release(docs.sparkSession)  # the driver's copies of what the dictionary's plans took in, before it makes others
+
+        def coded(known: Column, *rest: Column) -> Column:
+            merges, tables = rest[: len(self.merges)], dict(zip(bytes_of, rest[len(self.merges) :], strict=True))
 
-        def coded(id_bytes: Column, piece_bytes: Column, known: Column, *merges: Column) -> Column:
             def of(word: Column) -> Column:
-                return F.coalesce(F.try_element_at(F.get(known, word_bin(word)), word), self._fold(word, merges))
+                return F.coalesce(F.try_element_at(F.get(known, word_bin(word, bins_for(dictionary_words))), word), self._fold(word, merges))
 
             ids = F.flatten(F.transform(self.words(docs[text_col]), of))
-            return let(ids, lambda i: F.struct(i.alias("ids"), _bytes_of(i, id_bytes).alias("id_bytes"), _bytes_of(i, piece_bytes).alias("decoded")))
+            return let(ids, lambda i: F.struct(i.alias("ids"), *[_bytes_of(i, t).alias(c) for c, t in tables.items()]))
 
-        return _with_constants(docs, [self.ids, self.pieces, self.dictionary(docs, text_col, dictionary_words).scalar(), *self.merges], coded)
+        return _with_constants(docs, [known.scalar(), *self.merges, *bytes_of.values()], coded)
 
     def decode(self, coded: DataFrame, ids: str = "ids") -> DataFrame:
         """A table's rows with `decoded` (binary): the bytes that ids stand for."""

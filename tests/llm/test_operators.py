@@ -696,3 +696,20 @@ def test_op3_bins_of_words(spark):
 
     bins = [r["b"] for r in spark.range(5000).select(word_bin(F.concat(F.lit("é"), F.col("id").cast("string"))).alias("b")).collect()]
     assert all(0 <= b < WORD_BINS for b in bins) and len(set(bins)) > 4800
+
+
+def test_op3_small_dictionary(spark):
+    """A small dictionary is a small row, however many bins the largest one has; its bound and the columns asked for change no ids."""
+    from lattica.llm.bytebpe import DICTIONARY_WORDS, WORD_BINS, ByteBPE, bins_for, load_ranks
+
+    assert bins_for(DICTIONARY_WORDS) == WORD_BINS and [bins_for(n) for n in (0, 1, 2, 5, 100_000)] == [1, 1, 1, 2, 1 << 15]
+    texts = [" ".join(f"w{j % 40} é{j % 7}" for j in range(k)) for k in range(60)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    enc, bpe = encoding(), ByteBPE(spark, load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    known = bpe.dictionary(docs, most=64).first()["known"]
+    assert len(known) == 32 and {w: i for b in known for w, i in b.items()} and all(i == enc.encode_ordinary(w) for b in known for w, i in b.items())
+    for words in (64, 2):
+        coded = bpe.encode(docs, dictionary_words=words, id_bytes=False)
+        assert coded.columns == ["doc_id", "text", "ids", "decoded"]
+        for r in coded.collect():
+            assert r["ids"] == enc.encode_ordinary(r["text"] or "") and bytes(r["decoded"]).decode() == (r["text"] or "")
