@@ -235,6 +235,42 @@ def test_op13_is_a_causal_distribution():
     assert abs(total - 1) < 1e-4
 
 
+def test_op13_positions_meet_few_classes():
+    """A position is held against the groups and its own group's classes only; without the layer the two steps give what the pair counts say."""
+    vocabulary, model, rng = small_model(2)
+    rows, cls, _ = vocabulary.windows(rng.integers(0, 3000, 700).astype("<u4"))
+    late = rows[:, attention.LEAD :].ravel()
+    order, met, head, tail = model.outputs(rng.random((late.size, attention.WIDTH), np.float32), late, cls.ravel())
+    assert len(order) == 700 and len(order) - met == (cls >= attention.HEAD - 1).sum() > 100
+    assert sum(x.size for x in head.logits) <= 700 * attention.HEAD // 8 and sum(x.size for x in tail.logits) <= (700 - met) * attention.TAIL // 8
+    plain = attention.Model(model.direct, vocabulary.within, np.zeros(model.SIZE))
+    flat = cls.ravel()
+    want = model.direct[late, np.clip(flat, 0, attention.HEAD - 1)] + np.where(flat >= attention.HEAD - 1, vocabulary.within[np.maximum(flat - (attention.HEAD - 1), 0)], 0)
+    assert np.allclose(plain.log_probability(rows, cls).ravel(), np.where(flat >= 0, want, 0), atol=1e-4)
+
+
+def test_op13_out_of_reach_of_exp():
+    """Weights far too large give probabilities still, and no slope that isn't finite."""
+    vocabulary, model, rng = small_model(3)
+    rows, cls, _ = vocabulary.windows(rng.integers(0, 3000, 150).astype("<u4"))
+    for times in (1, 4, 12):
+        far = attention.Model(model.direct, vocabulary.within, model.weights * times)
+        found = far.log_probability(rows, cls)
+        assert np.isfinite(found).all() and found.max() <= 1e-5 and np.isfinite(far.gradient(rows, cls)).all()
+
+
+def test_op13_groups_are_alike():
+    rng = np.random.default_rng(4)
+    kind = rng.permutation(np.repeat(np.arange(8), 16))
+    found = kind[attention.alike(rng.random((8, 40))[kind] + 0.01 * rng.random((128, 40)), 16)].reshape(8, 16)
+    assert (found == found[:, :1]).all()
+    vocabulary, _, rng = small_model(5)
+    old, counts, pairs = vocabulary.cls, vocabulary.of_class, rng.integers(0, 5, (attention.ROWS, attention.HEAD))
+    got, head = vocabulary.arrange(pairs), attention.HEAD - 1
+    assert sorted(set(vocabulary.cls)) == sorted(set(old)) and ((vocabulary.cls >= head) == (old >= head)).all()
+    assert (got[:, np.minimum(vocabulary.cls, head)] == pairs[:, np.minimum(old, head)]).all() and (vocabulary.of_class[np.minimum(vocabulary.cls, head)] == counts[np.minimum(old, head)]).all()
+
+
 def test_op13_learns(spark):
     """On held-out texts that follow a pattern the model is far better than the counts of words, and better than without attention."""
     rng = random.Random(2)
